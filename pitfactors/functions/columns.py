@@ -38,6 +38,12 @@ def positive(c: Column) -> Column:
     return F.when(c > 0, c)
 
 
+def half_up(c: Column, places: int) -> Column:
+    """Round half up in plain double arithmetic; used where rounding feeds logic."""
+    scale = F.lit(10.0**places)
+    return F.floor(c * scale + 0.5) / scale
+
+
 def keep(c: Column, low: float, high: float) -> Column:
     """``c`` where it lies strictly between the bounds, else NULL."""
     return F.when((c > low) & (c < high), c)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["sources_q"]
+MODULES = ["sources_q", "joins_q", "features_q"]
 
 
 def load():
