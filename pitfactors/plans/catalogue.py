@@ -42,18 +42,15 @@ def query(name: str, sql: str | None = None, digits: str = "", views: dict[str,
 def statement(sql: str, places: dict[str, int], extra: dict[str, str]) -> str:
     known = {**VIEWS, **extra}
     order: list[str] = []
+    active: set[str] = set()
 
     def visit(text: str) -> None:
-        for view in known:
-            if view not in order and re.search(rf"\b{view}\b", text):
-                visit_view(view)
-
-    def visit_view(view: str) -> None:
-        body = known[view]
-        for other in known:
-            if other != view and other not in order and re.search(rf"\b{other}\b", body):
-                visit_view(other)
-        if view not in order:
+        for view, body in known.items():
+            if view in order or view in active or not re.search(rf"\b{view}\b", text):
+                continue
+            active.add(view)
+            visit(body)
+            active.discard(view)
             order.append(view)
 
     visit(sql)
