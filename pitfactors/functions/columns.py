@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-UNBOUNDED = Window.unboundedPreceding
 COMPARISONS = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
@@ -23,6 +22,11 @@ def by_symbol(*extra: str) -> WindowSpec:
     return Window.partitionBy("symbol", *extra).orderBy("date")
 
 
+def so_far(spec: WindowSpec | None = None) -> WindowSpec:
+    """Frame from the first row to the current one."""
+    return (spec or by_symbol()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def rows(n_back: int, n_last: int = 0, spec: WindowSpec | None = None) -> WindowSpec:
     """Frame from ``n_back`` rows before to ``n_last`` rows before the current row."""
     return (spec or by_symbol()).rowsBetween(-n_back, -n_last)

@@ -1,14 +1,723 @@
-"""Factor evaluation."""
+"""Factor evaluation: forward returns, rank correlations, quantile spreads, combination.
+
+Cross-sections are groups of one date (and feature, horizon, universe).  Ranks come from
+``functions.ranks``, which cuts a group that is too big for one task; moments are plain
+aggregations joined back, so no row moves for them.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pitfactors.operators import calendars
 
+from pitfactors.functions import ranks
+from pitfactors.functions.columns import between_dates, by_symbol, names, ratio
+from pitfactors.operators import asof, calendars
+
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation aggregate, NULL without variance on either side."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def rank_correlation(a: str, b: str) -> Column:
+    """Correlation of ranks from plain sums: half-integers add exactly, so a zero is zero."""
+    x, y, n = F.col(a), F.col(b), F.count(F.lit(1)).cast("double")
+    xy = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+    xx = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    yy = n * F.sum(y * y) - F.sum(y) * F.sum(y)
+    return ratio(xy, F.sqrt(xx) * F.sqrt(yy))
+
+
+# ---------------------------------------------------------------- labels
+
+
+def forward_returns(bars: DataFrame, horizon: int, name: str = "fwd") -> DataFrame:
+    """Return over the next ``horizon`` bars of the symbol itself."""
+    priced = bars.filter(F.col("close") > 0)
+    return priced.select("symbol", "date", (F.lead("close", horizon).over(by_symbol()) / F.col("close") - 1).alias(name)).filter(
+        F.col(name).isNotNull())
+
+
+def forward_prices(bars: DataFrame, horizons: Sequence[int], dates: DataFrame | None = None) -> DataFrame:
+    """Close ``h`` rows ahead on the union calendar, from ``dates`` (default: all)."""
+    cal = calendars.calendar(bars)
+    priced = bars.filter(F.col("close") > 0).select("symbol", "date", "close")
+    start = priced if dates is None else priced.join(dates.select("date"), "date", "left_semi")
+    steps = F.explode(F.array(*[F.lit(int(h)) for h in horizons]))
+    now = start.join(cal, "date").withColumn("h", steps).withColumn("idx", F.col("idx") + F.col("h"))
+    later = priced.join(cal, "date").select(
+        "symbol", "idx", F.col("date").alias("fwd_date"), F.col("close").alias("fwd_close"))
+    return now.join(later, ["symbol", "idx"]).drop("idx")
+
+
+def forward_returns_calendar(bars: DataFrame, horizons: Sequence[int], dates: DataFrame | None = None) -> DataFrame:
+    """``(symbol, date, h, fwd)`` on the union calendar."""
+    p = forward_prices(bars, horizons, dates)
+    return p.select("symbol", "date", "h", ((F.col("fwd_close") - F.col("close")) / F.col("close")).alias("fwd"))
+
+
+def features_on(dates: DataFrame, series: DataFrame) -> DataFrame:
+    """Feature values as of the given dates: ``series`` is ``(symbol, date, feature, value)``."""
+    grid = series.select("symbol", "feature").distinct().select("symbol", "feature", F.explode(calendars.date_array(dates)).alias("date"))
+    out = asof.backward(grid, series, on=["symbol", "feature"], cols=["value"])
+    return out.filter(F.col("value").isNotNull()).drop("asof_date")
+
+
+# ---------------------------------------------------------------- rank correlation
+
+
+def rank_ic(panel: DataFrame, by: Sequence[str] = ("date",), value: str = "value", label: str = "fwd", min_names: int = 10) -> DataFrame:
+    """Spearman correlation of value and label per group, average ranks."""
+    by = list(by)
+    both = panel.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
+    ranked = ranks.average(both, by, value, "symbol", "_rv")
+    ranked = ranks.average(ranked, by, label, "symbol", "_rl")
+    out = ranked.groupBy(*by).agg(rank_correlation("_rv", "_rl").alias("ic"), F.count(F.lit(1)).alias("n"))
+    return out.filter((F.col("n") >= min_names) & F.col("ic").isNotNull())
+
+
+def ic_summary(ic: DataFrame, by: Sequence[str], min_dates: int = 5) -> DataFrame:
+    """Mean, sample deviation, information ratio and hit rate of an IC series."""
+    out = ic.groupBy(*by).agg(
+        F.count("ic").alias("n_obs"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"),
+        F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),
+    )
+    enough = F.col("n_obs") >= min_dates
+    ir = F.coalesce(ratio(F.col("mean"), F.col("std")), F.lit(0.0))
+    return out.select(*by, "n_obs", *[F.when(enough, c).alias(n) for n, c in (
+        ("mean", F.col("mean")), ("std", F.col("std")), ("ir", ir), ("hit_rate", F.col("hit_rate")))])
+
+
+def overlap_lags(horizon: int, step: int = 21) -> int:
+    return max(0, math.ceil(horizon / step) - 1)
+
+
+def newey_west(ic: DataFrame, by: Sequence[str], lags: int) -> DataFrame:
+    """t-statistic of the mean IC with a Bartlett-weighted long-run variance."""
+    group = Window.partitionBy(*by)
+    line = group.orderBy("date")
+    dev = ic.withColumn("_dev", F.col("ic") - F.avg("ic").over(group))
+    dev = dev.withColumns({f"_p{k}": F.col("_dev") * F.lag("_dev", k).over(line) for k in range(lags + 1)})
+    agg = dev.groupBy(*by).agg(F.count("ic").alias("n"), F.avg("ic").alias("mu"), *[F.avg(f"_p{k}").alias(f"g{k}") for k in range(lags + 1)])
+    var = F.col("g0")
+    for k in range(1, lags + 1):
+        var = var + 2.0 * (1.0 - k / (lags + 1)) * F.col(f"g{k}")
+    se = F.sqrt(F.greatest(var, F.lit(1e-18)) / F.col("n"))
+    return agg.select(*by, F.when(F.col("n") >= max(5, lags + 2), F.col("mu") / se).alias("t_nw"))
+
+
+def neutralise(panel: DataFrame, n_sectors: int, by: Sequence[str] = ("date",), value: str = "value") -> DataFrame:
+    """Residual of the value on sector dummies and log market cap, per group.
+
+    Sector dummies are removed by demeaning within the sector, the slope on the demeaned
+    log size is one ratio of sums.  Needs columns ``sector`` and ``market_cap``.
+    """
+    by = list(by)
+    ok = panel.filter(F.col(value).isNotNull() & (F.col("market_cap") > 0)).withColumn("_m", F.ln("market_cap"))
+    means = ok.groupBy(*by, "sector").agg(F.avg(value).alias("_fv"), F.avg("_m").alias("_fm"))
+    centred = ok.join(means, [*by, "sector"]).withColumns(
+        {"_f": F.col(value) - F.col("_fv"), "_x": F.col("_m") - F.col("_fm")})
+    slopes = centred.groupBy(*by).agg(
+        F.sum(F.col("_f") * F.col("_x")).alias("_fx"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"), F.count(F.lit(1)).alias("_n"))
+    slopes = slopes.filter(F.col("_n") >= n_sectors + 2).select(*by, F.coalesce(ratio(F.col("_fx"), F.col("_xx")), F.lit(0.0)).alias("_b"))
+    return centred.join(slopes, by).withColumn("neutral", F.col("_f") - F.col("_b") * F.col("_x")).select(*panel.columns, "neutral")
+
+
+# ---------------------------------------------------------------- buckets and spreads
+
+
+def in_buckets(panel: DataFrame, by: Sequence[str], buckets: int = 5, value: str = "value") -> DataFrame:
+    """Rows with their quantile bucket (0 lowest); groups under two names per bucket drop."""
+    ranked = ranks.ordinal(panel.filter(F.col(value).isNotNull()), by, [value, "symbol"], "_rn", "_n")
+    return ranked.filter(F.col("_n") >= 2 * buckets).withColumn("bucket", ranks.bucket(F.col("_rn"), F.col("_n"), buckets)).drop("_rn", "_n")
+
+
+def bucket_returns(panel: DataFrame, by: Sequence[str] = ("date",), buckets: int = 5, value: str = "value", label: str = "fwd") -> DataFrame:
+    """Mean label per group and bucket."""
+    b = in_buckets(panel.filter(F.col(label).isNotNull()), by, buckets, value)
+    return b.groupBy(*by, "bucket").agg(F.avg(label).alias("ret"), F.count(F.lit(1)).alias("n"))
+
+
+def spreads(buckets_df: DataFrame, by: Sequence[str] = ("date",), buckets: int = 5) -> DataFrame:
+    """Top minus bottom bucket per group."""
+    top = F.max(F.when(F.col("bucket") == buckets - 1, F.col("ret")))
+    low = F.max(F.when(F.col("bucket") == 0, F.col("ret")))
+    return buckets_df.groupBy(*by).agg((top - low).alias("spread"))
+
+
+def spread_summary(buckets_df: DataFrame, by: Sequence[str], horizon: int, buckets: int = 5) -> DataFrame:
+    """Annualised spread, Sharpe ratio and monotonicity over complete dates."""
+    by = list(by)
+    cells = [F.max(F.when(F.col("bucket") == b, F.col("ret"))).alias(f"b{b}") for b in range(buckets)]
+    wide = buckets_df.groupBy(*by, "date").agg(*cells).dropna(subset=[f"b{b}" for b in range(buckets)])
+    spread = F.col(f"b{buckets - 1}") - F.col("b0")
+    year = 252.0 / horizon
+    agg = [F.count(F.lit(1)).alias("n_periods"), F.avg(spread).alias("_m"), F.stddev_samp(spread).alias("_s")]
+    agg += [F.avg(f"b{b}").alias(f"m{b}") for b in range(buckets)]
+    out = (wide.groupBy(*by) if by else wide.groupBy()).agg(*agg).filter(F.col("n_periods") >= 5)
+    means = F.array(*[F.col(f"m{b}") for b in range(buckets)])
+
+    def rank_of(x):
+        below = F.size(F.filter(means, lambda y: y < x))
+        same = F.size(F.filter(means, lambda y: y == x))
+        return below + (same + 1) / 2.0
+
+    rank = F.transform(means, rank_of)
+    mid = (buckets + 1) / 2.0
+    xy = sum(((b + 1 - mid) * (rank[b] - mid) for b in range(buckets)), F.lit(0.0))
+    yy = sum(((rank[b] - mid) * (rank[b] - mid) for b in range(buckets)), F.lit(0.0))
+    xx = sum((b + 1 - mid) ** 2 for b in range(buckets))
+    return out.select(
+        *by, "n_periods", (F.col("_m") * year * 100.0).alias("spread_ann_pct"),
+        F.coalesce(ratio(F.col("_m") * year, F.col("_s") * math.sqrt(year)), F.lit(0.0)).alias("spread_sharpe"),
+        F.coalesce(ratio(xy, F.sqrt(yy * xx)), F.lit(0.0)).alias("monotonicity"),
+        *[(F.col(f"m{b}") * year * 100.0).alias(f"bucket{b}_ann_pct") for b in range(buckets)],
+    )
+
+
+def top_turnover(panel: DataFrame, dates: DataFrame, by: Sequence[str] = (), buckets: int = 5, value: str = "value") -> DataFrame:
+    """Average share of the top bucket that changes between consecutive dates."""
+    by = list(by)
+    step = dates.select("date").distinct().withColumn("_t", F.row_number().over(Window.orderBy("date")))
+    top = in_buckets(panel, [*by, "date"], buckets, value).filter(F.col("bucket") == buckets - 1)
+    top = top.select(*by, "date", "symbol").join(step, "date").drop("date")
+    sizes = top.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("size"))
+    both = top.join(top.withColumn("_t", F.col("_t") + 1), [*by, "_t", "symbol"]).groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("both"))
+    prev = sizes.select(*by, (F.col("_t") + 1).alias("_t"), F.col("size").alias("prev_size"))
+    change = sizes.join(prev, [*by, "_t"]).join(both, [*by, "_t"], "left")
+    moved = F.col("size") + F.col("prev_size") - 2 * F.coalesce("both", F.lit(0))
+    return (change.groupBy(*by) if by else change.groupBy()).agg(F.avg(moved / (2.0 * F.col("size"))).alias("turnover"))
+
+
+# ---------------------------------------------------------------- relations between factors
+
+
+def factor_rank_correlation(wide: DataFrame, features: Sequence[str], min_names: int = 10) -> DataFrame:
+    """Per pair: Spearman per date on names that have both, averaged over dates.
+
+    Pairs are exploded inside the row; facts are never joined with themselves.
+    """
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb"))
+             for a, b in combinations(sorted(features), 2)]
+    long = wide.select("date", "symbol", F.inline(F.array(*pairs)))
+    per_date = rank_ic(long, ["date", "a", "b"], "va", "vb", min_names)
+    return per_date.groupBy("a", "b").agg(F.avg("ic").alias("corr"), F.count(F.lit(1)).alias("n_dates"))
+
+
+def spread_correlation(spread_series: DataFrame, min_overlap: int = 10) -> DataFrame:
+    """Correlation of spread series per feature pair on common dates."""
+    a = spread_series.select("date", F.col("feature").alias("a"), F.col("spread").alias("sa"))
+    b = spread_series.select("date", F.col("feature").alias("b"), F.col("spread").alias("sb"))
+    pairs = a.join(b, "date").filter((F.col("a") < F.col("b")) & F.col("sa").isNotNull() & F.col("sb").isNotNull())
+    out = pairs.groupBy("a", "b").agg(correlation("sa", "sb").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("corr", F.when(F.col("n") >= min_overlap, F.coalesce("corr", F.lit(0.0))).otherwise(0.0))
+
+
+def neighbours(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` features most related to each feature, by absolute correlation."""
+    both = pairs.select(F.col("a").alias("feature"), F.col("b").alias("neighbour"), "corr").unionByName(
+        pairs.select(F.col("b").alias("feature"), F.col("a").alias("neighbour"), "corr"))
+    w = Window.partitionBy("feature").orderBy(F.abs("corr").desc(), "neighbour")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def label_agreement(groups: DataFrame) -> DataFrame:
+    """Dominant label per group and the share of members that carry it."""
+    counts = groups.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("group").agg(
+        F.min_by("label", F.struct(-F.col("c"), "label")).alias("dominant"), F.sum("c").alias("size"),
+        (F.max("c") / F.sum("c")).alias("agreement"))
+
+
+def factor_cards(panel: DataFrame, horizons: Sequence[int], buckets: int = 5, step: int = 21, min_names: int = 10) -> DataFrame:
+    """One row per feature and horizon: IC block, spread block.
+
+    ``panel`` is ``(symbol, date, feature, h, value, fwd)``; one shuffle by
+    ``(feature, h, date)`` serves ranks and buckets.
+    """
+    keys = ["feature", "h"]
+    ic = rank_ic(panel, [*keys, "date"], min_names=min_names)
+    out = ic_summary(ic, keys)
+    tests = [newey_west(ic.filter(F.col("h") == h), keys, overlap_lags(h, step)) for h in horizons]
+    t = tests[0]
+    for other in tests[1:]:
+        t = t.unionByName(other)
+    b = bucket_returns(panel, [*keys, "date"], buckets)
+    parts = [spread_summary(b.filter(F.col("h") == h), keys, h, buckets) for h in horizons]
+    s = parts[0]
+    for other in parts[1:]:
+        s = s.unionByName(other)
+    return out.join(t, keys, "left").join(s, keys, "left")
+
+
+def daily_factor_spreads(panel: DataFrame, profiles: DataFrame, directions: dict[str, int], min_all: int = 50, min_sector: int = 20, buckets: int = 5) -> DataFrame:
+    """Daily top-bottom spread in percentage points per factor and universe.
+
+    The universes (everything and each sector) are exploded per row; ``fwd`` is a ratio.
+    """
+    ok = panel.filter(F.col("value").isNotNull() & F.col("fwd").isNotNull())
+    ok = ok.join(profiles.select("symbol", "sector"), "symbol", "left")
+    universes = F.array_compact(F.array(F.lit("all"), F.col("sector")))
+    rows = ok.withColumn("universe", F.explode(universes))
+    keys = ["universe", "feature", "date"]
+    ranked = ranks.ordinal(rows, keys, ["value", "symbol"], "_rn", "n_symbols")
+    least = F.when(F.col("universe") == "all", min_all).otherwise(min_sector)
+    ranked = ranked.filter(F.col("n_symbols") >= least).withColumn("bucket", ranks.bucket(F.col("_rn"), F.col("n_symbols"), buckets))
+    pp = F.col("fwd") * 100.0
+    out = ranked.groupBy(*keys).agg(
+        F.avg(F.when(F.col("bucket") == 0, pp)).alias("q1_mean_pp"),
+        F.avg(F.when(F.col("bucket") == buckets - 1, pp)).alias("q5_mean_pp"), F.max("n_symbols").alias("n_symbols"))
+    sign = F.create_map(*[F.lit(x) for kv in directions.items() for x in kv])[F.col("feature")]
+    return out.filter(F.col("q1_mean_pp").isNotNull() & F.col("q5_mean_pp").isNotNull()).select(
+        "date", F.col("feature").alias("factor"), "universe", "q1_mean_pp", "q5_mean_pp",
+        (sign * (F.col("q5_mean_pp") - F.col("q1_mean_pp"))).alias("spread_pp"), "n_symbols")
+
+
+def cumulative_factor_returns(spreads_df: DataFrame, start, end) -> DataFrame:
+    """Sum of log factor returns over ``(start, end]``, in percentage points."""
+    r = F.col("spread_pp") / 100.0
+    inside = spreads_df.filter((F.col("date") > F.lit(start).cast("date")) & (F.col("date") <= F.lit(end).cast("date")))
+    return inside.filter(r > -0.99999).groupBy("factor", "universe").agg(
+        (F.sum(F.log1p(r)) * 100.0).alias("cum_log_pp"), F.count(F.lit(1)).alias("n_days"))
+
+
+def annual_factor_table(spreads_df: DataFrame, universes: Sequence[str]) -> DataFrame:
+    """Annualised mean factor return per universe and its difference to everything."""
+    mean = {u: F.avg(F.when(F.col("universe") == u, F.col("spread_pp"))) * 252.0 for u in ["all", *universes]}
+    out = spreads_df.groupBy("factor").agg(*[c.alias(f"{u}_ann_pp") for u, c in mean.items()])
+    extra = [(F.col(f"{u}_ann_pp") - F.col("all_ann_pp")).alias(f"{u}_minus_all_pp") for u in universes]
+    return out.select("*", *extra)
+
+
+# ---------------------------------------------------------------- combination
+
+
+def ranked_panel(panel: DataFrame, factors: Sequence[str], label: str = "fwd") -> DataFrame:
+    """Complete rows with factors and label as ordinal ranks in [-0.5, 0.5] per date."""
+    out = panel.select("symbol", "date", *factors, label).dropna()
+    for c in [*factors, label]:
+        out = ranks.ordinal(out, ["date"], [c, "symbol"], "_rn", "_n")
+        scaled = F.when(F.col("_n") > 1, (F.col("_rn") - 1) / (F.col("_n") - 1) - 0.5).otherwise(0.0)
+        out = out.withColumn(f"r_{c}", scaled).drop("_rn", "_n")
+    return out.select("symbol", "date", *[f"r_{c}" for c in factors], F.col(f"r_{label}").alias("r_y"))
 
-def forward_prices(bars, horizons):
-    """Close ``h`` calendar rows ahead on the union calendar."""
+
+def date_moments(ranked: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Per date: counts, sums and products; everything later is a sum of these rows."""
+    cols = [f"r_{f}" for f in factors]
+    agg = [F.count(F.lit(1)).alias("n"), F.sum("r_y").alias("sy"), F.sum(F.col("r_y") * F.col("r_y")).alias("syy")]
+    agg += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
+    agg += [F.sum(F.col(c) * F.col("r_y")).alias(f"y{i}") for i, c in enumerate(cols)]
+    agg += [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"x{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    out = ranked.groupBy("date").agg(*agg)
+    return out.withColumn("t", F.row_number().over(Window.orderBy("date")) - 1)
+
+
+def _factor_ic(i: int) -> Column:
+    xy = F.col(f"y{i}") - F.col(f"s{i}") * F.col("sy") / F.col("n")
+    xx = F.col(f"x{i}_{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")
+    yy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    return F.coalesce(ratio(xy, F.sqrt(xx) * F.sqrt(yy)), F.lit(0.0))
+
+
+def mean_factor_ic(moments: DataFrame, factors: Sequence[str], min_names: int = 5) -> DataFrame:
+    """Mean rank IC per factor over dates with enough names."""
+    big = moments.filter(F.col("n") >= min_names)
+    one = big.agg(*[F.avg(_factor_ic(i)).alias(f) for i, f in enumerate(factors)])
+    return one.unpivot([], list(factors), "factor", "ic")
+
+
+def _combined(weights: Sequence[float]) -> Column:
+    """IC of the weighted score on one date, from its moments."""
+    k = len(weights)
+    lit = [F.lit(float(w)) for w in weights]
+    s = sum((lit[i] * F.col(f"s{i}") for i in range(k)), F.lit(0.0))
+    y = sum((lit[i] * F.col(f"y{i}") for i in range(k)), F.lit(0.0))
+    x = sum((lit[i] * lit[j] * F.col(f"x{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)), F.lit(0.0))
+    n = F.col("n")
+    den = F.sqrt(F.greatest((x - s * s / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n), F.lit(0.0)))
+    return F.when(den > 1e-12, (y - s * F.col("sy") / n) / den)
+
+
+def combined_ic(moments: DataFrame, weights: Sequence[float], min_names: int = 5) -> DataFrame:
+    return moments.filter(F.col("n") >= min_names).agg(F.coalesce(F.avg(_combined(weights)), F.lit(0.0)).alias("combined_ic"))
+
+
+def factor_covariance(ranked: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Pooled sample covariance of the ranked factors, one row per pair."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
+    one = ranked.agg(*[F.covar_samp(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("cov")) for a, b in pairs])
+    return one.select(F.inline(cells))
+
+
+def solve_weights(ic: np.ndarray, cov: np.ndarray, method: str = "ic_optimal", shrinkage: float = 0.3) -> np.ndarray:
+    """Non-negative weights that sum to one (a k-by-k solve on the driver)."""
+    k = len(ic)
+    if method == "equal":
+        w = np.ones(k)
+    elif method == "ic_weighted":
+        w = np.clip(ic, 0, None)
+    elif method == "ic_optimal":
+        # 0.8 / 0.2 diagonal shrinkage and a ridge of 1e-4.
+        w = np.linalg.solve(0.8 * cov + 0.2 * np.diag(np.diag(cov)) + 1e-4 * np.eye(k), ic)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    w = np.clip(w, 0, None)
+    w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
+    w = (1 - shrinkage) * w + shrinkage / k
+    return w / w.sum()
+
+
+def _pooled(row, k: int, signs: np.ndarray):
+    """(n, mean IC, covariance) from summed moments."""
+    n = row["n"]
+    s = np.array([row[f"s{i}"] for i in range(k)]) * signs
+    x = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] * signs[i] * signs[j] for j in range(k)] for i in range(k)])
+    cov = (x - np.outer(s, s) / n) / (n - 1)
+    ic = np.array([row[f"ic{i}"] or 0.0 for i in range(k)]) * signs
+    return n, ic, cov
+
+
+def _summed(moments: DataFrame, k: int) -> list:
+    sums = [F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]]
+    sums += [F.sum(f"x{i}_{j}").alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums += [F.avg(F.when(F.col("n") >= 5, _factor_ic(i))).alias(f"ic{i}") for i in range(k)]
+    return sums
+
+
+def purged_oos_ic(moments: DataFrame, k: int, signs: Sequence[float], method: str, shrinkage: float, folds: int = 5, embargo: int = 63) -> DataFrame:
+    """Out-of-sample IC per contiguous fold; weights come from the other dates outside the embargo.
+
+    Two small jobs on the per-date moments: one row per fold for training, then the
+    scored test dates.
+    """
+    spark = moments.sparkSession
+    total = moments.count()
+    if total < 2 * folds:
+        return spark.createDataFrame([], "fold int, oos_ic double")
+    edges = [int(total * i / folds) for i in range(folds + 1)]
+    fold = sum((F.when(F.col("t") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    bounds = spark.createDataFrame(
+        [(i, max(0, edges[i] - embargo), min(total, edges[i + 1] + embargo)) for i in range(folds)], "fold int, lo int, hi int")
+    train = moments.join(bounds, (F.col("t") < F.col("lo")) | (F.col("t") >= F.col("hi")))
+    learned = {r["fold"]: r for r in train.groupBy("fold").agg(*_summed(moments, k)).collect()}
+    tested = {r["fold"]: r["n"] for r in moments.groupBy(fold.alias("fold")).agg(F.sum("n").alias("n")).collect()}
+    signs = np.asarray(signs, dtype=float)
+    score = None
+    for i in range(folds):
+        if i not in learned or learned[i]["n"] < 100 or tested.get(i, 0) < 50:
+            continue
+        _, ic, cov = _pooled(learned[i], k, signs)
+        w = solve_weights(np.clip(ic, 0, None), cov, method, shrinkage) * signs
+        hit = F.when(F.col("fold") == i, _combined(w))
+        score = hit if score is None else F.coalesce(score, hit)
+    if score is None:
+        return spark.createDataFrame([], "fold int, oos_ic double")
+    scored = moments.filter(F.col("n") >= 5).withColumn("fold", fold).withColumn("ic", score)
+    return scored.groupBy("fold").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("oos_ic"))
+
+
+def combine_factors(panel: DataFrame, factors: Sequence[str], label: str = "fwd", method: str = "ic_optimal", shrinkage: float = 0.3, folds: int = 5, embargo: int = 63, min_rows: int = 200) -> dict:
+    """Weight block and diagnostics of a factor combination; only small aggregates are collected."""
+    k = len(factors)
+    moments = date_moments(ranked_panel(panel, factors, label), factors).cache()
+    try:
+        row = moments.agg(*_summed(moments, k), F.count(F.lit(1)).alias("dates")).first()
+        if (row["n"] or 0) < min_rows:
+            return {"error": f"insufficient labeled rows ({row['n'] or 0})"}
+        raw = np.array([row[f"ic{i}"] or 0.0 for i in range(k)])
+        signs = np.where(raw >= 0, 1.0, -1.0)
+        n, ic, cov = _pooled(row, k, signs)
+        w = solve_weights(np.abs(ic), cov, method, shrinkage)
+        inside = combined_ic(moments, w * signs).first()[0]
+        mean = lambda rows: float(np.mean(rows)) if rows else None
+        oos = [r["oos_ic"] for r in purged_oos_ic(moments, k, signs, method, shrinkage, folds, embargo).orderBy("fold").collect()]
+        equal = [r["oos_ic"] for r in purged_oos_ic(moments, k, signs, "equal", shrinkage, folds, embargo).collect()]
+    finally:
+        moments.unpersist()
+    return {
+        "weights": {f: float(x) for f, x in zip(factors, w, strict=True)},
+        "signs": {f: "+" if s > 0 else "-" for f, s in zip(factors, signs, strict=True)},
+        "rank_ic": {f: float(x) for f, x in zip(factors, raw, strict=True)},
+        "n_rows": int(n), "n_dates": int(row["dates"]), "combined_ic_in_sample": inside,
+        "combined_ic_oos": mean(oos), "combined_ic_oos_folds": oos, "equal_weight_ic_oos": mean(equal),
+        "verdict": combination_verdict(mean(oos), mean(equal), inside),
+    }
+
+
+def combination_verdict(oos, equal, inside) -> str:
+    if oos is None:
+        return "insufficient data"
+    if oos <= 0:
+        text = "does not generalise"
+    elif equal is not None and oos < equal:
+        text = "equal weights do better out of sample"
+    else:
+        text = "generalises"
+    if inside and inside > 2 * max(oos, 1e-6):
+        text += "; large in-sample gap"
+    return text
+
+
+# ---------------------------------------------------------------- signal portfolios
+
+
+def signal_portfolio(entries: DataFrame, bars: DataFrame, hold: int, by: Sequence[str] = ()) -> DataFrame:
+    """Daily return of equal-weighted open entries, each held ``hold`` days from the next day.
+
+    A dense (symbol, calendar date) grid turns holding counts into one trailing sum.
+    ``by`` names portfolios in ``entries`` that are evaluated together.
+    """
+    by = list(by)
     cal = calendars.calendar(bars)
-    steps = F.explode(F.array(*[F.lit(h) for h in horizons]))
-    now = bars.select("symbol", "date", "close").join(cal, "date").withColumn("h", steps)
-    now = now.withColumn("idx", F.col("idx") + F.col("h"))
-    later = bars.select("symbol", F.col("date").alias("fwd_date"), F.col("close").alias("fwd_close")).join(
-        cal.select(F.col("date").alias("fwd_date"), "idx"), "fwd_date")
-    return now.join(later, ["symbol", "idx"])
+    used = entries.select(*by, "symbol").distinct()
+    dates = calendars.date_array(bars)
+    counts = entries.groupBy(*by, "symbol", "date").agg(F.count(F.lit(1)).alias("opened"))
+    grid = used.select(*by, "symbol", F.explode(dates).alias("date")).join(cal, "date")
+    prices = bars.select("symbol", "date", "close")
+    grid = grid.join(counts, [*by, "symbol", "date"], "left").join(prices, ["symbol", "date"], "left")
+    w = Window.partitionBy(*by, "symbol").orderBy("idx")
+    prev = F.lag("close").over(w)
+    grid = grid.select(
+        *by, "date", "idx", F.coalesce(F.sum("opened").over(w.rowsBetween(-hold, -1)), F.lit(0)).alias("open"),
+        F.when(prev > 0, (F.col("close") - prev) / prev).alias("ret"))
+    live = F.when(F.col("ret").isNotNull(), F.col("open"))
+    out = grid.filter(F.col("idx") > 1).groupBy(*by, "date").agg(
+        F.coalesce(ratio(F.sum(live * F.col("ret")), F.sum(live).cast("double")), F.lit(0.0)).alias("ret"),
+        F.coalesce(F.sum(live), F.lit(0)).alias("positions"))
+    return out
+
+
+def event_returns(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """Entries with their forward return on the union calendar."""
+    fwd = forward_returns_calendar(bars, [horizon]).drop("h")
+    return entries.select("symbol", "date").join(fwd, ["symbol", "date"])
+
+
+def event_stats(events: DataFrame, key: Column, name: str) -> DataFrame:
+    """Triggers, win rate and average return per year, symbol, …"""
+    return events.groupBy(key.alias(name)).agg(
+        F.count(F.lit(1)).alias("triggers"), F.avg((F.col("fwd") > 0).cast("double")).alias("win_rate"),
+        F.avg("fwd").alias("avg_return"))
+
+
+def best_and_worst(stats: DataFrame, k: int = 20) -> DataFrame:
+    """Top and bottom ``k`` symbols by average return."""
+    top = stats.orderBy(F.desc("avg_return"), "symbol").limit(k).withColumn("side", F.lit("top"))
+    low = stats.orderBy(F.asc("avg_return"), F.desc("symbol")).limit(k).withColumn("side", F.lit("bottom"))
+    return top.unionByName(low)
+
+
+def portfolio_correlation(returns: DataFrame, key: str = "signal") -> DataFrame:
+    """Correlation of daily returns for every pair of signal portfolios."""
+    a = returns.select("date", F.col(key).alias("a"), F.col("ret").alias("ra"))
+    b = returns.select("date", F.col(key).alias("b"), F.col("ret").alias("rb"))
+    pairs = a.join(b, "date").filter(F.col("a") < F.col("b"))
+    return pairs.groupBy("a", "b").agg(F.coalesce(correlation("ra", "rb"), F.lit(0.0)).alias("corr"))
+
+
+def forward_selection(signals: dict[str, DataFrame], bars: DataFrame, hold: int, max_corr: float = 0.8, min_entries: int = 5) -> list[dict]:
+    """Greedy selection of signals that must fire together, by Sharpe ratio.
+
+    The driver only steps; every step evaluates all remaining candidates in one job,
+    with the candidate as a grouping key.
+    """
+    chosen: list[str] = []
+    steps: list[dict] = []
+    best, running = -math.inf, None
+    left = dict(signals)
+    while left:
+        line = None
+        for name, s in sorted(left.items()):
+            e = s.select("symbol", "date").distinct()
+            if running is not None:
+                e = e.join(running, ["symbol", "date"], "left_semi")
+            e = e.withColumn("signal", F.lit(name))
+            line = e if line is None else line.unionByName(e)
+        sized = line.groupBy("signal").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_entries)
+        line = line.join(sized.select("signal"), "signal", "left_semi")
+        rets = signal_portfolio(line, bars, hold, ["signal"])
+        score = rets.groupBy("signal").agg(
+            F.coalesce(ratio(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(252), F.lit(0.0)).alias("sharpe"))
+        if chosen:
+            combo = signal_portfolio(running, bars, hold).select("date", F.col("ret").alias("rc"))
+            score = score.join(rets.join(combo, "date").groupBy("signal").agg(correlation("ret", "rc").alias("corr")), "signal")
+        else:
+            score = score.withColumn("corr", F.lit(None).cast("double"))
+        rows = score.orderBy(F.desc("sharpe"), "signal").collect()  # one row per candidate
+        pick = next((r for r in rows if r["corr"] is None or abs(r["corr"]) <= max_corr), None)
+        if pick is None or pick["sharpe"] <= best:
+            break
+        steps.append({"step": len(steps) + 1, "signal": pick["signal"], "sharpe": pick["sharpe"],
+                      "gain": None if best == -math.inf else pick["sharpe"] - best, "corr": pick["corr"]})
+        best = pick["sharpe"]
+        chosen.append(pick["signal"])
+        add = left.pop(pick["signal"]).select("symbol", "date").distinct()
+        running = add if running is None else running.join(add, ["symbol", "date"], "left_semi")
+    return steps
+
+
+# ---------------------------------------------------------------- stability of an IC series
+
+
+def rolling_ic(ic: DataFrame, window: int, by: Sequence[str] = (), min_share: float = 1.2) -> DataFrame:
+    """Trailing mean, deviation and information ratio; series shorter than 1.2 windows drop."""
+    by = list(by)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    w = group.orderBy("date").rowsBetween(1 - window, 0)
+    out = ic.withColumns({
+        "ic_mean": F.avg("ic").over(w), "ic_std": F.stddev_samp("ic").over(w), "k": F.count("ic").over(w),
+        "total": F.count("ic").over(group)})
+    out = out.filter((F.col("k") == window) & (F.col("total") >= int(window * min_share)))
+    ir = F.coalesce(ratio(F.col("ic_mean"), F.col("ic_std")), F.lit(0.0))
+    return out.select(*by, "date", "ic_mean", "ic_std", ir.alias("ir"))
+
+
+def ir_distribution(rolling: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles of the rolling ratio and where its last value sits."""
+    by = list(by)
+    last = F.max_by("ir", "date")
+    agg = [F.percentile("ir", p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)]
+    group = rolling.groupBy(*by) if by else rolling.groupBy()
+    out = group.agg(*agg, F.count("ir").alias("n"), last.alias("last"), F.collect_list("ir").alias("_all"))
+    below = F.size(F.filter("_all", lambda x: x <= F.col("last")))
+    return out.withColumn("current_percentile", below / F.col("n") * 100).drop("_all")
+
+
+def largest_shifts(rolling: DataFrame, by: Sequence[str], lookback: int = 60, top: int = 5) -> DataFrame:
+    """Largest changes of the mean ratio between the rows before and after a date."""
+    by = list(by)
+    schema = ", ".join(f"{c} {rolling.schema[c].dataType.simpleString()}" for c in by)
+    schema += ", date date, before double, after double, z double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        n, x = len(pdf), pdf["ir"].to_numpy()
+        columns = [*by, "date", "before", "after", "z"]
+        if n < 2 * lookback + 2:
+            return pd.DataFrame(columns=columns)
+        total = np.concatenate([[0.0], np.cumsum(x)])
+        i = np.arange(lookback, n - lookback)
+        before, after = (total[i] - total[i - lookback]) / lookback, (total[i + lookback] - total[i]) / lookback
+        shift = after - before
+        sd = shift.std(ddof=1)
+        if not sd > 0:
+            return pd.DataFrame(columns=columns)
+        kept: list[int] = []
+        for j in np.argsort(-np.abs(shift), kind="stable"):
+            if all(abs(j - k) >= lookback // 2 for k in kept):
+                kept.append(int(j))
+                if len(kept) == top:
+                    break
+        kept.sort()
+        out = pdf.loc[i[kept], [*by, "date"]].copy()
+        out["before"], out["after"], out["z"] = before[kept], after[kept], shift[kept] / sd
+        return out[columns]
+
+    return rolling.groupBy(*by).applyInPandas(run, schema=schema)
+
+
+def bridge_p_value(stat: float) -> float:
+    """Tail probability of the supremum of a Brownian bridge (four series terms)."""
+    if stat <= 0:
+        return 1.0
+    return float(min(1.0, max(0.0, 2 * sum((-1) ** (k + 1) * math.exp(-2 * (k * stat) ** 2) for k in range(1, 5)))))
+
+
+def change_points(rolling: DataFrame, by: Sequence[str], alpha: float = 0.05, depth: int = 2, least: int = 60) -> DataFrame:
+    """Breaks in the mean by recursive CUSUM, at most ``depth`` levels of splitting."""
+    by = list(by)
+    schema = ", ".join(f"{c} {rolling.schema[c].dataType.simpleString()}" for c in by)
+    schema += ", date date, p_value double, depth int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        x, found = pdf["ir"].to_numpy(), []
+        todo = [(0, len(x), 0)]
+        while todo:
+            lo, hi, level = todo.pop()
+            part = x[lo:hi]
+            if level > depth or len(part) < least or not part.std(ddof=1) > 0:
+                continue
+            stat = np.abs(np.cumsum(part - part.mean())) / (part.std(ddof=1) * math.sqrt(len(part)))
+            at = int(stat.argmax())
+            p = bridge_p_value(float(stat[at]))
+            if p < alpha:
+                found.append((lo + at, p, level))
+                todo += [(lo, lo + at, level + 1), (lo + at + 1, hi, level + 1)]
+        found.sort()
+        out = pdf.loc[[f[0] for f in found], [*by, "date"]].copy()
+        out["p_value"], out["depth"] = [f[1] for f in found], [f[2] for f in found]
+        return out
+
+    return rolling.groupBy(*by).applyInPandas(run, schema=schema)
+
+
+# ---------------------------------------------------------------- exposure and attribution
+
+
+def zscores(long: DataFrame, by: Sequence[str] = ("date", "feature"), min_names: int = 5) -> DataFrame:
+    """Population z-score per cross-section with at least ``min_names`` names."""
+    by = list(by)
+    ok = long.filter(F.col("value").isNotNull())
+    m = ok.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    m = m.filter((F.col("_n") >= min_names) & (F.col("_s") > 0)).drop("_n")
+    return ok.join(m, by).withColumn("z", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def exposure(weights: DataFrame, z: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """Weighted mean z per factor over the holdings that have it."""
+    j = weights.join(z, [c for c in weights.columns if c in z.columns and c != "weight"])
+    return j.groupBy(*by).agg(
+        ratio(F.sum(F.col("weight") * F.col("z")), F.sum("weight")).alias("exposure"), F.sum("weight").alias("coverage"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def contributors(weights: DataFrame, z: DataFrame, by: Sequence[str] = ("feature",), k: int = 5) -> DataFrame:
+    """Holdings that move each exposure most."""
+    j = weights.join(z, [c for c in weights.columns if c in z.columns and c != "weight"])
+    j = j.withColumn("contribution", F.col("weight") * F.col("z"))
+    w = Window.partitionBy(*by).orderBy(F.abs("contribution").desc(), "symbol")
+    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "symbol", "weight", "z", "contribution", "rank")
+
+
+def category_bets(exposures: DataFrame, categories: dict[str, tuple[str, int]]) -> DataFrame:
+    """Mean exposure per category, factors that want a low value counted with a minus."""
+    table = F.create_map(*[x for k, (c, s) in categories.items() for x in (F.lit(k), F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")))])
+    e = exposures.withColumn("_k", table[F.col("feature")]).filter(F.col("_k").isNotNull())
+    return e.groupBy(F.col("_k.c").alias("category")).agg(F.avg(F.col("exposure") * F.col("_k.s")).alias("bet"), F.count(F.lit(1)).alias("n_factors"))
+
+
+def concentration(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Herfindahl index, effective number of names, largest weight."""
+    g = weights.groupBy(*by) if by else weights.groupBy()
+    hhi = F.sum(F.col("weight") * F.col("weight"))
+    return g.agg(hhi.alias("hhi"), (1.0 / F.nullif(hhi, F.lit(0.0))).alias("effective_n"), F.max("weight").alias("max_weight"), F.count(F.lit(1)).alias("n"))
+
+
+def attribution(exposures: DataFrame, factor_returns: DataFrame, total_log_pp: float, loading: float = 1.0) -> DataFrame:
+    """Contribution of each factor to a log return, with residual and share explained."""
+    j = exposures.join(factor_returns, exposures["feature"] == factor_returns["factor"]).select(
+        "factor", "exposure", "cum_log_pp", (F.col("exposure") * F.col("cum_log_pp") * loading).alias("contribution"))
+    total = F.sum("contribution").over(Window.partitionBy(F.lit(0)))
+    return j.select("*", total.alias("explained"), (total_log_pp - total).alias("residual"),
+                    ratio(total, F.lit(float(total_log_pp))).alias("share_explained"))
+
+
+def cohort_spearman(df: DataFrame, a: str, b: str, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation and moments of paired metrics (in-sample against out-of-sample)."""
+    ok = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_g", F.lit(0))
+    cols = [*names(list(by)), "_g"]
+    r = ranks.average(ranks.average(ok, cols, a, key, "_ra"), cols, b, key, "_rb")
+    return r.groupBy(*cols).agg(
+        rank_correlation("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
+        F.stddev_samp(a).alias("std_a"), F.stddev_samp(b).alias("std_b")).drop("_g")

@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitfactors.functions import ranks
-from pitfactors.functions.columns import between_dates, half_up, rows
+from pitfactors.functions.columns import between_dates, by_symbol, half_up, rows, so_far
 from pitfactors.operators import calendars
 
-BY = Window.partitionBy("symbol").orderBy("date")
-PAST = BY.rowsBetween(Window.unboundedPreceding, 0)
 
 
 # ---------------------------------------------------------------- peaks and selloffs
@@ -37,7 +35,7 @@ def running_peak(bars: DataFrame, window: str = "all_time") -> DataFrame:
         best = F.max(earliest).over(rows(252))
         out = out.withColumn("_b", best).withColumn("_d", -F.col("_b.d"))
     else:
-        frame = PAST
+        frame = so_far()
         if window == "ytd":
             frame = Window.partitionBy("symbol", F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         elif window != "all_time":
@@ -60,7 +58,7 @@ def selloffs(bars: DataFrame, threshold: float = -20.0, window: str = "all_time"
         )
     # A new high opens an epoch and, by definition, recovers the one before it.
     new_high = (F.col("peak_date") == F.col("date")).cast("int")
-    series = series.withColumn("epoch", F.sum(new_high).over(PAST))
+    series = series.withColumn("epoch", F.sum(new_high).over(so_far()))
     in_epoch = Window.partitionBy("symbol", "epoch").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     started = F.max(F.col("drawdown_pct") <= threshold).over(in_epoch)
     end = series.groupBy("symbol").agg(
@@ -169,43 +167,50 @@ def scan_selloffs(bars, threshold=-20.0, window="all_time", condition=None, with
 # ---------------------------------------------------------------- drops
 
 
-def period_drops(bars: DataFrame, n: int = 5, threshold: float = -10.0) -> DataFrame:
-    """Worst fall from an earlier peak inside every trailing window of ``n`` rows."""
-    point = F.struct(F.col("close").alias("c"), F.col("date").alias("d"))
-    seen = bars.select(
-        "symbol", "date", "close", F.collect_list(point).over(rows(n - 1)).alias("w"), F.count("*").over(
-            Window.partitionBy("symbol")).alias("n_bars"),
-    ).filter((F.size("w") == n) & (F.col("n_bars") > n))
-    none_d, none_c = F.lit(None).cast("date"), F.lit(None).cast("double")
-    first = F.element_at("w", 1)
-    zero = F.struct(
-        first["c"].alias("pp"), first["d"].alias("pd"), F.lit(0.0).alias("dd"), none_c.alias("tp"), none_d.alias("td"),
-        none_c.alias("ep"), none_d.alias("ed"),
-    )
+_DROP_SCHEMA = (
+    "symbol string, signal_date date, close double, peak_date date, peak_price double, trough_date date, "
+    "trough_price double, drawdown_pct double"
+)
 
-    def step(a, x):
-        rise = x["c"] >= a["pp"]
-        peak, day = F.when(rise, x["c"]).otherwise(a["pp"]), F.when(rise, x["d"]).otherwise(a["pd"])
-        fall = F.when(peak > 0, (x["c"] - peak) / peak * 100).otherwise(0.0)
-        worse = fall < a["dd"]
-        return F.struct(
-            peak.alias("pp"), day.alias("pd"), F.when(worse, fall).otherwise(a["dd"]).alias("dd"),
-            F.when(worse, x["c"]).otherwise(a["tp"]).alias("tp"), F.when(worse, x["d"]).otherwise(a["td"]).alias("td"),
-            F.when(worse, peak).otherwise(a["ep"]).alias("ep"), F.when(worse, day).otherwise(a["ed"]).alias("ed"),
-        )
 
-    worst = seen.withColumn("b", F.aggregate("w", zero, step)).filter(
-        (F.col("b.dd") <= threshold) & F.col("b.td").isNotNull())
-    return worst.select(
-        "symbol", F.col("date").alias("signal_date"), "close", F.col("b.ed").alias("peak_date"),
-        F.col("b.ep").alias("peak_price"), F.col("b.td").alias("trough_date"), F.col("b.tp").alias("trough_price"),
-        half_up(F.col("b.dd"), 2).alias("drawdown_pct"),
-    )
+def period_drops(bars: DataFrame, n: int = 5, threshold: float = -10.0) -> DataFrame:
+    """Worst fall from an earlier peak inside every trailing window of ``n`` rows.
+
+    All windows of a symbol are one strided view: running maxima and minima are taken
+    along it in numpy, a batch of windows at a time.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        close, dates = pdf["close"].to_numpy(dtype=float), pdf["date"].to_numpy()
+        parts = []
+        if len(close) > n:
+            windows = np.lib.stride_tricks.sliding_window_view(close, n)
+            for first in range(0, len(windows), 4096):
+                w = windows[first: first + 4096]
+                peak = np.maximum.accumulate(w, axis=1)
+                at = np.maximum.accumulate(np.where(w == peak, np.arange(n), 0), axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    fall = np.where(peak > 0, (w - peak) / peak * 100, 0.0)
+                low = fall.argmin(axis=1)
+                i = np.arange(len(w))
+                worst = fall[i, low]
+                hit = np.flatnonzero((worst <= threshold) & (worst < 0))
+                start = first + hit
+                parts.append(pd.DataFrame({
+                    "symbol": pdf["symbol"].iloc[0], "signal_date": dates[start + n - 1], "close": close[start + n - 1],
+                    "peak_date": dates[start + at[hit, low[hit]]], "peak_price": peak[hit, low[hit]],
+                    "trough_date": dates[start + low[hit]], "trough_price": w[hit, low[hit]],
+                    "drawdown_pct": np.floor(worst[hit] * 100.0 + 0.5) / 100.0,
+                }))
+        columns = [c.split()[0] for c in _DROP_SCHEMA.split(", ")]
+        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+
+    return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, schema=_DROP_SCHEMA)
 
 
 def period_drop_events(raw: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Cluster raw drops whose troughs lie within ``n`` rows of the cluster's first trough."""
-    index = bars.select("symbol", F.col("date").alias("trough_date"), F.row_number().over(BY).alias("idx"))
+    index = bars.select("symbol", F.col("date").alias("trough_date"), F.row_number().over(by_symbol()).alias("idx"))
     placed = raw.join(index, ["symbol", "trough_date"])
     # Anchors are found on the distinct trough rows of a symbol: bounded by its bars.
     troughs = placed.groupBy("symbol").agg(F.sort_array(F.collect_set("idx")).alias("t"))
@@ -260,8 +265,8 @@ def current_drops(bars: DataFrame, n: int = 63, threshold: float = -15.0) -> Dat
 
 def daily_drops(bars: DataFrame, threshold: float = -5.0, start=None, end=None) -> DataFrame:
     """One-row change at or below the threshold; the prior bar may precede ``start``."""
-    prev = F.lag("close").over(BY)
-    out = bars.select("symbol", "date", "close", F.lag("date").over(BY).alias("prev_date"), prev.alias("prev_close"))
+    prev = F.lag("close").over(by_symbol())
+    out = bars.select("symbol", "date", "close", F.lag("date").over(by_symbol()).alias("prev_date"), prev.alias("prev_close"))
     change = (F.col("close") - F.col("prev_close")) / F.col("prev_close") * 100
     out = out.filter(F.col("prev_close") > 0).filter(change <= threshold)
     return between_dates(out.withColumn("change_pct", half_up(change, 2)), start, end)
@@ -277,7 +282,7 @@ def recent_peak(bars: DataFrame, n: int) -> DataFrame:
 
 def relative_outperformance(bars: DataFrame, benchmark: DataFrame, n: int = 126, threshold_pp: float = 20.0) -> DataFrame:
     """Own trailing return minus the benchmark's over the same two dates."""
-    then = bars.select("symbol", "date", "close", F.lag("close", n).over(BY).alias("c0"), F.lag("date", n).over(BY).alias("d0"))
+    then = bars.select("symbol", "date", "close", F.lag("close", n).over(by_symbol()).alias("c0"), F.lag("date", n).over(by_symbol()).alias("d0"))
     b1 = benchmark.select("date", F.col("close").alias("b1"))
     b0 = benchmark.select(F.col("date").alias("d0"), F.col("close").alias("b0"))
     out = then.filter((F.col("c0") > 0)).join(b1, "date").join(b0, "d0").filter((F.col("b1") > 0) & (F.col("b0") > 0))
@@ -317,7 +322,7 @@ def momentum_rank(bars: DataFrame, n: int = 63) -> DataFrame:
 def ma_crossover(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """Sign of fast minus slow average; frames hold today, first output after ``slow`` rows."""
     f, s = F.avg("close").over(rows(fast - 1)), F.avg("close").over(rows(slow - 1))
-    out = bars.select("symbol", "date", f.alias("f"), s.alias("s"), F.row_number().over(BY).alias("rn"))
+    out = bars.select("symbol", "date", f.alias("f"), s.alias("s"), F.row_number().over(by_symbol()).alias("rn"))
     return out.filter(F.col("rn") > slow).select("symbol", "date", F.signum(F.col("f") - F.col("s")).cast("int").alias("ma_signal"))
 
 
@@ -325,8 +330,8 @@ def volume_capitulation(bars: DataFrame, n: int = 20, multiple: float = 3.0) ->
     """Down day on at least ``multiple`` times the average volume of the ``n`` rows before."""
     vol = F.when(F.col("volume") > 0, F.col("volume"))
     out = bars.select(
-        "symbol", "date", "close", "volume", F.lag("close").over(BY).alias("prev"),
-        F.avg(vol).over(rows(n, 1)).alias("avg_vol"), F.row_number().over(BY).alias("rn"),
+        "symbol", "date", "close", "volume", F.lag("close").over(by_symbol()).alias("prev"),
+        F.avg(vol).over(rows(n, 1)).alias("avg_vol"), F.row_number().over(by_symbol()).alias("rn"),
     ).filter((F.col("rn") > n) & (F.col("volume") > 0) & (F.col("close") < F.col("prev")))
     r = F.col("volume") / F.col("avg_vol")
     return out.withColumn("r", r).filter(F.col("r") >= multiple).select("symbol", "date", half_up(F.col("r"), 2).alias("volume_ratio"))
@@ -337,7 +342,7 @@ def volume_capitulation(bars: DataFrame, n: int = 20, multiple: float = 3.0) ->
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Mean true range of the ``n`` bars before the date."""
-    prev = F.lag("close").over(BY)
+    prev = F.lag("close").over(by_symbol())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
     out = bars.withColumn("tr", F.when(prev.isNotNull(), tr))
     w = rows(n, 1)
@@ -346,7 +351,7 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def realised_vol(bars: DataFrame, n: int = 20, method: str = "historical", decay: float = 0.94) -> DataFrame:
     """Daily volatility of the ``n`` log returns before the date."""
-    prev = F.lag("close").over(BY)
+    prev = F.lag("close").over(by_symbol())
     out = bars.withColumn("lr", F.when((prev > 0) & (F.col("close") > 0), F.ln(F.col("close") / prev)))
     w = rows(n, 1)
     enough = F.count("lr").over(w) == n

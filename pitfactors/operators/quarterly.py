@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitfactors.functions.columns import half_up, ratio
+from pitfactors.functions.columns import by_symbol, half_up, ratio
 from pitfactors.operators import asof
 
-BY = Window.partitionBy("symbol").orderBy("date")
 
 
 def quarters(income: DataFrame, earnings: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def year_on_year(q: DataFrame) -> DataFrame:
 def with_streak(df: DataFrame, on: Column) -> DataFrame:
     """Length of the current run of quarters where ``on`` holds (islands between breaks)."""
     df = df.withColumn("_on", F.coalesce(on, F.lit(False)))
-    df = df.withColumn("_island", F.sum((~F.col("_on")).cast("int")).over(BY))
+    df = df.withColumn("_island", F.sum((~F.col("_on")).cast("int")).over(by_symbol()))
     run = Window.partitionBy("symbol", "_island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("streak", F.sum(F.col("_on").cast("int")).over(run))
 
@@ -53,7 +52,7 @@ def revenue_breakouts(yoy: DataFrame, threshold: float = 50.0) -> DataFrame:
 
 
 def revenue_acceleration(yoy: DataFrame, quarters_: int = 2) -> DataFrame:
-    v = yoy.filter(F.col("revenue_yoy").isNotNull()).withColumn("prev_revenue_yoy", F.lag("revenue_yoy").over(BY))
+    v = yoy.filter(F.col("revenue_yoy").isNotNull()).withColumn("prev_revenue_yoy", F.lag("revenue_yoy").over(by_symbol()))
     v = with_streak(v, F.col("revenue_yoy") > F.col("prev_revenue_yoy"))
     return v.filter(F.col("streak") >= quarters_).select(
         "symbol", "signal_date", "date", "period", "revenue_yoy", "prev_revenue_yoy", "streak")
@@ -71,7 +70,7 @@ def _margin_out(v, least):
 
 def margin_expansion(yoy: DataFrame, metric: str = "net_margin", quarters_: int = 2) -> DataFrame:
     v = _margin_rows(yoy, metric)
-    on = (F.col("margin_yoy_bps") > 0) & (F.col("margin") > F.lag("margin").over(BY))
+    on = (F.col("margin_yoy_bps") > 0) & (F.col("margin") > F.lag("margin").over(by_symbol()))
     return _margin_out(with_streak(v, on), quarters_)
 
 
@@ -85,7 +84,7 @@ def margin_collapse(yoy: DataFrame, metric: str = "net_margin", threshold_bps: f
 
 def revenue_deceleration(yoy: DataFrame, quarters_: int = 2, metric: str = "net_margin", need_compression: bool = True) -> DataFrame:
     v = yoy.filter(F.col("revenue_yoy").isNotNull()).withColumns(
-        {"prev_revenue_yoy": F.lag("revenue_yoy").over(BY), "margin_yoy_bps": F.col(f"{metric}_yoy_bps")})
+        {"prev_revenue_yoy": F.lag("revenue_yoy").over(by_symbol()), "margin_yoy_bps": F.col(f"{metric}_yoy_bps")})
     v = with_streak(v, F.col("revenue_yoy") < F.col("prev_revenue_yoy"))
     run = Window.partitionBy("symbol", "_island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     squeezed = F.coalesce(F.col("_on") & (F.col("margin_yoy_bps") < 0), F.lit(False))

@@ -101,9 +101,9 @@ _cond("c19_feature_percentile_sector", {"type": "feature_percentile", "feature":
 _cond("c20_days_to_earnings", {"type": "days_to_earnings"},
       f"""SELECT symbol, date, CAST(days AS DOUBLE) AS value FROM (SELECT s.symbol, c.date, min(e.date) - c.date AS days FROM calendar c JOIN (SELECT DISTINCT symbol FROM earnings) s ON TRUE
   JOIN earnings e ON e.symbol = s.symbol AND e.date >= c.date WHERE c.date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2) WHERE days BETWEEN 0 AND 7""", ("earnings",))
-_cond("c21_analyst_upgrades", {"type": "analyst_upgrades", "min_net_upgrades": 20},
+_cond("c21_analyst_upgrades", {"type": "analyst_upgrades", "min_net_upgrades": 5},
       f"""SELECT s.symbol, c.date, CAST(sum(n.net) AS DOUBLE) AS value FROM (SELECT date FROM calendar WHERE {SPAN}) c JOIN (SELECT DISTINCT symbol FROM net_grades) s ON TRUE
-  JOIN net_grades n ON n.symbol = s.symbol AND n.date BETWEEN c.date - 90 AND c.date GROUP BY 1, 2 HAVING sum(n.net) >= 20""", ("grades",), FQ.VIEWS)
+  JOIN net_grades n ON n.symbol = s.symbol AND n.date BETWEEN c.date - 90 AND c.date GROUP BY 1, 2 HAVING sum(n.net) >= 5""", ("grades",), FQ.VIEWS)
 
 
 EXITS = {**EQ._streaks("revenue_yoy < prev_yoy"),
