@@ -328,12 +328,12 @@ def v27b(spark, sf):
 @query("v28_signal_metrics",
        """SELECT (exp(sum(ln(1 + ret))) - 1) * 100 AS total_return_pct, (pow(exp(sum(ln(1 + ret))), 252.0 / (count(*) + 1)) - 1) * 100 AS ann_return_pct,
   stddev_samp(ret) * sqrt(252.0) * 100 AS ann_vol_pct, ((pow(exp(sum(ln(1 + ret))), 252.0 / (count(*) + 1)) - 1) * 100 - 2.0) / (stddev_samp(ret) * sqrt(252.0) * 100) AS sharpe_annualized,
-  (SELECT count(*) FROM entries) AS trigger_count FROM (SELECT ret * 0.01::DOUBLE AS ret FROM pnav)""", "total_return_pct:2 ann_return_pct:4 ann_vol_pct:4 sharpe_annualized", ENT)
+  (SELECT count(*) FROM entries) AS trigger_count FROM (SELECT ret * 0.001::DOUBLE AS ret FROM pnav)""", "total_return_pct:4 ann_return_pct ann_vol_pct sharpe_annualized", ENT)
 def v28(spark, sf):
     from pitfactors.operators import nav
 
     e = entries(spark, sf)
-    r = V.signal_portfolio(e, A.bars(spark, sf), 10).withColumn("ret", F.col("ret") * 0.01)  # one percent of capital
+    r = V.signal_portfolio(e, A.bars(spark, sf), 10).withColumn("ret", F.col("ret") * 0.001)  # a thousandth of the capital
     stats = nav.return_stats(r.withColumn("series_id", F.lit("s")), 2.0)
     return stats.select("total_return_pct", "ann_return_pct", "ann_vol_pct", "sharpe_annualized").withColumn("trigger_count", e.agg(F.count(F.lit(1))).scalar())
 
