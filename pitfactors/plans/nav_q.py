@@ -266,7 +266,7 @@ SB["lnav"] = """SELECT book, date, sum(CASE WHEN held > 0 THEN coalesce(held * c
   1e9 - sum(cost) + sum(real) + sum(CASE WHEN held > 0 THEN coalesce(held * close, cost) ELSE 0 END) AS nav FROM (SELECT g.book, g.symbol, g.date, r.held, r.cost, r.real, b.close FROM
    (SELECT k.book, k.symbol, c.date FROM (SELECT DISTINCT book, symbol FROM states) k, calendar c) g ASOF JOIN (SELECT * FROM realz) r ON r.book = g.book AND r.symbol = g.symbol AND g.date >= r.date
    ASOF LEFT JOIN (SELECT symbol, date, close FROM bars) b ON b.symbol = g.symbol AND g.date >= b.date) GROUP BY 1, 2"""
-NAVD = "positions_value:4 cash:4 nav:4"
+NAVD = "positions_value:2 cash:2 nav:2"
 
 
 def lnav(spark, sf):
@@ -278,7 +278,7 @@ def l04(spark, sf):
     return lnav(spark, sf)
 
 
-@query("l04_downsampled_nav", "SELECT book, date, nav FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY book) AS n FROM lnav) WHERE n <= 260 OR i = 0 OR i = n - 1 OR floor(i * 260 / n::DOUBLE) <> floor((i - 1) * 260 / n::DOUBLE)", "nav:4", SB)
+@query("l04_downsampled_nav", "SELECT book, date, nav FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY book) AS n FROM lnav) WHERE n <= 260 OR i = 0 OR i = n - 1 OR floor(i * 260 / n::DOUBLE) <> floor((i - 1) * 260 / n::DOUBLE)", "nav:2", SB)
 def l04b(spark, sf):
     return L.downsample(lnav(spark, sf), "book").select("book", "date", "nav")
 
@@ -340,7 +340,7 @@ def l08(spark, sf):
     return v.groupBy("rule", "book", "symbol", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l08_nav_violations", "SELECT 'I9_negative_nav' AS rule, book, nav AS detail FROM lnav WHERE nav < -1e-3 UNION ALL SELECT 'I8_nav_mismatch', book, f FROM (SELECT book, arg_max(nav, date) AS f FROM lnav GROUP BY 1) WHERE abs(f - 1e9 * 1.1::DOUBLE) >= 1e6", "detail:4", SB)
+@query("l08_nav_violations", "SELECT 'I9_negative_nav' AS rule, book, nav AS detail FROM lnav WHERE nav < -1e-3 UNION ALL SELECT 'I8_nav_mismatch', book, f FROM (SELECT book, arg_max(nav, date) AS f FROM lnav GROUP BY 1) WHERE abs(f - 1e9 * 1.1::DOUBLE) >= 1e6", "detail:2", SB)
 def l08b(spark, sf):
     n = lnav(spark, sf)
     totals = A.trades(spark, sf).select(F.col("sleeve").alias("book")).distinct().withColumn("total_return_pct", F.lit(10.0))

@@ -80,6 +80,12 @@ UNION ALL SELECT symbol, last, 'removed' FROM spans WHERE left_early""",
     "accounts": """SELECT CAST(n_regionkey AS VARCHAR) AS fund, o_custkey AS investor, CAST(o_orderdate AS DATE) AS date,
   o_orderkey AS flow_id, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "claims": """SELECT id, run, universe, CASE WHEN id % 2 = 0 THEN '{' || a || ',' || b || ',' || c || ',' || d || '}' ELSE '{' || d || ',' || c || ',' || b || ',' || a || '}' END AS test_spec,
+  '{' || a || ',' || replace(b, ':', ':"') || '",' || c || ',' || d || '}' AS canon, p, o, h, y, status, regime_conditions, promotions, created FROM
+  (SELECT *, '"conditioning_factor":"' || o || '"' AS a, '"horizon_days":' || h AS b, '"hypothesis":"' || y || '"' AS c, '"primary_factor":"' || p || '"' AS d FROM
+   (SELECT c_custkey AS id, c_nationkey AS run, c_mktsegment AS universe, ['mom', 'rev', 'vol'][c_custkey % 3 + 1] AS p, ['rev', 'vol', 'mom', 'mom'][c_custkey % 4 + 1] AS o, ['21', '63', '0'][c_custkey % 7 % 3 + 1] AS h,
+    CASE WHEN c_custkey % 11 = 0 THEN 'unclear' ELSE 'cheap_beats_expensive' END AS y, ['validated', 'rejected', 'candidate', 'regime_reversing', 'validated_conditional'][c_custkey % 5 + 1] AS status,
+    CASE c_custkey % 6 WHEN 0 THEN 'holds in calm; REVERSES in hot' WHEN 1 THEN 'holds in calm' WHEN 2 THEN 'REVERSES in hot' END AS regime_conditions, c_custkey % 13 AS promotions, CAST(round(c_acctbal * 100) AS BIGINT) AS created FROM customer))""",
     "calendar": "SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS idx FROM (SELECT DISTINCT date FROM bars)",
     "scalendar": "SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS idx FROM (SELECT DISTINCT date FROM sbars)",
 }

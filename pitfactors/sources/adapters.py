@@ -272,3 +272,22 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), "user_id", "event_id"
     )
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research claims: one per customer, with a JSON specification whose key order varies."""
+    k = F.col("c_custkey")
+    primary = F.element_at(F.array(F.lit("mom"), F.lit("rev"), F.lit("vol")), (k % 3 + 1).cast("int"))
+    other = F.element_at(F.array(F.lit("rev"), F.lit("vol"), F.lit("mom"), F.lit("mom")), (k % 4 + 1).cast("int"))
+    horizon = F.element_at(F.array(F.lit("21"), F.lit("63"), F.lit("0")), (k % 7 % 3 + 1).cast("int"))
+    hypothesis = F.when(k % 11 == 0, "unclear").otherwise("cheap_beats_expensive")
+    pair = lambda n, v, q='"': F.concat(F.lit(f'"{n}":{q}'), v, F.lit(q))
+    parts = [pair("conditioning_factor", other), pair("horizon_days", horizon, ""), pair("hypothesis", hypothesis), pair("primary_factor", primary)]
+    sorted_spec = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    mixed_spec = F.concat(F.lit("{"), F.concat_ws(",", *parts[::-1]), F.lit("}"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("validated", "rejected", "candidate", "regime_reversing", "validated_conditional")]), (k % 5 + 1).cast("int"))
+    regimes = F.when(k % 6 == 0, "holds in calm; REVERSES in hot").when(k % 6 == 1, "holds in calm").when(k % 6 == 2, "REVERSES in hot")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.col("c_nationkey").alias("run"), F.col("c_mktsegment").alias("universe"),
+        F.when(k % 2 == 0, sorted_spec).otherwise(mixed_spec).alias("test_spec"), status.alias("status"), regimes.alias("regime_conditions"),
+        (k % 13).alias("promotions"), cents("c_acctbal").alias("created"))
