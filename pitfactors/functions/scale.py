@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Inputs up to this many stored bytes cannot hold a group too big for one task.
-SMALL_INPUT_BYTES = 4 << 30
+SMALL_INPUT_BYTES = 1 << 30
 #: Rows one task sorts comfortably; larger groups are cut into ranges.
 GROUP_ROWS = 5_000_000
 

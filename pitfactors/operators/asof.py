@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitfactors.functions.columns import names
@@ -152,3 +152,21 @@ def month_key_join(daily: DataFrame, monthly: DataFrame, value: str = "value", n
     key = F.date_format("date", "yyyy-MM")
     last = monthly.groupBy(key.alias("month")).agg(F.max_by(value, "date").alias(name))
     return daily.withColumn("month", key).join(last, "month")
+
+
+def month_index(date) -> Column:
+    d = F.col(date) if isinstance(date, str) else date
+    return F.year(d) * 12 + F.month(d)
+
+
+def within(left: DataFrame, right: DataFrame, on: str, start: str, end: str, date: str) -> DataFrame:
+    """Pairs with ``start < date <= end`` and equal ``on``, joined per key and month.
+
+    Left rows are repeated for the months they span, so a pair is only compared inside a
+    month: the work grows with the span of a row, not with the history of its key.
+    """
+    months = F.explode(F.sequence(month_index(start), month_index(end)))
+    a = left.withColumn("_month", months)
+    b = right.withColumn("_month", month_index(date))
+    inside = (F.col(date) > F.col(start)) & (F.col(date) <= F.col(end))
+    return a.join(b, [on, "_month"]).filter(inside).drop("_month")

@@ -200,15 +200,20 @@ def top_turnover(panel: DataFrame, dates: DataFrame, by: Sequence[str] = (), buc
 # ---------------------------------------------------------------- relations between factors
 
 
-def factor_rank_correlation(wide: DataFrame, features: Sequence[str], min_names: int = 10) -> DataFrame:
-    """Per pair: Spearman per date on names that have both, averaged over dates.
+def pairwise_ic(wide: DataFrame, features: Sequence[str], min_names: int = 10) -> DataFrame:
+    """Spearman per date and feature pair on the names that have both.
 
     Pairs are exploded inside the row; facts are never joined with themselves.
     """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb"))
              for a, b in combinations(sorted(features), 2)]
     long = wide.select("date", "symbol", F.inline(F.array(*pairs)))
-    per_date = rank_ic(long, ["date", "a", "b"], "va", "vb", min_names)
+    return rank_ic(long, ["date", "a", "b"], "va", "vb", min_names)
+
+
+def factor_rank_correlation(wide: DataFrame, features: Sequence[str], min_names: int = 10) -> DataFrame:
+    """Pairwise rank correlation averaged over dates."""
+    per_date = pairwise_ic(wide, features, min_names)
     return per_date.groupBy("a", "b").agg(F.avg("ic").alias("corr"), F.count(F.lit(1)).alias("n_dates"))
 
 

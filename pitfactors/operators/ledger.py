@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitfactors.functions import ranks
 from pitfactors.functions.columns import by_symbol, ratio
 from pitfactors.functions.folds import ordered_fold
 from pitfactors.operators import asof, calendars
@@ -152,12 +153,16 @@ def extremes(stats: DataFrame, value: str, k: int, tie: str = "symbol") -> DataF
 
 
 def pnl_distribution(trades: DataFrame) -> DataFrame:
-    """Totals and percentiles of closed results."""
-    sold = trades.filter(F.col("action") == "SELL")
-    return sold.agg(
+    """Totals and exact percentiles of closed results.
+
+    Percentiles come from ranks, which are computed range by range when there are many.
+    """
+    sold = trades.filter(F.col("action") == "SELL").withColumn("_g", F.lit(0))
+    totals = sold.groupBy("_g").agg(
         F.count(F.lit(1)).alias("n"), (F.sum("pnl_units") / 10000.0).alias("total_pnl"),
-        *[F.percentile("pnl_pct", p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)],
         F.avg(F.col("days_held").cast("double")).alias("avg_days"), F.max("days_held").alias("max_days"))
+    probs = {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}
+    return totals.join(ranks.quantiles(sold.select("_g", "pnl_pct", "trade_key"), ["_g"], "pnl_pct", "trade_key", probs), "_g").drop("_g")
 
 
 def grouped_pnl(trades: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -259,9 +264,8 @@ def first_touch(entries: DataFrame, bars: DataFrame, stop_pct: float = -25.0, ta
     the bars each entry is joined to; on one day the order is stop, take, time, fundamental.
     ``trail`` is ``(drop_pct, activate_gain_pct)``; ``exits`` is ``(symbol, date)``.
     """
-    b = bars.select(F.col("symbol").alias("_s"), "date", "close")
-    limit = F.date_add("entry_date", max_days + 31)
-    j = entries.join(b, (F.col("symbol") == F.col("_s")) & (F.col("date") > F.col("entry_date")) & (F.col("date") <= limit)).drop("_s")
+    spans = entries.withColumn("_limit", F.date_add("entry_date", max_days + 31))
+    j = asof.within(spans, bars.select("symbol", "date", "close"), "symbol", "entry_date", "_limit", "date").drop("_limit")
     gain = (F.col("close") - F.col("entry_price")) / F.col("entry_price") * 100
     j = j.withColumn("gain", gain)
     rules = [F.when(F.col("gain") <= stop_pct, F.struct(F.lit(0).alias("o"), F.lit("stop_loss").alias("reason")))]

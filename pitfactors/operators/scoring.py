@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pitfactors.functions import ranks
 from pitfactors.functions.columns import by_symbol, ratio
+from pitfactors.operators import asof
 
 # ---------------------------------------------------------------- standardisation
 
@@ -229,9 +230,10 @@ def earnings_directives(holdings: DataFrame, earnings: DataFrame, lookback_days:
     """
     e = earnings.filter(F.col("eps_actual").isNotNull() & F.col("eps_estimated").isNotNull()).select(
         "symbol", F.col("date").alias("report_date"), (F.col("eps_actual") > F.col("eps_estimated")).alias("beat"))
-    near = (F.col("report_date") <= F.col("date")) & (F.col("report_date") >= F.date_sub("date", lookback_days))
-    j = holdings.join(e, "symbol").filter(near)
-    last = j.groupBy("book", "symbol", "date", "market_value").agg(F.max("report_date").alias("report_date"), F.max_by("beat", "report_date").alias("beat"))
+    days = holdings.select("symbol", "date").distinct()  # one lookup per symbol and day, however many books hold it
+    seen = asof.backward(days, e, right_date="report_date", cols=["beat"], max_age_days=lookback_days)
+    seen = seen.filter(F.col("beat").isNotNull()).withColumnRenamed("asof_date", "report_date")
+    last = holdings.join(seen, ["symbol", "date"]).select("book", "symbol", "date", "market_value", "report_date", "beat")
     change = F.when(F.col("beat"), F.col("market_value") * add_pct).otherwise(-F.col("market_value") * trim_pct)
     return last.withColumns({"directive": F.when(F.col("beat"), "add").otherwise("trim"), "amount": change})
 
@@ -242,7 +244,7 @@ def metric_scores(metric: str, **tables: DataFrame) -> DataFrame:
     ``pe_percentile`` needs ``pe`` and ``dates``-aligned bars, ``current_drop``, ``rsi`` and
     ``momentum_rank`` need ``bars``, a feature name needs ``panel``.
     """
-    from pitfactors.operators import asof, events, features
+    from pitfactors.operators import events, features
 
     if metric == "pe_percentile":
         held = asof.backward(tables["bars"].select("symbol", "date"), tables["pe"], cols=["pe"])

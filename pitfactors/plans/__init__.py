@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["sources_q", "joins_q", "features_q", "events_q", "conditions_q", "evaluation_q", "scoring_q", "regimes_q", "nav_q", "claims_q"]
+MODULES = ["sources_q", "joins_q", "features_q", "events_q", "conditions_q", "evaluation_q", "scoring_q", "regimes_q", "nav_q", "claims_q", "documents_q"]
 
 
 def load():

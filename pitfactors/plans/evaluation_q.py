@@ -469,3 +469,15 @@ def v46(spark, sf):
     early = F.year("date") <= 1997
     per = pan(spark, sf).groupBy("symbol").agg(F.avg(F.when(early, F.col("fwd1"))).alias("a"), F.avg(F.when(~early, F.col("fwd1"))).alias("b"))
     return V.cohort_spearman(per, "a", "b", "symbol")
+
+
+@query("j13_features_with_labels", "SELECT symbol, date, mom, rev, vol, fwd FROM pan WHERE mom IS NOT NULL AND rev IS NOT NULL AND vol IS NOT NULL AND fwd IS NOT NULL", "mom rev vol fwd", BASE)
+def j13(spark, sf):
+    b = A.bars(spark, sf)
+    x = b.select("symbol", "date", X.trailing_return(21).alias("mom"), X.trailing_return(5).alias("rev"), F.col("volume").cast("double").alias("vol"))
+    return x.join(V.forward_returns(b, 21), ["symbol", "date"]).dropna()
+
+
+@query("j16_factor_pairs", "SELECT date, a, b, ic, n FROM pair_ic", "ic", PAIRS)
+def j16(spark, sf):
+    return V.pairwise_ic(pan(spark, sf), FACTORS)
