@@ -67,6 +67,21 @@ def average(
     return out if count is None else out.withColumn(count, F.count(F.lit(1)).over(group))
 
 
+def moments(df: DataFrame, by: Sequence[str], value: str, mean: str, sd: str, strategy: str = "auto") -> DataFrame:
+    """Add mean and population deviation of the group.
+
+    Next to a rank the rows already sit together by group, so a window costs no shuffle;
+    groups too big for one task are aggregated map-side and joined back.
+    """
+    by = list(by)
+    if strategy == "split" or (strategy == "auto" and scale.has_large_group(df, by)):
+        m = df.groupBy(*by).agg(F.avg(value).alias(mean), F.stddev_pop(value).alias(sd))
+        keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+        return df.alias("l").join(m.alias("r"), keys).select("l.*", F.col(f"r.{mean}"), F.col(f"r.{sd}"))
+    group = Window.partitionBy(*by)
+    return df.withColumns({mean: F.avg(value).over(group), sd: F.stddev_pop(value).over(group)})
+
+
 def _split_ordinal(df, by, order, rank, count, descending, group_rows):
     df = scale.stable(df.withColumn("_key", _sort_key(order, descending)))
     total = df.count()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Inputs up to this many stored bytes cannot hold a group too big for one task.
@@ -38,12 +39,24 @@ def has_large_group(df: DataFrame, by: Sequence[str]) -> bool:
     return largest_group(df, by) > GROUP_ROWS
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only in a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="pitfactors-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage, so that later passes agree."""
+    """Materialise ``df`` once on reliable storage.
+
+    For small tables that several branches of a plan read, and where later passes must see
+    the very same rows.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -117,7 +117,7 @@ def _cheapest(snap: DataFrame, by: Sequence[str], percent: float, least: int = 3
 def _as_of_values(d: Data, series: DataFrame, start, end) -> DataFrame:
     """``(symbol, date, v)`` on every trading date from each symbol's first value on."""
     dates = calendars.date_array(between_dates(d.bars, start, end))
-    grid = series.select("symbol").distinct().select("symbol", F.explode(dates).alias("date"))
+    grid = d.bars.select("symbol").distinct().select("symbol", F.explode(dates).alias("date"))
     held = asof.backward(grid, series.select("symbol", "date", F.col("value").alias("v")), cols=["v"])
     return held.filter(F.col("v").isNotNull()).drop("asof_date")
 

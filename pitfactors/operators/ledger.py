@@ -264,27 +264,30 @@ def first_touch(entries: DataFrame, bars: DataFrame, stop_pct: float = -25.0, ta
     the bars each entry is joined to; on one day the order is stop, take, time, fundamental.
     ``trail`` is ``(drop_pct, activate_gain_pct)``; ``exits`` is ``(symbol, date)``.
     """
+    days = bars.select("symbol", "date", "close")
+    if exits is not None:  # flagged on the bars, so the pairs are not shuffled for it
+        days = days.join(exits.select("symbol", "date").distinct().withColumn("_exit", F.lit(True)), ["symbol", "date"], "left")
     spans = entries.withColumn("_limit", F.date_add("entry_date", max_days + 31))
-    j = asof.within(spans, bars.select("symbol", "date", "close"), "symbol", "entry_date", "_limit", "date").drop("_limit")
-    gain = (F.col("close") - F.col("entry_price")) / F.col("entry_price") * 100
-    j = j.withColumn("gain", gain)
-    rules = [F.when(F.col("gain") <= stop_pct, F.struct(F.lit(0).alias("o"), F.lit("stop_loss").alias("reason")))]
+    j = asof.within(spans, days, "symbol", "entry_date", "_limit", "date").drop("_limit")
+    j = j.withColumn("gain", (F.col("close") - F.col("entry_price")) / F.col("entry_price") * 100)
+    rules = [F.when(F.col("gain") <= stop_pct, 1)]
     if trail is not None:
         w = Window.partitionBy("entry_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         j = j.withColumn("high", F.greatest(F.max("close").over(w), F.col("entry_price")))
         armed = F.col("high") > F.col("entry_price") * (1 + trail[1] / 100)
-        rules.append(F.when(armed & (F.col("close") <= F.col("high") * (1 - trail[0] / 100)), F.struct(F.lit(1).alias("o"), F.lit("take_profit").alias("reason"))))
+        rules.append(F.when(armed & (F.col("close") <= F.col("high") * (1 - trail[0] / 100)), 2))
     elif take_pct is not None:
-        rules.append(F.when(F.col("gain") >= take_pct, F.struct(F.lit(1).alias("o"), F.lit("take_profit").alias("reason"))))
-    rules.append(F.when(F.datediff("date", "entry_date") >= max_days, F.struct(F.lit(2).alias("o"), F.lit("time_stop").alias("reason"))))
+        rules.append(F.when(F.col("gain") >= take_pct, 2))
+    rules.append(F.when(F.datediff("date", "entry_date") >= max_days, 3))
     if exits is not None:
-        j = j.join(exits.select("symbol", "date").distinct().withColumn("_x", F.lit(True)), ["symbol", "date"], "left")
-        rules.append(F.when(F.col("_x"), F.struct(F.lit(3).alias("o"), F.lit("fundamental_exit").alias("reason"))))
-    j = j.withColumn("hit", F.coalesce(*rules)).filter(F.col("hit").isNotNull())
-    found = j.groupBy("entry_id").agg(F.min_by(F.struct("date", "close", "gain", "hit.reason"), "date").alias("x"))
-    out = entries.join(found, "entry_id", "left")
-    return out.select(*entries.columns, F.col("x.date").alias("exit_date"), F.col("x.close").alias("exit_price"),
-                      F.col("x.gain").alias("pnl_pct"), F.coalesce("x.reason", F.lit("open")).alias("reason"))
+        rules.append(F.when(F.col("_exit"), 4))
+    # Plain columns under min_by keep this a hash aggregation with map-side combine.
+    found = j.withColumn("hit", F.coalesce(*rules)).filter(F.col("hit").isNotNull()).groupBy("entry_id").agg(
+        F.min("date").alias("exit_date"), F.min_by("close", "date").alias("exit_price"), F.min_by("gain", "date").alias("pnl_pct"),
+        F.min_by("hit", "date").alias("hit"))
+    hit = F.col("hit")
+    reason = F.when(hit == 1, "stop_loss").when(hit == 2, "take_profit").when(hit == 3, "time_stop").when(hit == 4, "fundamental_exit").otherwise("open")
+    return entries.join(found, "entry_id", "left").select(*entries.columns, "exit_date", "exit_price", "pnl_pct", reason.alias("reason"))
 
 
 def after_cooldown(entries: DataFrame, stops: DataFrame, calendar: DataFrame, rows: int) -> DataFrame:

@@ -34,9 +34,8 @@ def standardise(long: DataFrame, by: Sequence[str], method: str = "rank", value:
         x = _clipped(ok, by, value, least)
     else:
         raise ValueError(f"unknown method {method!r}")
-    m = x.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
     z = F.coalesce(ratio(F.col("_x") - F.col("_m"), F.col("_s")), F.lit(0.0))
-    return x.join(m, by).withColumn("z", z).drop("_x", "_m", "_s")
+    return ranks.moments(x, by, "_x", "_m", "_s").withColumn("z", z).drop("_x", "_m", "_s")
 
 
 def _clipped(ok, by, value, least):
@@ -77,8 +76,6 @@ def composite(long: DataFrame, buckets: Sequence[Bucket], method: str = "rank",
     ok = long.filter(F.col("feature").isin(wanted) & F.col("value").isNotNull() & ~F.isnan("value"))
     ok = ok.select(*by, "symbol", "feature", "value")
     groups = [*by, "feature"]
-    enough = ok.groupBy(*groups).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= 2).drop("_c")
-    ok = ok.join(enough, groups, "left_semi")
     if sectors is not None:
         ok = ok.join(sectors.select("symbol", "sector"), "symbol", "left").fillna("(none)", ["sector"])
         groups = [*groups, "sector"]

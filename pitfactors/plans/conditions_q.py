@@ -13,7 +13,7 @@ SPAN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
 
 
 def data(spark, sf, *names):
-    inc = A.income(spark, sf)
+    inc = A.statements(spark, sf) if set(names) & {"income", "earnings", "pe"} else None
     make = {
         "income": lambda: inc, "earnings": lambda: A.earnings(inc), "grades": lambda: A.grades(spark, sf),
         "profiles": lambda: A.profiles(spark, sf), "benchmark": lambda: A.market(spark, sf),

@@ -1,10 +1,10 @@
 """Source mappers, sinks and streaming jobs over the driver's tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from pitfactors.functions import scale
 from pitfactors.operators import ledger as L
 from pitfactors.operators import regimes as R
 from pitfactors.plans import regimes_q as RQ
@@ -16,9 +16,8 @@ from pitfactors.streaming import jobs as J
 
 
 def workspace(spark, name):
-    """Fresh folder in the cluster's shared checkpoint folder (a temporary one in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitfactors-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """Fresh folder in the cluster's shared folder."""
+    return f"{scale.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def documents(df, kind, **fields):

@@ -314,7 +314,7 @@ def _streaks(cond):
 
 
 def yoy(spark, sf):
-    inc = A.income(spark, sf)
+    inc = A.statements(spark, sf)
     return G.year_on_year(G.quarters(inc, A.earnings(inc)))
 
 

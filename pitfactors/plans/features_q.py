@@ -147,7 +147,7 @@ RSI_SQL = """SELECT m.symbol, m.date, floor((CASE WHEN s.down = 0 THEN 100 ELSE
 
 
 def build(spark, sf, names=None, only=True):
-    inc = A.income(spark, sf)
+    inc = A.statements(spark, sf)
     return X.panel(A.bars(spark, sf), inc, A.balance(inc), A.cashflow(inc), A.earnings(inc), A.grades(spark, sf), names, only)
 
 

@@ -15,7 +15,7 @@ DAY = "1998-06-30"
 
 
 def _income(spark, sf):
-    inc = A.income(spark, sf)
+    inc = A.statements(spark, sf)
     return asof.available_from(inc, A.earnings(inc))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitfactors.functions import scale
+
 GRAINS = {"day": None, "week": "week", "month": "month"}
 
 
@@ -137,6 +139,11 @@ def income(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFra
     )
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``income`` materialised: symbols times quarters, read by every statement table."""
+    return scale.stable(income(spark, sf_dir))
+
+
 def balance(income_df: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     assets = F.sum("revenue_units").over(w) / F.lit(10000.0)
