@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on reliable storage.
+    """Write ``df`` once to the shared folder and read it back.
 
     For small tables that several branches of a plan read, and where later passes must see
-    the very same rows.
+    the very same rows.  Unlike a cached table it survives lost executors, and unlike an
+    RDD checkpoint it keeps file statistics and column pruning.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
