@@ -31,6 +31,12 @@ class Data:
     benchmark: DataFrame | None = None
     pe: DataFrame | None = None
     panel: DataFrame | None = None
+    calendar: DataFrame | None = None
+
+    def dates(self, start=None, end=None) -> Column:
+        """Trading dates as one array: from ``calendar`` where given, else from the bars."""
+        source = self.bars if self.calendar is None else self.calendar
+        return calendars.date_array(between_dates(source.select("date"), start, end))
 
 
 def signal(data: Data, cfg: Mapping, start=None, end=None) -> DataFrame:
@@ -116,7 +122,7 @@ def _cheapest(snap: DataFrame, by: Sequence[str], percent: float, least: int = 3
 
 def _as_of_values(d: Data, series: DataFrame, start, end) -> DataFrame:
     """``(symbol, date, v)`` on every trading date from each symbol's first value on."""
-    dates = calendars.date_array(between_dates(d.bars, start, end))
+    dates = d.dates(start, end)
     grid = d.bars.select("symbol").distinct().select("symbol", F.explode(dates).alias("date"))
     held = asof.backward(grid, series.select("symbol", "date", F.col("value").alias("v")), cols=["v"])
     return held.filter(F.col("v").isNotNull()).drop("asof_date")
@@ -207,12 +213,12 @@ def _capitulation(d, cfg, start, end):
 
 
 def _always(d, cfg, start, end):
-    dates = calendars.date_array(between_dates(d.bars, start, end))
+    dates = d.dates(start, end)
     return _out(d.bars.select("symbol").distinct().select("symbol", F.explode(dates).alias("date")), F.lit(0.0))
 
 
 def _days_to_earnings(d, cfg, start, end):
-    dates = calendars.date_array(between_dates(d.bars, start, end))
+    dates = d.dates(start, end)
     reports = between_dates(d.earnings.select("symbol", "date"), start).distinct()
     grid = reports.select("symbol").distinct().select("symbol", F.explode(dates).alias("date"))
     ahead = asof.forward(grid, reports).withColumn("days", F.datediff("next_date", "date"))
@@ -224,7 +230,7 @@ def _analyst_upgrades(d, cfg, start, end):
     n = cfg.get("window_days", 90)
     moves = d.grades.filter(F.col("action").isin("upgrade", "downgrade"))
     net = features.grade_counts(moves).withColumns({"on": F.lit(False)})
-    dates = calendars.date_array(between_dates(d.bars, start, end))
+    dates = d.dates(start, end)
     grid = net.select("symbol").distinct().select("symbol", F.explode(dates).alias("date"))
     line = grid.withColumns({"net": F.lit(0).cast("long"), "on": F.lit(True)}).unionByName(net)
     span = Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-n, 0)

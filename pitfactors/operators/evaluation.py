@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitfactors.functions import ranks
+from pitfactors.functions import ranks, scale
 from pitfactors.functions.columns import between_dates, by_symbol, names, ratio
 from pitfactors.operators import asof, calendars
 
@@ -47,15 +47,21 @@ def forward_returns(bars: DataFrame, horizon: int, name: str = "fwd") -> DataFra
 
 
 def forward_prices(bars: DataFrame, horizons: Sequence[int], dates: DataFrame | None = None) -> DataFrame:
-    """Close ``h`` rows ahead on the union calendar, from ``dates`` (default: all)."""
-    cal = calendars.calendar(bars)
-    priced = bars.filter(F.col("close") > 0).select("symbol", "date", "close")
-    start = priced if dates is None else priced.join(dates.select("date"), "date", "left_semi")
-    steps = F.explode(F.array(*[F.lit(int(h)) for h in horizons]))
-    now = start.join(cal, "date").withColumn("h", steps).withColumn("idx", F.col("idx") + F.col("h"))
-    later = priced.join(cal, "date").select(
-        "symbol", "idx", F.col("date").alias("fwd_date"), F.col("close").alias("fwd_close"))
-    return now.join(later, ["symbol", "idx"]).drop("idx")
+    """Close ``h`` rows ahead on the union calendar, from ``dates`` (default: all).
+
+    The calendar position is the window's range key, so the frame ``[h, h]`` holds the one
+    bar that many calendar rows ahead, or none: one shuffle, no self-join.
+    """
+    priced = bars.filter(F.col("close") > 0).select("symbol", "date", "close").join(calendars.calendar(bars), "date")
+    ahead = Window.partitionBy("symbol").orderBy("idx")
+    hits = []
+    for h in horizons:
+        w = ahead.rangeBetween(int(h), int(h))
+        hits.append(F.struct(F.lit(int(h)).alias("h"), F.max("date").over(w).alias("fwd_date"), F.max("close").over(w).alias("fwd_close")))
+    out = priced.withColumn("_hits", F.array(*hits))
+    if dates is not None:
+        out = out.join(dates.select("date").distinct(), "date", "left_semi")
+    return out.select("symbol", "date", "close", F.inline("_hits")).filter(F.col("fwd_close").isNotNull())
 
 
 def forward_returns_calendar(bars: DataFrame, horizons: Sequence[int], dates: DataFrame | None = None) -> DataFrame:
@@ -411,9 +417,8 @@ def purged_oos_ic(moments: DataFrame, k: int, signs: Sequence[float], method: st
         return spark.createDataFrame([], "fold int, oos_ic double")
     edges = [int(total * i / folds) for i in range(folds + 1)]
     fold = sum((F.when(F.col("t") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    bounds = spark.createDataFrame(
-        [(i, max(0, edges[i] - embargo), min(total, edges[i + 1] + embargo)) for i in range(folds)], "fold int, lo int, hi int")
-    train = moments.join(bounds, (F.col("t") < F.col("lo")) | (F.col("t") >= F.col("hi")))
+    bounds = [F.struct(F.lit(i).alias("fold"), F.lit(max(0, edges[i] - embargo)).alias("lo"), F.lit(min(total, edges[i + 1] + embargo)).alias("hi")) for i in range(folds)]
+    train = moments.select("*", F.inline(F.array(*bounds))).filter((F.col("t") < F.col("lo")) | (F.col("t") >= F.col("hi")))
     learned = {r["fold"]: r for r in train.groupBy("fold").agg(*_summed(moments, k)).collect()}
     tested = {r["fold"]: r["n"] for r in moments.groupBy(fold.alias("fold")).agg(F.sum("n").alias("n")).collect()}
     signs = np.asarray(signs, dtype=float)
@@ -483,11 +488,9 @@ def signal_portfolio(entries: DataFrame, bars: DataFrame, hold: int, by: Sequenc
     ``by`` names portfolios in ``entries`` that are evaluated together.
     """
     by = list(by)
-    cal = calendars.calendar(bars)
     used = entries.select(*by, "symbol").distinct()
-    dates = calendars.date_array(bars)
     counts = entries.groupBy(*by, "symbol", "date").agg(F.count(F.lit(1)).alias("opened"))
-    grid = used.select(*by, "symbol", F.explode(dates).alias("date")).join(cal, "date")
+    grid = used.select(*by, "symbol", F.posexplode(calendars.date_array(bars)).alias("idx", "date"))
     prices = bars.select("symbol", "date", "close")
     grid = grid.join(counts, [*by, "symbol", "date"], "left").join(prices, ["symbol", "date"], "left")
     w = Window.partitionBy(*by, "symbol").orderBy("idx")
@@ -496,7 +499,7 @@ def signal_portfolio(entries: DataFrame, bars: DataFrame, hold: int, by: Sequenc
         *by, "date", "idx", F.coalesce(F.sum("opened").over(w.rowsBetween(-hold, -1)), F.lit(0)).alias("open"),
         F.when(prev > 0, (F.col("close") - prev) / prev).alias("ret"))
     live = F.when(F.col("ret").isNotNull(), F.col("open"))
-    out = grid.filter(F.col("idx") > 1).groupBy(*by, "date").agg(
+    out = grid.filter(F.col("idx") > 0).groupBy(*by, "date").agg(
         F.coalesce(ratio(F.sum(live * F.col("ret")), F.sum(live).cast("double")), F.lit(0.0)).alias("ret"),
         F.coalesce(F.sum(live), F.lit(0)).alias("positions"))
     return out
@@ -536,28 +539,30 @@ def forward_selection(signals: dict[str, DataFrame], bars: DataFrame, hold: int,
     The driver only steps; every step evaluates all remaining candidates in one job,
     with the candidate as a grouping key.
     """
+    line = None
+    for name, s in sorted(signals.items()):
+        e = s.select("symbol", "date", F.lit(name).alias("signal")).distinct()
+        line = e if line is None else line.unionByName(e)
+    fired = scale.stable(line)  # every step reads the signals again
     chosen: list[str] = []
     steps: list[dict] = []
-    best, running = -math.inf, None
-    left = dict(signals)
-    while left:
-        line = None
-        for name, s in sorted(left.items()):
-            e = s.select("symbol", "date").distinct()
-            if running is not None:
-                e = e.join(running, ["symbol", "date"], "left_semi")
-            e = e.withColumn("signal", F.lit(name))
-            line = e if line is None else line.unionByName(e)
-        sized = line.groupBy("signal").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_entries)
-        line = line.join(sized.select("signal"), "signal", "left_semi")
-        rets = signal_portfolio(line, bars, hold, ["signal"])
-        score = rets.groupBy("signal").agg(
-            F.coalesce(ratio(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(252), F.lit(0.0)).alias("sharpe"))
+    best = -math.inf
+    while len(chosen) < len(signals):
+        running = None
         if chosen:
-            combo = signal_portfolio(running, bars, hold).select("date", F.col("ret").alias("rc"))
-            score = score.join(rets.join(combo, "date").groupBy("signal").agg(correlation("ret", "rc").alias("corr")), "signal")
+            running = fired.filter(F.col("signal").isin(chosen)).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("_c"))
+            running = running.filter(F.col("_c") == len(chosen)).drop("_c")
+        left = fired.filter(~F.col("signal").isin(chosen)) if chosen else fired
+        if running is not None:
+            left = left.join(running, ["symbol", "date"], "left_semi")
+        sized = left.groupBy("signal").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_entries)
+        rets = signal_portfolio(left.join(sized.select("signal"), "signal", "left_semi"), bars, hold, ["signal"])
+        sharpe = F.coalesce(ratio(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(252), F.lit(0.0))
+        if running is not None:
+            combo = signal_portfolio(running, bars, hold).select("date", F.col("ret").alias("_combo"))
+            score = rets.join(combo, "date").groupBy("signal").agg(sharpe.alias("sharpe"), correlation("ret", "_combo").alias("corr"))
         else:
-            score = score.withColumn("corr", F.lit(None).cast("double"))
+            score = rets.groupBy("signal").agg(sharpe.alias("sharpe"), F.lit(None).cast("double").alias("corr"))
         rows = score.orderBy(F.desc("sharpe"), "signal").collect()  # one row per candidate
         pick = next((r for r in rows if r["corr"] is None or abs(r["corr"]) <= max_corr), None)
         if pick is None or pick["sharpe"] <= best:
@@ -566,8 +571,6 @@ def forward_selection(signals: dict[str, DataFrame], bars: DataFrame, hold: int,
                       "gain": None if best == -math.inf else pick["sharpe"] - best, "corr": pick["corr"]})
         best = pick["sharpe"]
         chosen.append(pick["signal"])
-        add = left.pop(pick["signal"]).select("symbol", "date").distinct()
-        running = add if running is None else running.join(add, ["symbol", "date"], "left_semi")
     return steps
 
 

@@ -310,10 +310,10 @@ def volume_conviction(bars: DataFrame, short: int = 60, long: int = 252, max_rat
 
 def momentum_rank(bars: DataFrame, n: int = 63) -> DataFrame:
     """Percentile of the ``n``-row return on the union calendar, 0 worst and 100 best."""
-    cal = calendars.calendar(bars)
-    now = bars.filter(F.col("close") > 0).select("symbol", "date", "close").join(cal, "date")
-    then = now.select("symbol", (F.col("idx") + n).alias("idx"), F.col("close").alias("c0"))
-    moved = now.join(then, ["symbol", "idx"]).withColumn("ret", (F.col("close") - F.col("c0")) / F.col("c0"))
+    now = bars.filter(F.col("close") > 0).select("symbol", "date", "close").join(calendars.calendar(bars), "date")
+    then = Window.partitionBy("symbol").orderBy("idx").rangeBetween(-n, -n)  # at most one bar
+    moved = now.withColumn("c0", F.max("close").over(then)).filter(F.col("c0").isNotNull())
+    moved = moved.withColumn("ret", (F.col("close") - F.col("c0")) / F.col("c0"))
     placed = ranks.ordinal(moved.select("symbol", "date", "ret"), ["date"], ["ret", "symbol"], "rn", "n")
     pct = (F.col("rn") - 1) / (F.col("n") - 1) * 100
     return placed.filter(F.col("n") > 1).select("symbol", "date", half_up(pct, 1).alias("momentum_rank"))

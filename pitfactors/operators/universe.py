@@ -75,6 +75,14 @@ def members_by_date(log: DataFrame, snapshot: DataFrame, dates: Column) -> DataF
     return spans.withColumn("dates", dates).select("symbol", F.explode(inside).alias("date"))
 
 
+def members_only(facts: DataFrame, log: DataFrame, snapshot: DataFrame, date: str = "date") -> DataFrame:
+    """Fact rows whose symbol was a member on their date (interval join on the symbol)."""
+    spans = membership_spans(log, snapshot).select("symbol", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    j = facts.join(spans, "symbol")
+    inside = (F.col("_from").isNull() | (F.col(date) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(date) < F.col("_to")))
+    return j.filter(inside).drop("_from", "_to")
+
+
 def resolve(
     kind: str,
     *,

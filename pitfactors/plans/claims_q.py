@@ -228,7 +228,7 @@ def j17(spark, sf):
 
 @query("q01_price_range", "SELECT * FROM bars WHERE symbol = 'Brand#7' AND date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'", "open high low close")
 def q01(spark, sf):
-    return Q.prices(A.bars(spark, sf), "Brand#7", "1998-01-01", "1998-12-31")
+    return Q.prices(A.bars(spark, sf, start="1998-01-01", end="1998-12-31"), "Brand#7")
 
 
 @query("q02_universe_screen", "SELECT *, (SELECT count(*) FROM profiles WHERE sector IN ('S1') AND country = 'US' AND active) AS total FROM profiles WHERE sector = 'S1' AND country = 'US' AND active ORDER BY market_cap DESC, symbol LIMIT 2 OFFSET 0", "market_cap")

@@ -8,7 +8,7 @@ from pitfactors.plans import features_q as FQ
 from pitfactors.plans.catalogue import query
 from pitfactors.sources import adapters as A
 
-START, END = "1997-01-01", "2000-12-31"
+START, END = "1995-01-01", "2001-12-31"  # the whole history
 SPAN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
 
 
@@ -19,7 +19,7 @@ def data(spark, sf, *names):
         "profiles": lambda: A.profiles(spark, sf), "benchmark": lambda: A.market(spark, sf),
         "pe": lambda: pe_series(inc), "panel": lambda: FQ.build(spark, sf, ["roe", "pe"]),
     }
-    return C.Data(bars=A.bars(spark, sf), **{n: make[n]() for n in names})
+    return C.Data(bars=A.bars(spark, sf), calendar=A.dates(spark, sf), **{n: make[n]() for n in names})
 
 
 def pe_series(inc):

@@ -69,14 +69,14 @@ MONTHS = "SELECT min(date) AS date FROM calendar GROUP BY year(date), month(date
   JOIN (VALUES (21), (63)) h(h) ON TRUE JOIN calendar d ON d.idx = c.idx + h.h JOIN bars f ON f.symbol = b.symbol AND f.date = d.date""", "fwd", {"rebal": MONTHS})
 def v02(spark, sf):
     b = A.bars(spark, sf)
-    return V.forward_returns_calendar(b, [21, 63], calendars.month_starts(A.market(spark, sf)))
+    return V.forward_returns_calendar(b, [21, 63], calendars.month_starts(A.dates(spark, sf)))
 
 
 @query("v03_features_on_dates",
        """SELECT s.symbol, s.feature, r.date, x.value FROM rebal r JOIN (SELECT DISTINCT symbol, feature FROM long_pan) s ON TRUE
   ASOF JOIN long_pan x ON x.symbol = s.symbol AND x.feature = s.feature AND r.date >= x.date""", "value", {**BASE, "rebal": MONTHS})
 def v03(spark, sf):
-    return V.features_on(calendars.month_starts(A.market(spark, sf)), long(spark, sf).drop("fwd"))
+    return V.features_on(calendars.month_starts(A.dates(spark, sf)), long(spark, sf).drop("fwd"))
 
 
 @query("v04_rank_ic", "SELECT * FROM ic_all", "ic", IC)

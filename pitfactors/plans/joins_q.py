@@ -54,7 +54,7 @@ def j02(spark, sf):
   FROM calendar c, (SELECT DISTINCT series FROM macro) s LEFT JOIN macro m ON m.series = s.series AND m.date <= c.date GROUP BY 1, 2""", "value")
 def j03(spark, sf):
     m = A.macro(spark, sf)
-    dates = calendars.date_array(A.market(spark, sf))
+    dates = calendars.date_array(A.dates(spark, sf))
     grid = m.select("series").distinct().select("series", F.explode(dates).alias("date"))
     return asof.backward(grid, m, on="series", cols=["value"])
 
@@ -105,20 +105,16 @@ MEMBER_AT = """SELECT s.symbol, c.date FROM calendar c, spans s WHERE CASE
   WHEN c.date < s.first THEN FALSE WHEN s.left_early THEN c.date < s.last ELSE TRUE END"""
 
 
-@query("j07_membership_interval", MEMBER_AT)
+@query("j07_membership_interval", "SELECT t.trade_key, t.book, t.symbol, t.date FROM trades t JOIN spans s USING (symbol) WHERE t.date >= s.first AND (NOT s.left_early OR t.date < s.last)")
 def j07(spark, sf):
     log, now = A.membership(A.bars(spark, sf))
-    return universe.members_by_date(log, now, calendars.date_array(A.market(spark, sf)))
+    return universe.members_only(A.trades(spark, sf).select("trade_key", "book", "symbol", "date"), log, now)
 
 
-@query("u06_members_by_date", MEMBER_AT + " AND c.date >= s.first")
+@query("u06_members_by_date", MEMBER_AT)
 def u06(spark, sf):
     log, now = A.membership(A.bars(spark, sf))
-    spans = universe.membership_spans(log, now)
-    days = A.market(spark, sf).select("date")
-    inside = (F.col("start").isNull() | (F.col("date") >= F.col("start"))) & (
-        F.col("end").isNull() | (F.col("date") < F.col("end")))
-    return days.join(spans, inside).select("symbol", "date")
+    return universe.members_by_date(log, now, calendars.date_array(A.dates(spark, sf)))
 
 
 @query("j08_same_period_last_year",
@@ -140,7 +136,7 @@ def j09(spark, sf):
 
 @query("j10_calendar_grid", "SELECT p.symbol, c.date FROM profiles p, calendar c")
 def j10(spark, sf):
-    dates = calendars.date_array(A.market(spark, sf))
+    dates = calendars.date_array(A.dates(spark, sf))
     return A.profiles(spark, sf).select("symbol", F.explode(dates).alias("date"))
 
 
@@ -256,7 +252,7 @@ def u09(spark, sf):
 
 @query("x19_month_starts", "SELECT min(date) AS date FROM calendar GROUP BY year(date), month(date)")
 def x19(spark, sf):
-    return calendars.month_starts(A.market(spark, sf))
+    return calendars.month_starts(A.dates(spark, sf))
 
 
 @query("x19_spaced_dates",
@@ -264,7 +260,7 @@ def x19(spark, sf):
   SELECT (SELECT min(c.date) FROM calendar c WHERE c.date >= pick.date + 30) FROM pick
   WHERE EXISTS (SELECT 1 FROM calendar c WHERE c.date >= pick.date + 30)"""})
 def x19b(spark, sf):
-    return calendars.spaced(A.market(spark, sf), 30)
+    return calendars.spaced(A.dates(spark, sf), 30)
 
 
 @query("w01_walk_forward",

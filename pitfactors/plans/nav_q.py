@@ -425,15 +425,16 @@ def l13(spark, sf):
     return L.next_day_fills(b.filter("volume > 100").select("symbol", "date"), b, "open", 10.0)
 
 
-CN = {**NV, "slr": "SELECT series_id AS sleeve, date, ret * 0.1::DOUBLE AS ret FROM wret WHERE ret IS NOT NULL AND series_id IN ('Brand#1', 'Brand#2')"}
+CN = {**NV, "slr": "SELECT series_id AS sleeve, date, ret * 0.1::DOUBLE AS ret FROM wret WHERE ret IS NOT NULL"}
 
 
-@query("l14_combined_nav", "SELECT date, ret, 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav FROM (SELECT date, sum(CASE sleeve WHEN 'Brand#1' THEN 0.6::DOUBLE ELSE 0.4 END * ret) AS ret FROM slr GROUP BY 1)", "ret nav", CN)
+@query("l14_combined_nav", "SELECT date, ret, 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav FROM (SELECT date, sum(ret * (1.0::DOUBLE / (SELECT count(DISTINCT sleeve) FROM slr))) AS ret FROM slr GROUP BY 1)", "ret nav", CN)
 def l14(spark, sf):
-    r = N.daily_returns(wnav(spark, sf)).filter("ret IS NOT NULL AND series_id IN ('Brand#1', 'Brand#2')")
+    r = N.daily_returns(wnav(spark, sf)).filter("ret IS NOT NULL")
     r = r.select(F.col("series_id").alias("sleeve"), "date", (F.col("ret") * 0.1).alias("ret"))
-    w = r.select("sleeve").distinct().withColumn("weight", F.when(F.col("sleeve") == "Brand#1", 0.6).otherwise(0.4))
-    return L.combined_nav(r, w)
+    sleeves = r.select("sleeve").distinct()
+    n = r.agg(F.countDistinct("sleeve")).scalar()
+    return L.combined_nav(r, sleeves.withColumn("weight", 1.0 / n))
 
 
 # ---------------------------------------------------------------- funds

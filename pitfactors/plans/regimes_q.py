@@ -56,7 +56,7 @@ LO, HI = 250000.0, 260000.0
 
 
 def wide(spark, sf):
-    return R.macro_wide(A.macro(spark, sf), calendars.date_array(A.market(spark, sf)), [U, H, L])
+    return R.macro_wide(A.macro(spark, sf), calendars.date_array(A.dates(spark, sf)), [U, H, L])
 
 
 RV = {

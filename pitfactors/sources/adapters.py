@@ -33,9 +33,22 @@ def at_grain(c: str, grain: str) -> Column:
     return F.to_date(F.col(c)) if unit is None else F.to_date(F.date_trunc(unit, F.col(c)))
 
 
-def lines(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
-    """Line items with their symbol: a column of ``part``, or the supplier key."""
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading dates: one column of one table."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+
+
+def lines(spark: SparkSession, sf_dir: str, symbol: str = "p_brand", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Line items with their symbol: a column of ``part``, or the supplier key.
+
+    A date range is put on the stored column, so it reaches the file scan.
+    """
     items = table(spark, sf_dir, "lineitem")
+    kind = items.schema["l_shipdate"].dataType
+    if start is not None:
+        items = items.filter(F.col("l_shipdate") >= F.lit(start).cast(kind))
+    if end is not None:
+        items = items.filter(F.col("l_shipdate") < F.date_add(F.lit(end).cast("date"), 1).cast(kind))
     if symbol == "l_suppkey":
         return items.withColumn("symbol", F.col("l_suppkey").cast("string"))
     parts = table(spark, sf_dir, "part").select(
@@ -44,12 +57,12 @@ def lines(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFram
     return items.join(parts, "l_partkey")
 
 
-def bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand", grain: str = "day") -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand", grain: str = "day", start: str | None = None, end: str | None = None) -> DataFrame:
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     # One long orders the lines: order and line number, then the low bits of the part key.
     first = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey") % 1048576
     return (
-        lines(spark, sf_dir, symbol)
+        lines(spark, sf_dir, symbol, start, end)
         .groupBy("symbol", at_grain("l_shipdate", grain).alias("date"))
         .agg(
             F.min_by(unit, first).alias("open"),
