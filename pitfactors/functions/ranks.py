@@ -131,8 +131,11 @@ def bucket(rn: Column, n: Column, buckets: int) -> Column:
     return F.floor((F.lit(buckets) * rn - 1) / n).cast("int")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, read off ordinal ranks."""
+def quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, probs: dict[str, float], extra: Sequence[Column] = ()) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, read off ordinal ranks.
+
+    ``extra`` aggregates are taken over the same rows (those with a value).
+    """
     ranked = ordinal(df.filter(F.col(value).isNotNull()), by, [value, tie], "_rn", "_n")
     out = []
     for name, p in probs.items():
@@ -141,4 +144,4 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, probs: dic
         high = F.max(F.when(F.col("_rn") == F.ceil(spot), F.col(value)))
         share = F.max(spot - F.floor(spot))
         out.append((low + (high - low) * share).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+    return ranked.groupBy(*by).agg(*out, *extra)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Trading rows per horizon unit.
@@ -23,8 +23,12 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def date_array(dates: DataFrame):
-    """All dates of a calendar as one sorted array (a scalar subquery)."""
-    return dates.agg(F.sort_array(F.collect_set("date")).alias("dates")).scalar()
+    """All dates of a calendar as one sorted array (a scalar subquery).
+
+    Duplicates go in a shuffled ``distinct`` first, so the one collecting task receives
+    each date once.
+    """
+    return dates.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("dates")).scalar()
 
 
 def month_starts(dates: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def month_starts(dates: DataFrame) -> DataFrame:
 
 def spaced(dates: DataFrame, min_days: int) -> DataFrame:
     """First date, then every date at least ``min_days`` after the previous pick."""
-    ordered = dates.agg(F.sort_array(F.collect_set("date")).alias("d"))
+    ordered = dates.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("d"))
     empty = F.array().cast("array<date>")
     picked = F.aggregate(
         "d",
@@ -101,6 +105,8 @@ def walk_forward(start: dt.date, end: dt.date, window: str, overlap: str) -> lis
     return out
 
 
-def windows_table(spark: SparkSession, windows) -> DataFrame:
-    """Walk-forward windows as a (small, driver-made) table."""
-    return spark.createDataFrame(windows, "label string, start date, end date")
+def in_windows(df: DataFrame, windows: list[tuple[str, dt.date, dt.date]]) -> DataFrame:
+    """Rows repeated for every window that holds their date (``label``, ``start``, ``end``)."""
+    spans = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in windows])
+    inside = F.filter(spans, lambda w: (F.col("date") >= w["start"]) & (F.col("date") <= w["end"]))
+    return df.select("*", F.inline(inside))

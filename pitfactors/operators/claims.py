@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitfactors.functions import ranks
 from pitfactors.functions.columns import ratio
+from pitfactors.operators import calendars
 
 # Fixed values of the claim vocabulary.
 VALIDATED = ("unconditional", "validated", "regime_reversing", "validated_conditional")
@@ -58,10 +59,9 @@ def by_regime(spreads: DataFrame, labels: DataFrame, horizon: int, by: Sequence[
     return rows.groupBy(*by, "regime").agg(*_summary(horizon))
 
 
-def by_window(spreads: DataFrame, windows: DataFrame, horizon: int, train: tuple | None = None, by: Sequence[str] = ()) -> DataFrame:
+def by_window(spreads: DataFrame, windows: list[tuple], horizon: int, train: tuple | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Summary per evaluation window; a window is out of sample when it is disjoint from ``train``."""
-    inside = (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))
-    out = spreads.join(windows, inside).groupBy(*by, "label", "start", "end").agg(*_summary(horizon))
+    out = calendars.in_windows(spreads, windows).groupBy(*by, "label", "start", "end").agg(*_summary(horizon))
     if train is None:
         return out.withColumn("is_oos", F.lit(False))
     ts, te = (F.lit(x).cast("date") for x in train)

@@ -158,11 +158,12 @@ def pnl_distribution(trades: DataFrame) -> DataFrame:
     Percentiles come from ranks, which are computed range by range when there are many.
     """
     sold = trades.filter(F.col("action") == "SELL").withColumn("_g", F.lit(0))
-    totals = sold.groupBy("_g").agg(
+    totals = [
         F.count(F.lit(1)).alias("n"), (F.sum("pnl_units") / 10000.0).alias("total_pnl"),
-        F.avg(F.col("days_held").cast("double")).alias("avg_days"), F.max("days_held").alias("max_days"))
+        F.avg(F.col("days_held").cast("double")).alias("avg_days"), F.max("days_held").alias("max_days")]
     probs = {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}
-    return totals.join(ranks.quantiles(sold.select("_g", "pnl_pct", "trade_key"), ["_g"], "pnl_pct", "trade_key", probs), "_g").drop("_g")
+    rows = sold.select("_g", "pnl_pct", "trade_key", "pnl_units", "days_held")
+    return ranks.quantiles(rows, ["_g"], "pnl_pct", "trade_key", probs, totals).drop("_g")
 
 
 def grouped_pnl(trades: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -81,7 +81,7 @@ WV = {**LAB, "wins": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}',
 
 
 def per_window(spark, sf):
-    return C.by_window(C.double_sort(panel(spark, sf)), calendars.windows_table(spark, WIN), 21, ("1996-01-01", "1997-12-31"))
+    return C.by_window(C.double_sort(panel(spark, sf)), WIN, 21, ("1996-01-01", "1997-12-31"))
 
 
 @query("v40_by_window", "SELECT * FROM pwin", SUM, WV)

@@ -270,7 +270,5 @@ def x19b(spark, sf):
   FROM range(0, 10) t(n) WHERE DATE '1995-01-01' + to_months(CAST(18 * n + 24 AS INTEGER)) <= DATE '2001-12-31'""")
 def w01(spark, sf):
     spans = calendars.walk_forward(dt.date(1995, 1, 1), dt.date(2001, 12, 31), "2y", "6m")
-    windows = calendars.windows_table(spark, spans)
     per_day = A.bars(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    inside = (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))
-    return per_day.join(windows, inside).groupBy("label", "start", "end").agg(F.sum("n").alias("n_bars"))
+    return calendars.in_windows(per_day, spans).groupBy("label", "start", "end").agg(F.sum("n").alias("n_bars"))
