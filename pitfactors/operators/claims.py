@@ -156,16 +156,27 @@ def claim_id(universe: str, canon: str) -> Column:
     return F.substring(F.md5(F.concat(F.coalesce(universe, F.lit("")), F.lit("|"), F.col(canon))), 1, 16)
 
 
+def _identified(claims: DataFrame) -> DataFrame:
+    c = claims.filter(F.col("test_spec").isNotNull()).withColumn("canon", canonical_spec("test_spec"))
+    return c.withColumn("claim_id", claim_id("universe", "canon"))
+
+
+def _regime_texts(identified: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct regime conditions per key, sorted.
+
+    Copies of a claim collapse in a map-side ``distinct`` before anything is collected.
+    """
+    parts = identified.select(*keys, F.explode(F.split("regime_conditions", ";")).alias("_r")).select(*keys, F.trim("_r").alias("_r"))
+    return parts.distinct().groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_r")), "; ").alias("regime_conditions"))
+
+
 def run_level(claims: DataFrame) -> DataFrame:
     """One row per run and claim with the most informative status of the run."""
-    c = claims.filter(F.col("test_spec").isNotNull()).withColumn("canon", canonical_spec("test_spec"))
-    c = c.withColumn("claim_id", claim_id("universe", "canon"))
     order = F.array(*[F.lit(s) for s in (*VALIDATED, "rejected", "candidate")])
     place = F.array_position(order, F.coalesce("status", F.lit("candidate")))
     place = F.when(place == 0, F.lit(len(VALIDATED) + 2)).otherwise(place)
-    regimes = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.split("regime_conditions", ";"), lambda x: F.trim(x))))))
-    return c.groupBy("run", "claim_id", "universe", "canon").agg(
-        F.element_at(order, F.min(place).cast("int")).alias("run_status"), regimes.alias("regimes"), F.count(F.lit(1)).alias("n_items"))
+    return _identified(claims).groupBy("run", "claim_id", "universe", "canon").agg(
+        F.element_at(order, F.min(place).cast("int")).alias("run_status"), F.count(F.lit(1)).alias("n_items"))
 
 
 def fold_claims(claims: DataFrame) -> DataFrame:
@@ -173,12 +184,10 @@ def fold_claims(claims: DataFrame) -> DataFrame:
 
     Folding a run again changes nothing, because runs are grouped, not added up.
     """
-    r = run_level(claims)
-    text = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("regimes")))), "; ")
-    out = r.groupBy("claim_id", "universe", "canon").agg(
+    out = run_level(claims).groupBy("claim_id", "universe", "canon").agg(
         F.count(F.lit(1)).alias("repetition_count"), F.count_if(F.col("run_status").isin(list(VALIDATED))).alias("times_validated"),
-        F.count_if(F.col("run_status") == "rejected").alias("times_rejected"), text.alias("regime_conditions"),
-        F.max_by("run_status", "run").alias("latest_status"))
+        F.count_if(F.col("run_status") == "rejected").alias("times_rejected"), F.max_by("run_status", "run").alias("latest_status"))
+    out = out.join(_regime_texts(_identified(claims), ["claim_id"]), "claim_id", "left").fillna("", ["regime_conditions"])
     low = F.lower("regime_conditions")
     return out.withColumn("has_conflict", low.contains("holds in") & low.contains("reverses"))
 

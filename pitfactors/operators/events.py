@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pitfactors.functions import ranks
 from pitfactors.functions.columns import between_dates, by_symbol, half_up, rows, so_far
-from pitfactors.operators import calendars
+from pitfactors.operators import asof, calendars
 
 
 
@@ -139,14 +139,16 @@ def recoveries(events: DataFrame, bars: DataFrame, condition: str = "peak", with
     """Events with the first close at the target after the trough, if any."""
     target = recovery_target(condition, F.col("trough_price"), F.col("peak_price"))
     keyed = events.withColumn("target", target)
-    later = bars.select(F.col("symbol").alias("s"), F.col("date").alias("rd"), F.col("close").alias("rc"))
-    hit = (F.col("symbol") == F.col("s")) & (F.col("rd") > F.col("trough_date")) & (F.col("rc") >= F.col("target"))
-    if within_days is not None:
-        hit = hit & (F.col("rd") <= F.date_add("trough_date", within_days))
-    found = keyed.select("symbol", "trough_date", "peak_date", "target").distinct().join(later, hit).groupBy(
-        "symbol", "trough_date", "peak_date", "target"
-    ).agg(F.min("rd").alias("recovery_date"), F.min_by("rc", "rd").alias("recovery_price"))
     keys = ["symbol", "trough_date", "peak_date", "target"]
+    wanted = keyed.select(*keys).distinct()
+    later = bars.select("symbol", F.col("date").alias("rd"), F.col("close").alias("rc"))
+    if within_days is not None:
+        limited = wanted.withColumn("_limit", F.date_add("trough_date", within_days))
+        pairs = asof.within(limited, later, "symbol", "trough_date", "_limit", "rd")
+    else:
+        pairs = wanted.join(later, "symbol").filter(F.col("rd") > F.col("trough_date"))
+    found = pairs.filter(F.col("rc") >= F.col("target")).groupBy(*keys).agg(
+        F.min("rd").alias("recovery_date"), F.min_by("rc", "rd").alias("recovery_price"))
     return keyed.join(found, keys, "left").withColumns({
         "target_price": half_up(F.when(F.col("recovery_date").isNotNull(), F.col("target")), 2),
         "days_from_trough": F.datediff("recovery_date", "trough_date"),

@@ -294,10 +294,11 @@ def first_touch(entries: DataFrame, bars: DataFrame, stop_pct: float = -25.0, ta
 def after_cooldown(entries: DataFrame, stops: DataFrame, calendar: DataFrame, rows: int) -> DataFrame:
     """Entries that are not within ``rows`` calendar rows after the symbol's last stop."""
     idx = calendar.select("date", "idx")
-    e = entries.join(idx, "date")
     s = stops.select("symbol", "date").distinct().join(idx, "date").select("symbol", "date", F.col("idx").alias("stop_idx"))
-    j = asof.backward(e, s, cols=["stop_idx"])
-    return j.filter(F.col("stop_idx").isNull() | (F.col("idx") - F.col("stop_idx") >= rows)).select(*entries.columns)
+    days = entries.select("symbol", "date").distinct().join(idx, "date")
+    j = asof.backward(days, s, cols=["stop_idx"])
+    allowed = j.filter(F.col("stop_idx").isNull() | (F.col("idx") - F.col("stop_idx") >= rows))
+    return entries.join(allowed.select("symbol", "date"), ["symbol", "date"], "left_semi")
 
 
 def next_day_fills(signals: DataFrame, bars: DataFrame, at: str = "close", slippage_bps: float = 0.0, side: str = "BUY") -> DataFrame:

@@ -133,24 +133,27 @@ def src14(spark, sf):
 
 
 def results(spark, sf):
-    """One stored-result document per supplier book, as text."""
-    t = A.trades(spark, sf).filter("action = 'SELL'")
+    """One stored-result document per order and sleeve, as text: an order has few lines."""
+    t = A.trades(spark, sf).filter("action = 'SELL'").withColumn("order", F.split("trade_key", ":")[0].cast("long"))
     trade = F.struct("date", "action", "symbol", "shares", "price", "amount", "reason", "pnl")
-    s = t.groupBy("book", "sleeve", "window_year").agg(F.collect_list(trade).alias("trades"))
+    s = t.groupBy("order", "sleeve").agg(F.collect_list(trade).alias("trades"))
     config = F.struct(
-        F.struct(F.when(F.col("book") % 2 == 0, "sector").otherwise("symbols").alias("type"), F.lit("S1").alias("sector"), F.array(F.lit("Brand#1"), F.lit("Brand#2")).alias("symbols")).alias("universe"),
+        F.struct(F.when(F.col("order") % 2 == 0, "sector").otherwise("symbols").alias("type"), F.lit("S1").alias("sector"), F.array(F.lit("Brand#1"), F.lit("Brand#2")).alias("symbols")).alias("universe"),
         F.struct(F.lit(-25.0).alias("value")).alias("stop_loss"))
-    doc = s.select(F.concat_ws("-", F.lit("run"), "book", "window_year").alias("run_id"), F.lit("s").alias("strategy"), config.alias("config"),
+    doc = s.select(F.concat_ws("-", F.lit("run"), "order", "sleeve").alias("run_id"), F.lit("s").alias("strategy"), config.alias("config"),
                    F.struct(F.size("trades").alias("total_trades")).alias("metrics"), F.array(F.struct(F.col("sleeve").alias("label"), "trades")).alias("sleeves"))
     return D.parse_results(doc.select(F.to_json(F.struct("*")).alias("text")))
 
 
-@query("src15_run_metrics", "SELECT 'run-' || book || '-' || window_year AS run_id, CASE WHEN book % 2 = 0 THEN 'sector' ELSE 'symbols' END AS universe_type, CASE WHEN book % 2 = 0 THEN 'S1' ELSE 'Brand#1,Brand#2' END AS universe_detail, -25.0::DOUBLE AS stop_loss, CAST(count(*) AS INTEGER) AS total_trades FROM trades WHERE action = 'SELL' GROUP BY book, sleeve, window_year", "stop_loss")
+SOLD = {"sold": "SELECT *, CAST(split_part(trade_key, ':', 1) AS BIGINT) AS ord FROM trades WHERE action = 'SELL'"}
+
+
+@query("src15_run_metrics", "SELECT 'run-' || ord || '-' || sleeve AS run_id, CASE WHEN ord % 2 = 0 THEN 'sector' ELSE 'symbols' END AS universe_type, CASE WHEN ord % 2 = 0 THEN 'S1' ELSE 'Brand#1,Brand#2' END AS universe_detail, -25.0::DOUBLE AS stop_loss, CAST(count(*) AS INTEGER) AS total_trades FROM sold GROUP BY ord, sleeve", "stop_loss", SOLD)
 def src15(spark, sf):
     return D.run_metrics(results(spark, sf)).select("run_id", "universe_type", "universe_detail", "stop_loss", "total_trades")
 
 
-@query("src16_result_trades", "SELECT 'backtest' AS source_type, 'run-' || book || '-' || window_year AS source_id, sleeve, date, action, symbol, shares, price, amount, reason, pnl FROM trades WHERE action = 'SELL'", "shares price amount:2 pnl:4")
+@query("src16_result_trades", "SELECT 'backtest' AS source_type, 'run-' || ord || '-' || sleeve AS source_id, sleeve, date, action, symbol, shares, price, amount, reason, pnl FROM sold", "shares price amount:2 pnl:4", SOLD)
 def src16(spark, sf):
     return D.result_trades(results(spark, sf)).drop("id")
 

@@ -481,3 +481,15 @@ def j13(spark, sf):
 @query("j16_factor_pairs", "SELECT date, a, b, ic, n FROM pair_ic", "ic", PAIRS)
 def j16(spark, sf):
     return V.pairwise_ic(pan(spark, sf), FACTORS)
+
+
+WK = {"wpan": """SELECT symbol, date, (close / lag(close, 4) OVER w - 1) * 100.0::DOUBLE AS value, lead(close, 4) OVER w / close - 1 AS fwd FROM wbars WINDOW w AS (PARTITION BY symbol ORDER BY date)"""}
+WK["wbk"] = bucket_view("wpan", "value", "fwd")
+
+
+@query("v09_weekly_spread", "SELECT date, max(CASE WHEN bucket = 4 THEN ret END) - max(CASE WHEN bucket = 0 THEN ret END) AS spread FROM wbk GROUP BY 1", "spread", WK)
+def v09w(spark, sf):
+    """Flagship on weekly bars, dense enough at every scale."""
+    b = A.bars(spark, sf, grain="week")
+    rows = b.select("symbol", "date", X.trailing_return(4).alias("value"), (F.lead("close", 4).over(by_symbol()) / F.col("close") - 1).alias("fwd"))
+    return V.spreads(V.bucket_returns(rows))
