@@ -40,15 +40,20 @@ def has_large_group(df: DataFrame, by: Sequence[str]) -> bool:
     return largest_group(df, by) > GROUP_ROWS
 
 
+_LOCAL: dict[str, str] = {}  # application id -> temporary folder of a local session
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="pitfactors-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="pitfactors-")
+    return _LOCAL[context.applicationId]
 
 
 def stable(df: DataFrame) -> DataFrame:
