@@ -47,3 +47,13 @@ def test_every_operator_of_the_inventory_has_a_query():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["x01_rank_standardise", "x02_robust_z", "v09_weekly_spread", "v19_ranked_panel", "e17_momentum_rank", "x07_rank_candidates"])
+def test_query_equals_sql_with_every_group_split(spark, sf, duck, name, monkeypatch):
+    """The plan for oversized groups gives the same answers end to end."""
+    from pitfactors.functions import scale
+
+    monkeypatch.setattr(scale, "SMALL_INPUT_BYTES", 0)
+    monkeypatch.setattr(scale, "GROUP_ROWS", 2)
+    test_query_equals_sql(spark, sf, duck, name)
