@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitfactors import ship
 from pitfactors.plans.oracle_views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,7 @@ def query(name: str, sql: str | None = None, digits: str = "", views: dict[str,
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = fn(spark, sf_dir)
             return df.withColumns({c: rounded(c, n) for c, n in places.items()}) if places else df
 
