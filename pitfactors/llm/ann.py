@@ -52,6 +52,14 @@ def estimate(queries: np.ndarray, bits: np.ndarray, norm: np.ndarray, corr: np.n
     return guess, size[:, None] * spread[None, :] + 1e-5 * size[:, None] * norm[None, :]
 
 
+def _inner(columns: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products added component by component, the same bits for the same vectors in any block."""
+    total = np.zeros(columns.shape[1])
+    for x, y in zip(columns, query):
+        total += x * y
+    return total
+
+
 def _usable(v: str) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return F.col(v).isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
@@ -83,7 +91,7 @@ def _meet(dim: int, s: Search):
             held = table.filter(pa.array(~asks))
             bits = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(c), -1)
             norm, corr = np.asarray(held.column("norm")), np.asarray(held.column("corr"))
-            found = []
+            found, upright = [], np.ascontiguousarray(c.T)
             for a in range(0, len(q), 64):
                 guess, bound = estimate(q[a : a + 64], bits, norm, corr, dim, s.seed, s.width)
                 for i in range(len(guess)):
@@ -92,11 +100,11 @@ def _meet(dim: int, s: Search):
                     if len(low) > k:
                         first = np.argpartition(-low, k)[: k + 1]
                         first = first[~own[first]][:k]
-                        least = np.sort((c[first] * query).sum(axis=1))[-k] if len(first) >= k else -np.inf
+                        least = np.sort(_inner(upright[:, first], query))[-k] if len(first) >= k else -np.inf
                         chosen = np.flatnonzero((guess[i] + bound[i] >= least) & ~own)
                     else:
                         chosen = np.flatnonzero(~own)
-                    score = (c[chosen] * query).sum(axis=1)
+                    score = _inner(upright[:, chosen], query)
                     best = np.lexsort((c_ids[chosen], -score))[:k]
                     found.append((np.full(len(best), q_ids[a + i]), c_ids[chosen][best], score[best]))
             out = [np.concatenate(x) for x in zip(*found)]
