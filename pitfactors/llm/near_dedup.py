@@ -2,17 +2,17 @@
 
 Every document becomes a set of word shingles and a MinHash signature.  Equal sets collapse
 to one node first.  A node is posted under coordinate-value pairs of its signature; two nodes
-at the threshold agree in almost surely ``least`` coordinates or more, so it suffices to post
-the rarest ``coordinates - least + 1`` pairs of each node: any two such nodes then share one
-of them (prefix filter).  What many documents have in common, such as a shared passage, is
-frequent and stays out of the prefix.
-
-Posting lists are not expanded into pairs.  A list links its members to a centre; pairs with
-too few collisions are skipped, the others are confirmed on the full shingle sets, and
-confirmed links merge components.  Lists whose members already belong together are done.  A
-second round takes other centres; the members still apart after it are compared in blocks,
-all against all across components, with the same collision count and confirmation, so no link
-is lost to the choice of centres.
+at the threshold agree almost surely in ``least`` coordinates or more, so it suffices to post
+the rarest ``coordinates - least + shared`` pairs of each node: any two such nodes then meet
+in ``shared`` lists (prefix filter).  What many documents have in common, such as a shared
+passage, is frequent and stays out of the prefix.
+
+Lists of up to ``small`` members count the lists in which two nodes meet.  Longer lists are
+not expanded into pairs: each links its members to a centre, a second round takes other
+centres, and members that are still in different components after it are compared in blocks.
+Wherever a pair comes from, too few collisions of the signatures skip it, and the others are
+confirmed on the full shingle sets.  Two nodes that meet in a long list are compared there,
+two that meet in short lists only have all their meetings counted, so no link is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ class Near:
     percent: int = 80  # links have 100 * |A and B| >= percent * |A or B|
     coordinates: int = 64
     least: int = 36  # collisions of a pair; at 80 % fewer happen with a probability near 1e-6
+    shared: int = 4  # lists in which such a pair meets at least
+    small: int = 8  # members of a list that is counted pair by pair
     counters: int = 1 << 18  # of the frequency sketch, whatever the input's size
     block: int = 2048  # members of a list compared at once in the last round
     dense: int = 4  # pairs a member from which a meeting is confirmed in place
@@ -50,7 +52,7 @@ class Near:
 
     @property
     def prefix(self) -> int:
-        return self.coordinates - self.least + 1
+        return self.coordinates - self.least + self.shared
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -140,7 +142,7 @@ def _sign(p: Near):
                 sizes.append(len(found))
                 ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signature(found, p).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ticket"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "ticket", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ticket"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "ticket", "n_shingles", "digest", "sig"])
 
     return run
 
@@ -176,20 +178,50 @@ def _sketch(nodes: DataFrame, p: Near) -> np.ndarray:
 
 def _post(sketch, p: Near):
     def run(batches):
-        counts = sketch.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = _keys(_matrix(batch.column("sig"), p))
-            often = counts[_counter_of(keys, p)]
-            order = np.lexsort((keys, often), axis=1)[:, : p.prefix]
-            chosen = np.take_along_axis(keys, order, axis=1)
-            node = batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), p.prefix)))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), node, pa.array(np.repeat(often.sum(axis=1), p.prefix))], names=["key", "node", "weight"])
+            order = np.lexsort((keys, sketch.value[_counter_of(keys, p)]), axis=1)[:, : p.prefix]
+            node = np.repeat(batch.column("node").to_numpy(), p.prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, axis=1).ravel()), pa.array(node)], names=["key", "node"])
 
     return run
 
 
+def _weigh(sketch, p: Near):
+    """How frequent a node's signature is as a whole."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                often = sketch.value[_counter_of(_keys(_matrix(batch.column("sig"), p)), p)].sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(often)], names=["node", "weight"])
+
+    return run
+
+
+def _collide(p: Near):
+    """Keeps the pairs whose signatures agree in enough coordinates and whose sizes allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                same = (_matrix(batch.column("sig_a"), p) == _matrix(batch.column("sig_b"), p)).sum(axis=1)
+                n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                fits = (same >= p.least) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))
+                yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
+def _collisions(pairs: DataFrame, marks: DataFrame, p: Near) -> DataFrame:
+    """The pairs (a, b) above the match threshold; ``marks`` has node, sig, n_shingles."""
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+    return pairs.mapInArrow(_collide(p), "a long, b long")
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     low, high = sorted((len(a), len(b)))
     if 100 * low < percent * high:
@@ -202,32 +234,29 @@ def _stars(p: Near):
     """Streams rows sorted by centre and group, the centre first: keeps one set, compares those that follow."""
 
     def run(batches):
-        shingler, held = Shingler(p.shingle), None
-        sig = own = None
+        shingler, held, own = Shingler(p.shingle), None, None
         for batch in batches:
             left, right = [], []
-            for a, part, b, code, text in zip(*(batch.column(c) for c in ("a", "part", "b", "sig", "text"))):
-                a, b, part = a.as_py(), b.as_py(), part.as_py()
-                other = np.frombuffer(code.as_buffer(), np.uint32)
+            for a, part, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), batch.column("text")):
+                found = shingler.set_of(_bytes(text))
                 if a == b:
-                    held, sig, own = (a, part), other, shingler.set_of(_bytes(text))
-                elif held == (a, part) and int((sig == other).sum()) >= p.least and _linked(own, shingler.set_of(_bytes(text)), p.percent):
+                    held, own = (a, part), found
+                elif held == (a, part) and _linked(own, found, p.percent):
                     left.append(a)
                     right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _confirm_stars(pairs: DataFrame, texts: DataFrame, p: Near, group: int = 128) -> DataFrame:
-    """Links among (a, b), a the centre.  A centre with many members is copied to groups of bounded size."""
-    pairs = pairs.distinct()
+def _confirm(pairs: DataFrame, texts: DataFrame, p: Near, group: int = 128) -> DataFrame:
+    """Links among the pairs (a, b).  A node with many partners is copied to groups of bounded size."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     pairs = pairs.unionByName(pairs.select("a", "part").distinct().withColumn("b", F.col("a")))
     rows = pairs.join(texts.withColumnRenamed("node", "b"), "b").withColumn("first", F.col("a") != F.col("b"))
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "first").select("a", "part", "b", "sig", "text")
-    return rows.mapInArrow(_stars(p), "a binary, b binary")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "first").select("a", "part", "b", "text")
+    return rows.mapInArrow(_stars(p), "a long, b long")
 
 
 class _Forest:
@@ -246,24 +275,20 @@ class _Forest:
         self.up[self.find(a)] = self.find(b)
 
 
-def _meet(sketch, p: Near, exact: bool):
+def _meet(p: Near, exact: bool):
     """Streams rows sorted by meeting and compares its members across components.
 
-    A pair counts in the list of the first coordinate that both prefixes share, and only with
-    enough collisions.  Without ``exact`` the pairs are put out, but a meeting with more than
-    ``dense`` of them for each member only by its name; with ``exact`` (rows have texts) the
-    pairs are confirmed here and the links that merge components are put out.
+    A pair counts in the list of the first coordinate in which both are in one long list, and
+    only with enough collisions.  Without ``exact`` the pairs are put out, but a meeting with
+    more than ``dense`` of them for each member only by its name; with ``exact`` (rows have
+    texts) the pairs are confirmed here and the links that merge components are put out.
     """
 
     def compare(key: int, rows: list[tuple]):
-        node, comp, sig, size, side, *text = zip(*rows)
+        _, comp, sig, size, lists, side, *_ = zip(*rows)
         sigs = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, p.coordinates)
-        keys = _keys(sigs)
-        order = np.lexsort((keys, sketch.value[_counter_of(keys, p)]), axis=1)[:, : p.prefix]
-        posted = np.zeros(keys.shape, bool)
-        np.put_along_axis(posted, order, True, axis=1)
-        side, size = np.array(side), np.array(size)
-        comp = np.unique(np.array(comp, dtype=object), return_inverse=True)[1]
+        side, size, lists, comp = np.array(side), np.array(size), np.array(lists, np.int64), np.array(comp)
+        long = (lists[:, None] >> np.arange(p.coordinates) & 1).astype(bool)
         others = np.flatnonzero(side != 0)
         for i in np.flatnonzero(side != 1):
             rest = others[(comp[others] != comp[i]) & ((side[others] == 1) | (others > i))]
@@ -271,20 +296,20 @@ def _meet(sketch, p: Near, exact: bool):
             same = sigs[rest] == sigs[i]
             rest, same = rest[hit := same.sum(axis=1) >= p.least], same[hit]
             if len(rest):
-                yield i, rest[np.argmax(same & posted[rest] & posted[i], axis=1) == key >> 32]
+                yield i, rest[np.argmax(same & long[rest] & long[i], axis=1) == key >> 32]
 
     def result(place: tuple, rows: list[tuple], shingler: Shingler) -> list[tuple]:
         out: list[tuple] = []
         if exact:
             forest = _Forest(np.arange(len(rows)))
-            first: dict[bytes, int] = {}
+            first: dict[int, int] = {}
             for i, row in enumerate(rows):
                 forest.join(i, first.setdefault(row[1], i))
             sets: dict[int, np.ndarray] = {}
 
             def shingles(i: int) -> np.ndarray:
                 if i not in sets:
-                    sets[i] = shingler.set_of(np.frombuffer(rows[i][5].encode(), np.uint8))
+                    sets[i] = shingler.set_of(np.frombuffer(rows[i][6].encode(), np.uint8))
                 return sets[i]
 
         for i, near in compare(place[0], rows):
@@ -299,8 +324,8 @@ def _meet(sketch, p: Near, exact: bool):
         return out
 
     names = ["key", "kind", "x", "y", "a", "b"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    members = ["node", "comp", "sig", "n_shingles", "side", *(["text"] if exact else [])]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    members = ["node", "comp", "sig", "n_shingles", "lists", "side", *(["text"] if exact else [])]
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
@@ -370,69 +395,76 @@ def near_groups(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("ticket"), "text")
-    rows = stable(texts.mapInArrow(_sign(p), "doc_id long, ticket long, n_shingles long, node binary, sig binary"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("ticket").alias("ticket"), F.first("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
-    nodes = stable(nodes)
+    rows = stable(texts.mapInArrow(_sign(p), "doc_id long, ticket long, n_shingles long, digest binary, sig binary"))
+    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("ticket").alias("ticket"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = stable(sets.withColumn("node", F.monotonically_increasing_id()))
+    marks = nodes.select("node", "sig", "n_shingles")
     sketch = spark.sparkContext.broadcast(_sketch(nodes, p))
-    posted = nodes.select("node", "sig").mapInArrow(_post(sketch, p), "key long, node binary, weight long")
-    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    lists = stable(posted.join(several, "key"))
-    used = stable(lists.select("node").distinct())
-    wanted = stable(nodes.join(used, "node").select("node", "ticket", "sig", "n_shingles"))
-    bodies = stable(texts.select("ticket", "text").join(wanted, "ticket").dropDuplicates(["node"]).select("node", "sig", "text"))
-    label = used.select("node", F.col("node").alias("root"))
+    posted = nodes.select("node", "sig").mapInArrow(_post(sketch, p), "key long, node long")
+    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = stable(posted.join(sizes, "key"))
+
+    short = lists.where(F.col("n") <= p.small).select("key", "node")
+    met = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "key").where("a < b")  # at most small - 1 partners a posting
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= p.shared).select("a", "b")
+    counted = stable(_collisions(met, marks, p))
+
+    long = lists.where(F.col("n") > p.small).select("key", "node")
+    mask = F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))")
+    members = stable(long.groupBy("node").agg(mask.alias("lists")))
+    weights = marks.join(members.select("node"), "node", "left_semi").select("node", "sig").mapInArrow(_weigh(sketch, p), "node long, weight long")
+    used = members.select("node").unionByName(counted.select(F.col("a").alias("node"))).unionByName(counted.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "ticket").join(used, "node")
+    bodies = stable(texts.select("ticket", "text").join(wanted, "ticket").dropDuplicates(["node"]).select("node", "text"))
+    label = stable(used.select("node", F.col("node").alias("root")).join(weights, "node", "left"))
     links: DataFrame | None = None
 
     def merged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = found if links is None else links.unionByName(found)
-        roots = components(every)
-        return every, stable(used.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        named = label.drop("root").join(components(every), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return every, stable(named)
 
     for turn in range(2):
-        here = lists.join(label, "node")
+        here = long.join(label, "node")
         # the centre of a list: the member with the most frequent signature (copies share more with
-        # their original than with each other), then any; its node and component come along
-        first = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-        rank = F.concat(F.unhex(F.lpad(F.hex(first), 16, "0")), "node", "root")
-        open_ = here.groupBy("key").agg(F.max(rank).alias("best"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        open_ = open_.select("key", F.substring("best", 9, 16).alias("a"), F.substring("best", 25, 16).alias("ra"))
-        pairs = here.join(open_, "key").where(F.col("root") != F.col("ra")).select("a", F.col("node").alias("b"))
-        found = stable(_confirm_stars(pairs, bodies, p))
-        links, label = merged(found)
-
-    here = lists.join(label, "node")
-    split = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        # their original than with each other), then any; its component comes along
+        order = F.struct(F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node"), F.col("node").alias("a"), F.col("root").alias("ra"))
+        centre = here.groupBy("key").agg(F.max(order).alias("best"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key", "best.a", "best.ra")
+        pairs = here.join(centre, "key").where(F.col("root") != F.col("ra")).select("a", F.col("node").alias("b")).distinct()
+        pairs = _collisions(pairs, marks, p)
+        if turn == 0:
+            pairs = pairs.unionByName(counted)
+        links, label = merged(stable(_confirm(stable(pairs), bodies, p)))
+
+    here = long.join(label.select("node", "root"), "node")
     # members of a list's largest component meet the others only; those meet each other too
+    split = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     top = split.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1")
     top = top.select("key", F.col("top.root").alias("main"), F.ceil(F.col("top.n") / p.block).cast("int").alias("main_blocks"), F.ceil((F.col("members") - F.col("top.n")) / p.block).cast("int").alias("rest_blocks"))
     apart = here.join(top, "key").withColumn("in_main", F.col("root") == F.col("main"))
-    place = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
-    apart = apart.withColumn("place", place)
-    against = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
-    mains = apart.where("in_main").withColumn("other", F.explode(against)).select("key", "node", "root", F.lit(1).alias("kind"), F.col("place").alias("x"), F.col("other").alias("y"), F.lit(1).alias("side"))
-    rest = apart.where("not in_main")
-    to_main = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("main_blocks") - 1))).select("key", "node", "root", F.lit(1).alias("kind"), F.col("other").alias("x"), F.col("place").alias("y"), F.lit(0).alias("side"))
-    to_rest = rest.withColumn("other", F.explode(against)).select(
-        "key", "node", "root", F.lit(0).alias("kind"), F.least("place", "other").alias("x"), F.greatest("place", "other").alias("y"),
-        F.when(F.col("place") == F.col("other"), 2).when(F.col("place") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    place = ["key", "kind", "x", "y"]
-    meetings = stable(mains.unionByName(to_main).unionByName(to_rest).withColumnRenamed("root", "comp").join(wanted.select("node", "sig", "n_shingles"), "node"))
-    dealt = meetings.repartition(*place).sortWithinPartitions(*place)
-    met = stable(dealt.mapInArrow(_meet(sketch, p, False), "key long, kind int, x int, y int, a binary, b binary"))
-    pairs = met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = _confirm_stars(pairs, bodies, p)
-    dense = met.where("a is null").select(*place)
-    full = meetings.join(dense, place).join(bodies.select("node", "text"), "node").repartition(*place).sortWithinPartitions(*place)
-    exact = full.mapInArrow(_meet(sketch, p, True), "key long, kind int, x int, y int, a binary, b binary").select("a", "b")
-    found = stable(found.unionByName(exact))
-    links, label = merged(found)
-
-    named = nodes.select("node", "low").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = apart.withColumn("place", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+
+    def meeting(part: DataFrame, blocks: str, kind: int, x, y, side) -> DataFrame:
+        part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+        return part.select("key", "node", F.col("root").alias("comp"), F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+
+    own, other = F.col("place"), F.col("other")
+    within = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    meetings = meeting(apart.where("in_main"), "rest_blocks", 1, own, other, F.lit(1))
+    meetings = meetings.unionByName(meeting(apart.where("not in_main"), "main_blocks", 1, other, own, F.lit(0)))
+    meetings = stable(meetings.unionByName(meeting(apart.where("not in_main"), "rest_blocks", 0, F.least(own, other), F.greatest(own, other), within)))
+    place, schema = ["key", "kind", "x", "y"], "key long, kind int, x int, y int, a long, b long"
+    full = meetings.join(marks.join(members, "node"), "node")
+    dealt = stable(full.repartition(*place).sortWithinPartitions(*place).mapInArrow(_meet(p, False), schema))
+    pairs = dealt.where("a is not null").select("a", "b").distinct()
+    dense = full.join(dealt.where("a is null").select(*place), place).join(bodies, "node").repartition(*place).sortWithinPartitions(*place)
+    found = _confirm(pairs, bodies, p).unionByName(dense.mapInArrow(_meet(p, True), schema).select("a", "b"))
+    links, label = merged(stable(found))
+
+    named = nodes.select("digest", "node", "low").join(label.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(ids, "root").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = rows.join(named.join(ids, "root").select("digest", "component_id"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "ticket")
 
 
