@@ -281,9 +281,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     hot = stable(texts.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("apart")))
     model = _lexicon(hot, fit)
     part = _lexicon(hot.where("not apart"), fit)  # terms chosen without the texts that fit the coefficients
-    rows = hot.where("apart").mapInArrow(_features(part), "toxic int, x array<double>").toPandas() if part.terms else []
-    if model.terms and len(rows) and 0 < rows["toxic"].sum() < len(rows):
-        w, mean, scale = _logistic(np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(float), fit.ridge)
+    rows = hot.where("apart").mapInArrow(_features(part), "toxic int, x array<double>").collect() if part.terms else []
+    y = np.array([r["toxic"] for r in rows], float)
+    if model.terms and 0 < y.sum() < len(y):
+        w, mean, scale = _logistic(np.array([r["x"] for r in rows]), y, fit.ridge)
         model.coef, model.mean, model.scale = w.tolist(), mean.tolist(), scale.tolist()
     return model
 
