@@ -124,12 +124,14 @@ def neutralise(panel: DataFrame, n_sectors: int, by: Sequence[str] = ("date",),
     """Residual of the value on sector dummies and log market cap, per group.
 
     Sector dummies are removed by demeaning within the sector, the slope on the demeaned
-    log size is one ratio of sums.  Needs columns ``sector`` and ``market_cap``.
+    log size is one ratio of sums.  Needs columns ``sector`` and ``market_cap``; names without
+    a sector form the group "Unknown".
     """
     by = list(by)
     ok = panel.filter(F.col(value).isNotNull() & (F.col("market_cap") > 0)).withColumn("_m", F.ln("market_cap"))
-    means = ok.groupBy(*by, "sector").agg(F.avg(value).alias("_fv"), F.avg("_m").alias("_fm"))
-    centred = ok.join(means, [*by, "sector"]).withColumns(
+    ok = ok.withColumn("_sector", F.coalesce("sector", F.lit("Unknown")))
+    means = ok.groupBy(*by, "_sector").agg(F.avg(value).alias("_fv"), F.avg("_m").alias("_fm"))
+    centred = ok.join(means, [*by, "_sector"]).withColumns(
         {"_f": F.col(value) - F.col("_fv"), "_x": F.col("_m") - F.col("_fm")})
     slopes = centred.groupBy(*by).agg(
         F.sum(F.col("_f") * F.col("_x")).alias("_fx"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"), F.count(F.lit(1)).alias("_n"))

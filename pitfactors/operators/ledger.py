@@ -310,8 +310,9 @@ def next_day_fills(signals: DataFrame, bars: DataFrame, at: str = "close", slipp
 
 
 def combined_nav(sleeve_returns: DataFrame, weights: DataFrame, capital: float = 100.0) -> DataFrame:
-    """Overlay NAV of weighted sleeve returns, compounded as a sum of logs."""
+    """Overlay NAV of weighted sleeve returns, compounded as a sum of logs; 0 from a total loss on."""
     day = sleeve_returns.join(weights, ["sleeve"] + (["date"] if "date" in weights.columns else [])).groupBy("date").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
-    return day.withColumn("nav", F.lit(float(capital)) * F.exp(F.sum(F.log1p("ret")).over(w)))
+    grown = F.when(F.min("ret").over(w) <= -1, 0.0).otherwise(F.exp(F.sum(F.log1p("ret")).over(w)))
+    return day.withColumn("nav", F.lit(float(capital)) * grown)

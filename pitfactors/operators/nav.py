@@ -50,12 +50,12 @@ def max_drawdown(nav: DataFrame) -> DataFrame:
 def return_stats(returns: DataFrame, risk_free_pct: float | Column = 0.0, by: Sequence[str] = ("series_id",)) -> DataFrame:
     """Volatility, Sharpe (period basis under a year) and Sortino from daily returns.
 
-    One aggregation; growth is compounded as a sum of logs.
+    One aggregation; growth is compounded as a sum of logs, and is 0 after a total loss.
     """
     rf = F.lit(float(risk_free_pct)) if not isinstance(risk_free_pct, Column) else risk_free_pct
     short = F.least(F.col("ret") - rf / 100 / YEAR, F.lit(0.0))
     a = returns.filter(F.col("ret").isNotNull()).groupBy(*by).agg(
-        F.count("ret").alias("n"), F.exp(F.sum(F.log1p("ret"))).alias("growth"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"),
+        F.count("ret").alias("n"), F.when(F.min("ret") <= -1, 0.0).otherwise(F.exp(F.sum(F.log1p("ret")))).alias("growth"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"),
         F.sqrt(F.avg(short * short)).alias("down"))
     n_nav = F.col("n") + 1
     annual = _annual(F.col("growth"), n_nav)

@@ -14,13 +14,13 @@ from pyspark.sql.utils import AnalysisException
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key, the last by ``order``; rows with a NULL key drop.
+    """One row per key, the last by ``order``; a NULL part of a key is a value like any other.
 
     The row limit is applied before the shuffle as well, so many versions of one hot key
     shrink to one per task first.
     """
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o.desc() for o in order])
-    return rows.dropna(subset=list(keys)).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +33,9 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order:
 
 def absent(existing: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates whose key is not stored yet; published rows are never changed."""
-    return candidates.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    stored = existing.select(*[F.col(k).alias(f"_stored_{k}") for k in keys]).distinct()
+    same = [candidates[k].eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+    return candidates.join(stored, same, "left_anti")
 
 
 def replace_symbols(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -56,7 +58,9 @@ MERGE_KEYS = {
 
 
 def merge_history(stored: DataFrame, fetched: DataFrame, kind: str) -> DataFrame:
-    """Add new records to stored ones by the kind's key; old records are never lost."""
+    """Add new records to stored ones by the kind's key; old records are never lost, fetched ones without a date drop."""
+    dated = {"insider_trades": "transaction_date", "news": "publishedDate"}.get(kind, "date")
+    fetched = fetched.dropna(subset=[dated]) if dated in fetched.columns else fetched
     if kind == "news":
         stored, fetched = (d.withColumn("news_key", news_key()) for d in (stored, fetched))
     return upsert(stored, fetched, MERGE_KEYS[kind])
