@@ -142,6 +142,13 @@ def plain(token: str) -> str:
     return word
 
 
+def is_quoted(parts: list[str], i: int, span: int) -> bool:
+    """Whether token ``i`` stands in quotation marks or near a word of report."""
+    if parts[i][0] in QUOTES or not REPORT.isdisjoint(parts[max(0, i - span) : i + span + 1]):
+        return True
+    return sum(c in QUOTES for t in parts[max(0, i - span) : i] for c in t) % 2 == 1
+
+
 def crc_rest(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
@@ -213,9 +220,7 @@ class Scorer:
             if not w:
                 continue
             near = parts[max(0, i - span) : i + span + 1]
-            before = "".join(c for t in parts[max(0, i - span) : i] for c in t if c in QUOTES)
-            opened = len(before) % 2 == 1 or token[0] in QUOTES
-            quoted = int(opened or not REPORT.isdisjoint(near))
+            quoted = int(is_quoted(parts, i, span))
             top[quoted] = max(top[quoted], w)
             total[quoted] += w
             if not ADDRESS.isdisjoint(near):
@@ -305,7 +310,14 @@ def _lexicon(hot: DataFrame, fit: Fit) -> Model:
     least = max(2 if n_toxic < 50 else 3, math.ceil(fit.share * n_toxic))
     # each word kept fills a share of all contexts, so their number is bounded by text length / share
     wide = {r["word"]: r["n"] for r in seen.groupBy("word", "around").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
-    words = hot.mapInArrow(_counted(lambda text: {(w,) for t in set(tokens(text)) if (w := plain(t)) in wide}, ["word", "t", "c"], [pa.string()]), "word string, t long, c long")
+    def used(text: str):
+        parts = tokens(text)  # a quoted word says nothing about its text
+        kinds = set(parts)
+        if REPORT.isdisjoint(kinds) and not any(c in text for c in QUOTES):
+            return {(w,) for t in kinds if (w := plain(t)) in wide}
+        return {(w,) for i, t in enumerate(parts) if (w := plain(t)) in wide and not is_quoted(parts, i, fit.window)}
+
+    words = hot.mapInArrow(_counted(used, ["word", "t", "c"], [pa.string()]), "word string, t long, c long")
     for r in words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect():
         odds = math.log((r["t"] + 0.5) / (n_toxic + 1)) - math.log((r["c"] + 0.5) / (n_clean + 1))
         if r["t"] >= least and odds >= fit.odds:
