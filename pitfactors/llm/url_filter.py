@@ -104,11 +104,11 @@ def judge(t: DataFrame, rules: TreeRules) -> DataFrame:
     leaf = leaf.withColumn("branch", F.when(off, F.col("template")).otherwise(F.col("shape")))
     merged = leaf.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     host = merged.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    total = host.agg(F.sum("host_labelled").alias("all_labelled"), F.sum("host_bad").alias("all_bad"))
-    whole_rate = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
+    total = host.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_bad").alias("bad")).first()
+    whole_rate = F.lit((total["bad"] or 0) / max(total["labelled"] or 0, 1))
     host_rate = (F.col("host_bad") + rules.prior * whole_rate) / (F.col("host_labelled") + rules.prior)
     purity = (F.col("bad") + rules.prior * host_rate) / (F.col("labelled") + rules.prior)
-    merged = merged.join(host, "host").crossJoin(F.broadcast(total)).withColumn("purity", purity)  # total is one row
+    merged = merged.join(host, "host").withColumn("purity", purity)
     # without a label of its own host, a template is not rejected
     merged = merged.withColumn("reject", (F.col("purity") >= rules.reject) & (F.col("host_labelled") > 0))
     return leaf.select("host", "template", "branch").join(merged.select("host", "branch", "purity", "reject"), ["host", "branch"])
