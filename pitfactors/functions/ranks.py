@@ -1,9 +1,10 @@
 """Exact ranks inside groups, with a plan for groups too big for one task.
 
 A group is a cross-section (one date, one feature and date, …).  The usual plan is one
-window per group.  When a group is larger than one task should sort, the rows are cut
-into key ranges first: cut points come from a bounded sample, every range is ranked on
-its own, and the counts of the earlier ranges are added.  Both plans give the same rows.
+window per group.  When a group is larger than one task should sort, the rows are range
+partitioned by group and order first, so a hot group spans as many pieces as its rows need;
+every piece is ranked on its own, and the counts of the earlier pieces of its group are
+added.  Both plans give the same rows.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from pitfactors.functions import scale
 
-SAMPLE_ROWS = 200_000
-
 
 def ordinal(
     df: DataFrame,
@@ -36,10 +35,8 @@ def ordinal(
     split = strategy == "split" or (strategy == "auto" and scale.has_large_group(df, by))
     if split:
         return _split_ordinal(df, by, order, rank, count, descending, group_rows)
-    first = F.col(order[0])
-    sort = [first.desc_nulls_last() if descending else first.asc_nulls_last(), *order[1:]]
     group = Window.partitionBy(*by)
-    out = df.withColumn(rank, F.row_number().over(group.orderBy(*sort)))
+    out = df.withColumn(rank, F.row_number().over(group.orderBy(*_sort(order, descending))))
     return out if count is None else out.withColumn(count, F.count(F.lit(1)).over(group))
 
 
@@ -83,47 +80,31 @@ def moments(df: DataFrame, by: Sequence[str], value: str, mean: str, sd: str, st
 
 
 def _split_ordinal(df, by, order, rank, count, descending, group_rows):
-    df = scale.stable(df.withColumn("_key", _sort_key(order, descending)))
-    total = df.count()
-    pieces = max(2, min(4000, 4 * (total // max(1, group_rows) + 1)))
-    fraction = min(1.0, SAMPLE_ROWS / max(1, total))
-    sample = df.select(*by, "_key").sample(fraction, seed=17)
-    step = max(1, int(total * fraction) // pieces)
-    seen = Window.partitionBy(*by).orderBy("_key")
-    cuts = (
-        sample.withColumn("_i", F.row_number().over(seen))
-        .filter(F.col("_i") % step == 0)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
-    )
-    cuts = scale.stable(cuts)  # at most SAMPLE_ROWS / step keys in all
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
-    placed = (
-        df.alias("l")
-        .join(F.broadcast(cuts).alias("r"), same, "left")
-        .select("l.*", piece.alias("_piece"))
-    )
+    df = scale.stable(df)
+    sort = _sort(order, descending)
+    pieces = max(2, 4 * (df.count() // max(1, group_rows) + 1))
+    # The range partitioner orders pieces as the window orders rows; written once, so a row keeps its piece.
+    placed = scale.stable(df.repartitionByRange(pieces, *by, *sort).withColumn("_piece", F.spark_partition_id()))
     sizes = placed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*by).orderBy("_piece")
     sizes = sizes.withColumn(
         "_before", F.coalesce(F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_total", F.sum("_size").over(Window.partitionBy(*by)))
-    inside = Window.partitionBy(*by, "_piece").orderBy("_key")
+    inside = Window.partitionBy(*by, "_piece").orderBy(*sort)
     ranked = placed.withColumn("_rn", F.row_number().over(inside))
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_piece"]]
     joined = ranked.alias("l").join(sizes.alias("r"), keys)
-    keep = [F.col(f"l.{c}") for c in df.columns if c != "_key"]
+    keep = [F.col(f"l.{c}") for c in df.columns]
     extra = [(F.col("l._rn") + F.col("r._before")).cast("int").alias(rank)]
     if count is not None:
         extra.append(F.col("r._total").alias(count))
     return joined.select(*keep, *extra)
 
 
-def _sort_key(order: Sequence[str], descending: bool) -> Column:
+def _sort(order: Sequence[str], descending: bool) -> list[Column]:
+    """One order for both plans, whatever the type of the first column."""
     first = F.col(order[0])
-    parts = [first.isNull().alias("k0"), (-first if descending else first).alias("k1")]
-    return F.struct(*parts, *[F.col(c).alias(f"k{i + 2}") for i, c in enumerate(order[1:])])
+    return [first.desc_nulls_last() if descending else first.asc_nulls_last(), *map(F.col, order[1:])]
 
 
 def bucket(rn: Column, n: Column, buckets: int) -> Column:

@@ -9,8 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Inputs up to this many stored bytes cannot hold a group too big for one task.
-SMALL_INPUT_BYTES = 1 << 30
+#: Inputs up to this many stored bytes are not counted: a task sorts all their rows, spilling if it must.
+SMALL_INPUT_BYTES = 1 << 26
 #: Rows one task sorts comfortably; larger groups are cut into ranges.
 GROUP_ROWS = 5_000_000
 

@@ -119,8 +119,10 @@ def ledger(trades: DataFrame, start=None, end=None, equal: Mapping[str, object]
         t = t.filter(F.col("pnl") >= min_pnl)
     if max_pnl is not None:
         t = t.filter(F.col("pnl") <= max_pnl)
-    more = t.agg(F.count(F.lit(1)) > cap).scalar()
-    return t.orderBy(F.desc("date"), "trade_key").limit(cap).withColumn("truncated", more)
+    order = [F.desc("date"), F.col("trade_key")]
+    top = t.orderBy(*order).limit(cap + 1)  # the row beyond the cap tells whether it cut
+    top = top.withColumns({"_i": F.row_number().over(Window.orderBy(*order)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return top.filter(F.col("_i") <= cap).withColumn("truncated", F.col("_n") > cap).drop("_i", "_n")
 
 
 def with_features(trades: DataFrame, panel: DataFrame) -> DataFrame:
@@ -140,16 +142,21 @@ def recall(claims: DataFrame, limit: int = 20, **equal) -> DataFrame:
     return claims.orderBy(F.desc("promotions"), F.desc("created"), "id").limit(limit)
 
 
-def sandbox(tables: Mapping[str, DataFrame], sql: str, stop, sectors: Sequence[str] | None = None, profiles: DataFrame | None = None, benchmarks: Sequence[str] = (), cap: int = ROW_CAP) -> DataFrame:
+def sandbox(tables: Mapping[str, DataFrame], sql: str, stop, sectors: Sequence[str] | None = None, profiles: DataFrame | None = None, benchmarks: Sequence[str] = (), cap: int = ROW_CAP, dates: Mapping[str, str] | None = None) -> DataFrame:
     """Run read-only SQL on tables cut at a date and to permitted sectors.
 
     Tables are passed as named arguments of ``spark.sql``, so nothing is registered and
-    the caller sees only the filtered data: write ``{prices}`` in the statement.
+    the caller sees only the filtered data: write ``{prices}`` in the statement.  ``dates``
+    names the date column of tables that call it other than ``date``.  The statement runs as
+    a subquery, where the grammar has no commands.
     """
     cut = {}
     for name, df in tables.items():
-        if "date" in df.columns:
-            df = between_dates(df, None, stop)
+        day = (dates or {}).get(name, "date")
+        if day in df.columns:
+            df = df.filter(F.col(day) <= F.lit(stop).cast("date"))
+        elif dates and name in dates:
+            raise ValueError(f"{name} has no column {day!r}")
         if sectors is not None and "symbol" in df.columns:
             ok = profiles.filter(F.col("sector").isin(list(sectors)) | F.col("symbol").isin(list(benchmarks))).select("symbol")
             df = df.join(ok, "symbol", "left_semi")
@@ -157,7 +164,7 @@ def sandbox(tables: Mapping[str, DataFrame], sql: str, stop, sectors: Sequence[s
     if not sql.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only queries are allowed")
     session = next(iter(tables.values())).sparkSession
-    return session.sql(sql, **cut).limit(cap)
+    return session.sql(f"SELECT * FROM (\n{sql}\n) LIMIT {int(cap)}", **cut)
 
 
 def score_series(panel: DataFrame, symbol: str) -> DataFrame:
