@@ -261,14 +261,18 @@ def execution_summary(quality: DataFrame, by: Sequence[str] = ("action",)) -> Da
 def first_touch(entries: DataFrame, bars: DataFrame, stop_pct: float = -25.0, take_pct: float | None = 60.0, max_days: int = 365, trail: tuple[float, float] | None = None, exits: DataFrame | None = None) -> DataFrame:
     """Earliest exit per entry: stop, take-profit (or trailing peak), time stop, fundamental.
 
-    ``entries`` is ``(entry_id, symbol, entry_date, entry_price)``.  The time stop bounds
-    the bars each entry is joined to; on one day the order is stop, take, time, fundamental.
+    ``entries`` is ``(entry_id, symbol, entry_date, entry_price)``.  The time stop is the first
+    bar at or after its day, however late, and bounds the bars each entry is joined to; on
+    one day the order is stop, take, time, fundamental.
     ``trail`` is ``(drop_pct, activate_gain_pct)``; ``exits`` is ``(symbol, date)``.
     """
     days = bars.select("symbol", "date", "close")
     if exits is not None:  # flagged on the bars, so the pairs are not shuffled for it
         days = days.join(exits.select("symbol", "date").distinct().withColumn("_exit", F.lit(True)), ["symbol", "date"], "left")
-    spans = entries.withColumn("_limit", F.date_add("entry_date", max_days + 31))
+    due = entries.select("symbol", "entry_date").distinct().withColumn("_due", F.date_add("entry_date", max_days))
+    stops = asof.forward(due, bars.select("symbol", "date"), left_date="_due")
+    stops = stops.select("symbol", "entry_date", F.coalesce("next_date", "_due").alias("_limit"))
+    spans = entries.join(stops, ["symbol", "entry_date"])
     j = asof.within(spans, days, "symbol", "entry_date", "_limit", "date").drop("_limit")
     j = j.withColumn("gain", (F.col("close") - F.col("entry_price")) / F.col("entry_price") * 100)
     rules = [F.when(F.col("gain") <= stop_pct, 1)]

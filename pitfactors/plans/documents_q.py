@@ -243,7 +243,7 @@ def st3(spark, sf):
 def st4(spark, sf):
     out, check = workspace(spark, "st4"), workspace(spark, "st4-check")
     s = tick_stream(spark, sf).select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("alert_id"), "ts")
-    J.run_to_folder(J.unique_alerts(s, "ts"), out, check)
+    J.unique_alerts(s, out, check).start().awaitTermination()
     return spark.read.parquet(out).select("alert_id")
 
 

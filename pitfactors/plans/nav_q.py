@@ -382,7 +382,7 @@ def l10b(spark, sf):
 
 FT = {"ent": "SELECT symbol || ':' || date AS entry_id, symbol, date AS entry_date, close AS entry_price FROM bars WHERE volume > 100",
       "xs": "SELECT symbol, date FROM earnings",
-      "tj": "SELECT e.*, b.date, b.close, (b.close - e.entry_price) / e.entry_price * 100 AS gain, x.date AS xd FROM ent e JOIN bars b ON b.symbol = e.symbol AND b.date > e.entry_date AND b.date <= e.entry_date + 61 LEFT JOIN xs x ON x.symbol = b.symbol AND x.date = b.date",
+      "tj": "SELECT e.*, b.date, b.close, (b.close - e.entry_price) / e.entry_price * 100 AS gain, x.date AS xd FROM (SELECT ent.*, n.date AS until FROM ent ASOF LEFT JOIN bars n ON n.symbol = ent.symbol AND ent.entry_date + 30 <= n.date) e JOIN bars b ON b.symbol = e.symbol AND b.date > e.entry_date AND b.date <= coalesce(e.until, e.entry_date + 30) LEFT JOIN xs x ON x.symbol = b.symbol AND x.date = b.date",
       "th": "SELECT *, CASE WHEN gain <= -25 THEN 'stop_loss' WHEN gain >= 60 THEN 'take_profit' WHEN date - entry_date >= 30 THEN 'time_stop' WHEN xd IS NOT NULL THEN 'fundamental_exit' END AS hit FROM tj",
       "touch": "SELECT e.*, h.exit_date, h.exit_price, h.pnl_pct, coalesce(h.reason, 'open') AS reason FROM ent e LEFT JOIN (SELECT entry_id, min(date) AS exit_date, arg_min(close, date) AS exit_price, arg_min(gain, date) AS pnl_pct, arg_min(hit, date) AS reason FROM th WHERE hit IS NOT NULL GROUP BY 1) h USING (entry_id)"}
 

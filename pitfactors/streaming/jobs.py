@@ -61,9 +61,9 @@ def score_append(stream: DataFrame, checkpoint: str, build: Callable[[], DataFra
     return _each(stream, checkpoint, lambda batch, _: sinks.append_after_last(build(), path))
 
 
-def unique_alerts(stream: DataFrame, time: str, delay: str = "3 days") -> DataFrame:
-    """Alerts once per id; state is dropped when the watermark passes."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["alert_id"])
+def unique_alerts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("alert_id",)) -> DataStreamWriter:
+    """Each alert once, for ever: ids stored already are left as they are, however late they come again."""
+    return _each(stream, checkpoint, lambda batch, _: sinks.insert_absent(batch.dropDuplicates(list(keys)), path, keys))
 
 
 def windowed(stream: DataFrame, time: str, keys: Sequence[str], width: str, delay: str) -> DataFrame:
