@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,6 @@ from pitfactors.functions.columns import between_dates, by_symbol, names, ratio
 from pitfactors.operators import asof, calendars
 
 
-
 def correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation aggregate, NULL without variance on either side."""
     return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -372,22 +370,27 @@ def factor_covariance(ranked: DataFrame, factors: Sequence[str]) -> DataFrame:
     return one.select(F.inline(cells))
 
 
+OFF_DIAGONAL, RIDGE = 0.8, 1e-4  # fixed values: damping of covariances, added to variances
+
+
 def solve_weights(ic: np.ndarray, cov: np.ndarray, method: str = "ic_optimal", shrinkage: float = 0.3) -> np.ndarray:
-    """Non-negative weights that sum to one (a k-by-k solve on the driver)."""
+    """Non-negative weights that sum to one (a k-by-k solve on the driver).
+
+    Each method is the least-squares answer to its own penalised system; what it leaves
+    positive is spread over ``1 - shrinkage``, the rest is shared equally.
+    """
     k = len(ic)
-    if method == "equal":
-        w = np.ones(k)
-    elif method == "ic_weighted":
-        w = np.clip(ic, 0, None)
-    elif method == "ic_optimal":
-        # 0.8 / 0.2 diagonal shrinkage and a ridge of 1e-4.
-        w = np.linalg.solve(0.8 * cov + 0.2 * np.diag(np.diag(cov)) + 1e-4 * np.eye(k), ic)
-    else:
+    own = np.eye(k)
+    systems = {
+        "equal": (own, np.ones(k)),
+        "ic_weighted": (own, ic),
+        "ic_optimal": (cov * (OFF_DIAGONAL + (1 - OFF_DIAGONAL) * own) + RIDGE * own, ic),
+    }
+    if method not in systems:
         raise ValueError(f"unknown method {method!r}")
-    w = np.clip(w, 0, None)
-    w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
-    w = (1 - shrinkage) * w + shrinkage / k
-    return w / w.sum()
+    gain = np.maximum(np.linalg.solve(*systems[method]), 0)
+    earned = gain / gain.sum() if gain.any() else np.full(k, 1 / k)
+    return shrinkage / k + (1 - shrinkage) * earned
 
 
 def _pooled(row, k: int, signs: np.ndarray):
@@ -606,70 +609,65 @@ def ir_distribution(rolling: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def largest_shifts(rolling: DataFrame, by: Sequence[str], lookback: int = 60, top: int = 5) -> DataFrame:
     """Largest changes of the mean ratio between the rows before and after a date."""
     by = list(by)
-    schema = ", ".join(f"{c} {rolling.schema[c].dataType.simpleString()}" for c in by)
-    schema += ", date date, before double, after double, z double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        n, x = len(pdf), pdf["ir"].to_numpy()
-        columns = [*by, "date", "before", "after", "z"]
-        if n < 2 * lookback + 2:
-            return pd.DataFrame(columns=columns)
-        total = np.concatenate([[0.0], np.cumsum(x)])
-        i = np.arange(lookback, n - lookback)
-        before, after = (total[i] - total[i - lookback]) / lookback, (total[i + lookback] - total[i]) / lookback
-        shift = after - before
-        sd = shift.std(ddof=1)
-        if not sd > 0:
-            return pd.DataFrame(columns=columns)
-        kept: list[int] = []
-        for j in np.argsort(-np.abs(shift), kind="stable"):
-            if all(abs(j - k) >= lookback // 2 for k in kept):
-                kept.append(int(j))
-                if len(kept) == top:
-                    break
-        kept.sort()
-        out = pdf.loc[i[kept], [*by, "date"]].copy()
-        out["before"], out["after"], out["z"] = before[kept], after[kept], shift[kept] / sd
-        return out[columns]
-
-    return rolling.groupBy(*by).applyInPandas(run, schema=schema)
+    group = Window.partitionBy(*by)
+    line = group.orderBy("date")
+    near = rolling.withColumns({
+        "i": F.row_number().over(line), "n": F.count(F.lit(1)).over(group),
+        "before": F.avg("ir").over(line.rowsBetween(-lookback, -1)), "after": F.avg("ir").over(line.rowsBetween(0, lookback - 1))})
+    full = F.col("i").between(lookback + 1, F.col("n") - lookback)
+    near = near.filter((F.col("n") >= 2 * lookback + 2) & full).withColumn("shift", F.col("after") - F.col("before"))
+    peak = F.struct((-F.abs("shift")).alias("order"), "i", "date", "before", "after", "shift")
+    # one bounded series per group: its rows by size of the shift, thinned to those far enough apart
+    series = near.groupBy(*by).agg(F.sort_array(F.collect_list(peak)).alias("peaks"), F.stddev_samp("shift").alias("sd")).filter("sd > 0")
+
+    def thin(kept: Column, p: Column) -> Column:
+        apart = F.forall(kept, lambda k: F.abs(k["i"] - p["i"]) >= lookback // 2)
+        return F.when((F.size(kept) < top) & apart, F.concat(kept, F.array(p))).otherwise(kept)
+
+    kept = series.select(*by, "sd", F.inline(F.aggregate("peaks", F.slice("peaks", 1, 0), thin)))
+    return kept.select(*by, "date", "before", "after", (F.col("shift") / F.col("sd")).alias("z"))
+
+
+BRIDGE_TERMS = range(1, 5)  # of the alternating series
 
 
 def bridge_p_value(stat: float) -> float:
-    """Tail probability of the supremum of a Brownian bridge (four series terms)."""
+    """Tail probability of the supremum of a Brownian bridge."""
     if stat <= 0:
         return 1.0
-    return float(min(1.0, max(0.0, 2 * sum((-1) ** (k + 1) * math.exp(-2 * (k * stat) ** 2) for k in range(1, 5)))))
+    return float(min(1.0, max(0.0, 2 * sum((-1) ** (k + 1) * math.exp(-2 * (k * stat) ** 2) for k in BRIDGE_TERMS))))
+
+
+def _bridge_tail(stat: Column) -> Column:
+    """``bridge_p_value`` as a column."""
+    terms = sum((F.exp(-2.0 * k * k * stat * stat) * (2.0 if k % 2 else -2.0) for k in BRIDGE_TERMS), F.lit(0.0))
+    return F.when(stat > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))).otherwise(1.0)
 
 
 def change_points(rolling: DataFrame, by: Sequence[str], alpha: float = 0.05, depth: int = 2, least: int = 60) -> DataFrame:
-    """Breaks in the mean by recursive CUSUM, at most ``depth`` levels of splitting."""
+    """Breaks in the mean by CUSUM: all parts of all series at once, split ``depth`` times.
+
+    A part too short, flat, or without a significant break leaves; a break takes its date
+    out and halves the part, whose number doubles.
+    """
     by = list(by)
-    schema = ", ".join(f"{c} {rolling.schema[c].dataType.simpleString()}" for c in by)
-    schema += ", date date, p_value double, depth int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        x, found = pdf["ir"].to_numpy(), []
-        todo = [(0, len(x), 0)]
-        while todo:
-            lo, hi, level = todo.pop()
-            part = x[lo:hi]
-            if level > depth or len(part) < least or not part.std(ddof=1) > 0:
-                continue
-            stat = np.abs(np.cumsum(part - part.mean())) / (part.std(ddof=1) * math.sqrt(len(part)))
-            at = int(stat.argmax())
-            p = bridge_p_value(float(stat[at]))
-            if p < alpha:
-                found.append((lo + at, p, level))
-                todo += [(lo, lo + at, level + 1), (lo + at + 1, hi, level + 1)]
-        found.sort()
-        out = pdf.loc[[f[0] for f in found], [*by, "date"]].copy()
-        out["p_value"], out["depth"] = [f[1] for f in found], [f[2] for f in found]
-        return out
-
-    return rolling.groupBy(*by).applyInPandas(run, schema=schema)
+    rows = rolling.select(*by, "date", "ir", F.lit(1).alias("part"))
+    part = Window.partitionBy(*by, "part")
+    path = part.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    found = None
+    for level in range(depth + 1):
+        rows = rows.withColumns({"n": F.count("ir").over(part), "mean": F.avg("ir").over(part), "sd": F.stddev_samp("ir").over(part)})
+        rows = rows.filter((F.col("n") >= least) & (F.col("sd") > 0))
+        drift = F.abs(F.sum(F.col("ir") - F.col("mean")).over(path)) / (F.col("sd") * F.sqrt("n"))
+        rows = rows.withColumn("stat", drift)
+        rows = rows.withColumn("top", F.max(F.struct("stat", (-F.unix_date("date")).alias("early"))).over(part))
+        rows = rows.select(*by, "date", "ir", "part", _bridge_tail(F.col("top.stat")).alias("p_value"), F.date_from_unix_date(-F.col("top.early")).alias("at"))
+        rows = rows.filter(F.col("p_value") < alpha)
+        here = rows.filter(F.col("date") == F.col("at")).select(*by, "date", "p_value", F.lit(level).alias("depth"))
+        found = here if found is None else found.unionByName(here)
+        side = F.col("part") * 2 + (F.col("date") > F.col("at")).cast("int")
+        rows = rows.filter(F.col("date") != F.col("at")).select(*by, "date", "ir", side.alias("part"))
+    return found
 
 
 # ---------------------------------------------------------------- exposure and attribution

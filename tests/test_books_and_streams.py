@@ -2,9 +2,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from conftest import day
+from pitfactors.functions import ranks
 from pitfactors.operators import funds, ledger, lookup, regimes
 from pitfactors.sources import documents, sinks
 from pitfactors.streaming import jobs
@@ -51,10 +53,26 @@ def test_first_touch_precedence(spark, make_bars):
     assert got == {"A": ("stop_loss", 2), "B": ("take_profit", 1), "C": ("time_stop", 30)}
 
 
+def test_first_touch_waits_for_the_next_bar(spark):
+    b = spark.createDataFrame([("A", day(i), 100.0) for i in (0, 5, 110, 111)], "symbol string, date date, close double")
+    e = spark.createDataFrame([("a", "A", day(0), 100.0), ("b", "A", day(110), 100.0)], "entry_id string, symbol string, entry_date date, entry_price double")
+    got = {r["entry_id"]: (r["reason"], r["exit_date"]) for r in ledger.first_touch(e, b, -25.0, 60.0, 30).collect()}
+    assert got == {"a": ("time_stop", day(110)), "b": ("open", None)}
+
+
 def test_xirr():
-    assert funds.xirr(np.array([0.0, 365.0]), np.array([-100.0, 110.0])) == pytest.approx(0.10)
-    assert funds.xirr(np.array([0.0, 365.0]), np.array([-100.0, 20.0])) == pytest.approx(-0.8)
-    assert funds.xirr(np.array([0.0, 1.0]), np.array([5.0, 10.0])) is None
+    days, account = np.array([0.0, 365.0, 0.0, 365.0, 0.0, 1.0]), np.array([0, 0, 1, 1, 2, 2])
+    got = funds.xirr(days, np.array([-100.0, 110.0, -100.0, 20.0, 5.0, 10.0]), account)
+    assert got[0] == pytest.approx(0.10) and got[1] == pytest.approx(-0.8) and np.isnan(got[2])
+
+
+def test_alerts_stay_unique_however_late_they_repeat(spark, tmp_path):
+    feed, out, check = (str(tmp_path / n) for n in ("feed", "out", "check"))
+    for ids in (["a", "b", "a"], ["c"], ["a", "d"]):
+        df = spark.createDataFrame([(i,) for i in ids], "alert_id string")
+        df.coalesce(1).write.mode("append").parquet(feed)
+        jobs.unique_alerts(jobs.files(spark, feed, df.schema), out, check).start().awaitTermination()
+    assert sorted(r["alert_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
 
 
 def test_fund_values_reconcile(spark):
@@ -150,3 +168,17 @@ def test_sandbox_hides_the_future_and_other_sectors(spark, make_bars):
     assert sorted((r["symbol"], r["d"]) for r in got) == [("A", day(1)), ("X", day(1))]
     with pytest.raises(ValueError):
         lookup.sandbox({"prices": b}, "drop table x", day(1))
+    with pytest.raises(ParseException):
+        lookup.sandbox({"prices": b}, "with x as (select 1) insert into t select * from x", day(1))
+    late = lookup.sandbox({"trades": b.withColumnRenamed("date", "transaction_date")}, "select max(transaction_date) as d from {trades}", day(1), dates={"trades": "transaction_date"})
+    assert late.first()["d"] == day(1)
+
+
+def test_split_ranks_equal_the_window_for_nan_null_and_dates(spark):
+    rows = [(i % 2, v, day(i)) for i, v in enumerate([float("nan"), 2.0, 1.0, None, 2.0, float("nan"), -1.0, None, 5.0])]
+    df = spark.createDataFrame(rows, "g int, v double, d date")
+    for order in (["v", "d"], ["d", "v"]):
+        for down in (False, True):
+            plans = [ranks.ordinal(df, ["g"], order, descending=down, strategy=s, group_rows=1) for s in ("window", "split")]
+            a, b = (sorted((r["g"], r["d"], r["rn"]) for r in p.collect()) for p in plans)
+            assert a == b
