@@ -26,14 +26,14 @@ def _turn(role: Column, text: Column) -> Column:
 def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, turns (ordered role and text), keys (hash of each prefix)."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).isNull().alias("late"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t"))
-    rows = rows.where(F.col("conv_id").isNotNull()).dropDuplicates()
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = rows.where(F.col("conv_id").isNotNull())
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))  # repeats shrink map-side
 
     def roll(keys: Column, t: Column) -> Column:
-        before = F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit(""))
-        return F.concat(keys, F.array(F.sha2(F.concat(before, _turn(t["role"], t["text"])), 256)))
+        before = F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit("").cast("binary"))
+        return F.concat(keys, F.array(F.unhex(F.sha2(F.concat(before, _turn(t["role"], t["text"]).cast("binary")), 256))))
 
-    keys = F.aggregate("turns", F.array().cast("array<string>"), roll)
+    keys = F.aggregate("turns", F.array().cast("array<binary>"), roll)
     return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), keys.alias("keys"))
 
 
