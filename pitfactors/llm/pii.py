@@ -9,8 +9,10 @@ the threshold.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,11 +129,17 @@ def spans(text: str, rules: Rules = Rules()) -> list[tuple[int, int, int, float,
     if not has_digit(text):
         return sorted(out)
     taken = sorted((a, b) for a, _, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # furthest end up to each span
+
+    def free(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)  # spans that start before b
+        return not before or reach[before - 1] <= a
 
     def propose(pattern: re.Pattern, kind: int, start_score: float, check=lambda m: True) -> None:
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not check(m.group()) or any(x < b and a < y for x, y in taken):
+            if not check(m.group()) or not free(a, b):
                 continue
             score = start_score + (rules.context if _near(text, a, KINDS[kind], rules.window) else 0.0)
             if score >= rules.threshold:
