@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitfactors.functions.scale import stable
-
 #: Turn frame of the rendered text.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -43,7 +41,7 @@ def maximal(convs: DataFrame) -> DataFrame:
     prefixes = convs.select(F.explode(F.slice("keys", 1, F.size("keys") - 1)).alias("key")).distinct()
     first = convs.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     kept = first.join(prefixes, "key", "left_anti")
-    return convs.drop("key").join(kept.select("conv_id", "copies"), "conv_id")
+    return convs.select("conv_id", "turns").join(kept.select("conv_id", "copies"), "conv_id")
 
 
 def render(turns: Column) -> Column:
@@ -63,6 +61,7 @@ def chat_format(turns: DataFrame, **columns: str) -> DataFrame:
     * An empty table gives no rows; other columns are ignored.
 
     A conversation is one row of the result, so its turns meet in one task by definition.
+    All branches group by conversation, so they read one exchange and texts move once.
     """
-    kept = maximal(stable(conversations(turns, **columns)))
+    kept = maximal(conversations(turns, **columns))
     return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("copies"), render(F.col("turns")).alias("text"))
