@@ -8,8 +8,14 @@ from pitfactors.plans import features_q as FQ
 from pitfactors.plans.catalogue import query
 from pitfactors.sources import adapters as A
 
-START, END = "1995-01-01", "2001-12-31"  # the whole history
-SPAN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
+FIRST, LAST = "(SELECT min(date) FROM calendar)", "(SELECT max(date) FROM calendar)"
+SPAN = f"date BETWEEN {FIRST} AND {LAST}"
+
+
+def whole(spark, sf):
+    """First and last date of the calendar."""
+    ends = A.dates(spark, sf).agg(F.min("date"), F.max("date")).first()
+    return tuple(str(d) for d in ends)
 
 
 def data(spark, sf, *names):
@@ -34,7 +40,7 @@ PE = {"pe_q": "SELECT symbol, date, shares_diluted * 100.0::DOUBLE / net_income
 def _cond(name, cfg, sql, needs=(), views=None, digits="value"):
     @query(name, sql, digits, views)
     def run(spark, sf):
-        return C.signal(data(spark, sf, *needs), cfg, START, END).select("symbol", "date", "value")
+        return C.signal(data(spark, sf, *needs), cfg, *whole(spark, sf)).select("symbol", "date", "value")
 
 
 def _val(sql, col, date="date"):
@@ -51,7 +57,7 @@ _cond("c03_daily_drop", {"type": "daily_drop", "threshold": -50.0},
 _cond("c04_selloff", {"type": "selloff", "threshold": -40.0},
       _val('SELECT b.symbol, b.date, e.drawdown_pct FROM bars b JOIN evt e ON e.symbol = b.symbol AND b.date >= e.trigger_date AND b.date <= e."current_date"', "drawdown_pct"), views=EQ.RV)
 
-MOMENTUM = f"""SELECT symbol, CAST(unnest(generate_series(since, least(coalesce(nxt - 1, DATE '{END}'), DATE '{END}'), INTERVAL 1 DAY)) AS DATE) AS date, CAST(beats AS DOUBLE) AS value FROM
+MOMENTUM = f"""SELECT symbol, CAST(unnest(generate_series(since, least(coalesce(nxt - 1, {LAST}), {LAST}), INTERVAL 1 DAY)) AS DATE) AS date, CAST(beats AS DOUBLE) AS value FROM
   (SELECT symbol, date AS since, sum(CASE WHEN eps_actual > eps_estimated THEN 1 ELSE 0 END) OVER w AS beats, count(*) OVER w AS n,
    lead(date) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM earnings WHERE eps_estimated IS NOT NULL
    WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 3 PRECEDING)) WHERE n >= 2 AND beats >= 2"""
@@ -70,8 +76,8 @@ _cond("c06_pe_percentile", {"type": "pe_percentile"}, _percentile("pe_q", "pe",
 
 
 def _held(sql, value):
-    return f"""SELECT symbol, CAST(unnest(generate_series(signal_date, least(coalesce(nxt - 1, signal_date + 100), DATE '{END}'), INTERVAL 1 DAY)) AS DATE) AS date, CAST({value} AS DOUBLE) AS value
-  FROM (SELECT *, lead(signal_date) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM ({sql}) WHERE signal_date BETWEEN DATE '{START}' AND DATE '{END}')"""
+    return f"""SELECT symbol, CAST(unnest(generate_series(signal_date, least(coalesce(nxt - 1, signal_date + 100), {LAST}), INTERVAL 1 DAY)) AS DATE) AS date, CAST({value} AS DOUBLE) AS value
+  FROM (SELECT *, lead(signal_date) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM ({sql}) WHERE signal_date BETWEEN {FIRST} AND {LAST})"""
 
 
 Q = ("income", "earnings")
@@ -100,7 +106,7 @@ _cond("c19_feature_percentile_sector", {"type": "feature_percentile", "feature":
       _percentile("roe_s", "value", "date, sector", "v >= 0.5"), ("panel", "profiles"), ROEV)
 _cond("c20_days_to_earnings", {"type": "days_to_earnings"},
       f"""SELECT symbol, date, CAST(days AS DOUBLE) AS value FROM (SELECT s.symbol, c.date, min(e.date) - c.date AS days FROM calendar c JOIN (SELECT DISTINCT symbol FROM earnings) s ON TRUE
-  JOIN earnings e ON e.symbol = s.symbol AND e.date >= c.date WHERE c.date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2) WHERE days BETWEEN 0 AND 7""", ("earnings",))
+  JOIN earnings e ON e.symbol = s.symbol AND e.date >= c.date WHERE c.date BETWEEN {FIRST} AND {LAST} GROUP BY 1, 2) WHERE days BETWEEN 0 AND 7""", ("earnings",))
 _cond("c21_analyst_upgrades", {"type": "analyst_upgrades", "min_net_upgrades": 5},
       f"""SELECT s.symbol, c.date, CAST(sum(n.net) AS DOUBLE) AS value FROM (SELECT date FROM calendar WHERE {SPAN}) c JOIN (SELECT DISTINCT symbol FROM net_grades) s ON TRUE
   JOIN net_grades n ON n.symbol = s.symbol AND n.date BETWEEN c.date - 90 AND c.date GROUP BY 1, 2 HAVING sum(n.net) >= 5""", ("grades",), FQ.VIEWS)
@@ -117,7 +123,7 @@ EXITS = {**EQ._streaks("revenue_yoy < prev_yoy"),
    UNION ALL SELECT symbol, signal_date, 'margin_collapse', streak, net_margin_yoy_bps, date, 1 FROM runs2 WHERE streak >= 2)) WHERE k = 1 AND {SPAN}""", views=EXITS)
 def c22(spark, sf):
     return C.exit_signals(data(spark, sf, "income", "earnings"),
-                          [{"type": "revenue_deceleration"}, {"type": "margin_collapse", "threshold_bps": -5.0}], START, END)
+                          [{"type": "revenue_deceleration"}, {"type": "margin_collapse", "threshold_bps": -5.0}], *whole(spark, sf))
 
 
 @query("c23_comparison_operators", " UNION ALL ".join(
@@ -134,13 +140,14 @@ DROP = {"type": "current_drop", "threshold": -60.0}
 REP = {"type": "days_to_earnings", "max_days": 30}
 DROP_SQL = f"SELECT symbol, date, dd FROM ({_drop.replace('-75', '-60')}) WHERE {SPAN}"
 REP_SQL = f"""SELECT symbol, date, CAST(days AS DOUBLE) AS value FROM (SELECT s.symbol, c.date, min(e.date) - c.date AS days FROM calendar c JOIN (SELECT DISTINCT symbol FROM earnings) s ON TRUE
-  JOIN earnings e ON e.symbol = s.symbol AND e.date >= c.date WHERE c.date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1, 2) WHERE days BETWEEN 0 AND 30"""
+  JOIN earnings e ON e.symbol = s.symbol AND e.date >= c.date WHERE c.date BETWEEN {FIRST} AND {LAST} GROUP BY 1, 2) WHERE days BETWEEN 0 AND 30"""
 UV = {"sig_a": DROP_SQL, "sig_b": REP_SQL}
 
 
 def _two(spark, sf):
     d = data(spark, sf, "earnings")
-    return [C.signal(d, c, START, END) for c in (DROP, REP)]
+    ends = whole(spark, sf)
+    return [C.signal(d, c, *ends) for c in (DROP, REP)]
 
 
 def _flat(df):
