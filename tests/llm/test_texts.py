@@ -82,6 +82,19 @@ def test_added_spans_need_check_or_context(spark):
     assert rows[1].spans == "" and rows[None].n_email == 1 and rows[None].spans == "email:0:5"
 
 
+def test_added_spans_never_overlap_base_spans():
+    r = random.Random(8)
+    pieces = ["call 988-555-2485", "+1 988-555-2485", "tel (988) 555-2485", "ssn 123-45-6789", "4111 1111 1111 1111", "a@b.c", "IBAN DE89 3704 0044 0532 0130 00", "10.0.0.1", " ", "x"]
+    for _ in range(3000):
+        text = r.choice(["", " ", "-"]).join(r.choice(pieces) for _ in range(r.randint(1, 8)))
+        found = pii.spans(text)
+        base = [(a, b) for a, _, b, _, kept in found if kept]
+        assert sorted((a, k, b) for a, k, b, _, kept in found if kept) == sorted(pii.base_spans(text))
+        assert not [1 for a, _, b, _, kept in found if not kept and any(x < b and a < y for x, y in base)], text
+        want = {m.span() for m in pii._NATIONAL.finditer(text) if pii._near(text, m.start(), "phone", 40) and not any(x < m.end() and m.start() < y for x, y in base)}
+        assert {(a, b) for a, k, b, _, kept in found if k == 3 and not kept} == want, text
+
+
 def test_page_text_on_held_out_layouts():
     chain = html_text.Chain.train(html_pages.labelled_pages())
     right = total = 0
