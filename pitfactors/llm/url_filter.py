@@ -3,9 +3,9 @@
 Each URL becomes a host and a path of segments.  Segments that look variable (numbers, hex,
 dates) become wildcards at once, so a host shrinks to its distinct templates by map-side
 aggregation.  Level by level, a branching point with many rare children generalises them too.
-Sibling branches with the same shape whose labelled rates do not differ merge.  A template is
-rejected when its smoothed share of bad labels is high; the estimate of a small template
-leans on its host, that of a small host on the labels as a whole.
+Sibling branches with the same shape whose rates do not differ merge.  A branch that has
+labels of its own is rejected when its smoothed share of bad visits is high; the estimate of a
+small template leans on its host, that of a small host on the labels as a whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class TreeRules:
     many: int = 16  # children from which a branching point may be variable
     rare: float = 0.25  # children per visit from which it is
     z: float = 2.0  # rates closer than so many standard errors merge
-    prior: float = 4.0  # labels that the parent's rate counts for
+    prior: float = 4.0  # visits that the parent's rate counts for
     reject: float = 0.5
     #: Tokens of host or path that label a URL as bad.
     seeds: tuple[str, ...] = ("ads", "adult", "bets", "casino", "porn", "spam", "viagra", "warez", "xxx")
@@ -92,25 +92,31 @@ def templates(paths: DataFrame, rules: TreeRules) -> DataFrame:
 
 
 def judge(t: DataFrame, rules: TreeRules) -> DataFrame:
-    """Template verdicts: host, template, branch (the merged template), purity, reject."""
-    leaf = t.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    """Template verdicts: host, template, branch (the merged template), purity, reject.
+
+    Rates are bad visits over all visits: a visit without a label counts as not bad.
+    """
+    leaf = t.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("visits", "labelled", "bad")])
     # siblings: same host and same shape behind the first segment; rates that do not differ from the pooled one merge
     shape = F.regexp_replace("template", r"^/[^/]*", "/*")
     leaf = leaf.withColumn("shape", shape)
-    pool = leaf.groupBy("host", "shape").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
+    # a sibling without labels has no rate of its own: it neither enters a pool that has labels nor takes its verdict
+    own = F.col("labelled") > 0
+    pool = leaf.groupBy("host", "shape").agg(F.sum("labelled").alias("pool_labelled"), F.sum(F.when(own, F.col("visits")).otherwise(0)).alias("pool_visits"), F.sum("bad").alias("pool_bad"))
     leaf = leaf.join(pool, ["host", "shape"])
-    rate = (F.col("pool_bad") + 1) / (F.col("pool_labelled") + 2)
-    off = F.abs(F.col("bad") - F.col("labelled") * rate) > rules.z * F.sqrt(F.greatest(F.col("labelled"), F.lit(1)) * rate * (1 - rate))
+    rate = (F.col("pool_bad") + 1) / (F.col("pool_visits") + 2)
+    far = F.abs(F.col("bad") - F.col("visits") * rate) > rules.z * F.sqrt(F.col("visits") * rate * (1 - rate))
+    off = (F.col("pool_labelled") > 0) & (~own | far)
     leaf = leaf.withColumn("branch", F.when(off, F.col("template")).otherwise(F.col("shape")))
-    merged = leaf.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    host = merged.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
+    merged = leaf.groupBy("host", "branch").agg(*[F.sum(c).alias(c) for c in ("visits", "labelled", "bad")])
+    host = merged.groupBy("host").agg(*[F.sum(c).alias(f"host_{c}") for c in ("visits", "labelled", "bad")])
     total = host.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_bad").alias("bad")).first()
     whole_rate = F.lit((total["bad"] or 0) / max(total["labelled"] or 0, 1))
-    host_rate = (F.col("host_bad") + rules.prior * whole_rate) / (F.col("host_labelled") + rules.prior)
-    purity = (F.col("bad") + rules.prior * host_rate) / (F.col("labelled") + rules.prior)
+    host_rate = (F.col("host_bad") + rules.prior * whole_rate) / (F.col("host_visits") + rules.prior)
+    purity = (F.col("bad") + rules.prior * host_rate) / (F.col("visits") + rules.prior)
     merged = merged.join(host, "host").withColumn("purity", purity)
-    # without a label of its own host, a template is not rejected
-    merged = merged.withColumn("reject", (F.col("purity") >= rules.reject) & (F.col("host_labelled") > 0))
+    # without a label of its own, a branch is not rejected
+    merged = merged.withColumn("reject", (F.col("purity") >= rules.reject) & (F.col("labelled") > 0))
     return leaf.select("host", "template", "branch").join(merged.select("host", "branch", "purity", "reject"), ["host", "branch"])
 
 
@@ -121,7 +127,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
       tree allows it unless empty hosts are labelled bad.
     * A rule (verdict, domain, path start) beats the tree; of several that fit the longest wins.
     * Labels of the tree: URLs that an allow rule names are good; URLs with a seed token are
-      bad.  A template without labelled URLs on its host is allowed.
+      bad.  A visit without label counts against rejection, a branch without labels is allowed.
     * Repeated rows are judged one by one and count as visits; other columns are ignored.
     """
     host, path = split_url(F.col(url_col))

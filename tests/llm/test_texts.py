@@ -126,3 +126,12 @@ def test_urls(spark):
     assert got[10] == ("notexample.net", "", None, "allow") and got[11][:2] == ("y:", "//z/p")
     slugs = spark.createDataFrame([(i, f"http://s.example.com/post/slug{chr(97 + i % 26)}{i}") for i in range(60)], "page_id long, url string")
     assert {r.template for r in url_filter.url_filter(slugs).collect()} == {"/*/<*>"}
+
+
+def test_clean_templates_survive_seed_urls_on_their_host(spark):
+    urls = [f"http://big.example.com/news/{i}" for i in range(300)] + [f"http://big.example.com/ads/{i}" for i in range(8)] + ["http://big.example.com/about", "http://big.example.com/a/b/c"]
+    urls += [f"http://tiny.example.com/{part}/{i}" for part in ("ads", "news") for i in range(4)]
+    urls += [f"http://spam.example.com/x/{i}" for i in range(5)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filter.url_filter(rows).collect()}
+    assert {u for u, v in got.items() if v == "block"} == {u for u in urls if "/ads/" in u or "spam." in u}
