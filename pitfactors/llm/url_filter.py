@@ -3,7 +3,7 @@
 Each URL becomes a host and a path of segments.  Segments that look variable (numbers, hex,
 dates) become wildcards at once, so a host shrinks to its distinct templates by map-side
 aggregation.  Level by level, a branching point with many rare children generalises them too.
-Sibling branches with the same shape whose rates do not differ merge.  A branch that has
+At every level, sibling branches whose rates do not differ merge.  A branch that has
 labels of its own is rejected when its smoothed share of bad visits is high; the estimate of a
 small template leans on its host, that of a small host on the labels as a whole.
 """
@@ -11,6 +11,7 @@ small template leans on its host, that of a small host on the labels as a whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pitfactors.llm.common import LOWER, UPPER
 class TreeRules:
     """Numbers of the tree; ``seeds`` mark hosts whose URLs count as labelled bad."""
 
-    depth: int = 6  # segments kept apart; the rest of a path is one more segment
     many: int = 16  # children from which a branching point may be variable
     rare: float = 0.25  # children per visit from which it is
     z: float = 2.0  # rates closer than so many standard errors merge
@@ -65,30 +65,64 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def _segments(path: Column, depth: int) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    tail = F.when(F.size(parts) > depth, F.array(F.lit("<rest>"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(F.slice(parts, 1, depth), _shape), tail)
+def _segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _shape)
 
 
 def templates(paths: DataFrame, rules: TreeRules) -> DataFrame:
     """Distinct (host, segments) with visits, labelled and bad, and the template each belongs to.
 
     ``paths`` has one row per distinct host and segment list.  Each level is written once:
-    it is read again by the next one, and a plan of all levels would double at each.
+    it is read again by the next one, and a plan of all levels would double at each.  A path
+    leaves the loop when too few others share its start for any later level to be variable.
     """
     t = stable(paths.withColumn("template", F.lit("")))
-    levels = t.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, levels + 1):
+    done, level = [], 0
+    while not t.isEmpty():
+        level += 1
         part = F.try_element_at("segments", F.lit(level))
-        here = t.groupBy("host", "template", part.alias("part")).agg(F.sum("visits").alias("n"))
-        node = here.where("part is not null and not startswith(part, '<')").groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("through"))
-        wide = node.where((F.col("children") >= rules.many) & (F.col("children") >= rules.rare * F.col("through"))).select("host", "template", F.lit(True).alias("wide"))
-        t = t.join(wide, ["host", "template"], "left")
+        here = t.where(part.isNotNull()).groupBy("host", "template", part.alias("part")).agg(F.sum("visits").alias("n"), F.count(F.lit(1)).alias("paths"))
+        plain = ~F.col("part").startswith("<")
+        node = here.groupBy("host", "template").agg(F.sum("paths").alias("below"), F.count_if(plain).alias("children"), F.sum(F.when(plain, F.col("n"))).alias("through"))
+        node = node.where(F.col("below") >= rules.many)
+        wide = F.coalesce((F.col("children") >= rules.many) & (F.col("children") >= rules.rare * F.col("through")), F.lit(False))
+        t = t.join(node.select("host", "template", wide.alias("wide")), ["host", "template"], "left")
         name = F.when(F.col("wide") & ~part.startswith("<"), F.lit("<*>")).otherwise(part)
-        t = t.withColumn("template", F.when(part.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("wide")
-        t = stable(t)
-    return t
+        rest = F.array_join(F.slice("segments", level, F.greatest(F.size("segments") - level + 1, F.lit(0))), "/")
+        longer = F.concat("template", F.lit("/"), F.when(F.col("wide").isNull(), rest).otherwise(name))
+        t = t.withColumn("template", F.when(part.isNull(), F.col("template")).otherwise(longer))
+        t = stable(t.withColumn("open", F.col("wide").isNotNull() & part.isNotNull()).drop("wide"))
+        done.append(t.where("not open").drop("open"))
+        t = t.where("open").drop("open")
+    return reduce(DataFrame.unionByName, done) if done else t
+
+
+def _starred(branch: Column, level: int) -> Column:
+    """The branch with ``*`` as segment ``level``; null if it has no such segment."""
+    parts = F.split(branch, "/")  # the first is empty
+    return F.when(F.size(parts) > level, F.array_join(F.transform(parts, lambda s, i: F.when(i == level, "*").otherwise(s)), "/"))
+
+
+def merge(leaf: DataFrame, rules: TreeRules) -> DataFrame:
+    """``leaf`` with ``branch``: level by level, siblings (same host, all other segments equal)
+    whose rates do not differ from their pooled one get one name.  Only templates of a host
+    with equally many segments can be siblings, so levels end where the last such pair ends."""
+    leaf = leaf.withColumn("branch", F.col("template"))
+    pairs = leaf.groupBy("host", F.size(F.split("template", "/")).alias("n")).count().where("count > 1")
+    deepest = (pairs.agg(F.max("n")).first()[0] or 0) - 1
+    for level in range(1, max(1, deepest) + 1):
+        b = leaf.groupBy("host", "branch").agg(*[F.sum(c).alias(c) for c in ("visits", "labelled", "bad")])
+        b = b.withColumn("shape", _starred(F.col("branch"), level))
+        # a sibling without labels has no rate of its own: it neither enters a pool that has labels nor takes its verdict
+        own = F.col("labelled") > 0
+        pool = b.where("shape is not null").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("siblings"), F.sum("labelled").alias("pool_labelled"), F.sum(F.when(own, F.col("visits")).otherwise(0)).alias("pool_visits"), F.sum("bad").alias("pool_bad"))
+        b = b.join(pool, ["host", "shape"])
+        rate = (F.col("pool_bad") + 1) / (F.col("pool_visits") + 2)
+        far = F.abs(F.col("bad") - F.col("visits") * rate) > rules.z * F.sqrt(F.col("visits") * rate * (1 - rate))
+        joins = ~((F.col("pool_labelled") > 0) & (~own | far)) & ((F.col("siblings") > 1) | F.lit(level == 1))
+        leaf = leaf.join(b.where(joins).select("host", "branch", "shape"), ["host", "branch"], "left")
+        leaf = stable(leaf.withColumn("branch", F.coalesce("shape", "branch")).drop("shape"))
+    return leaf
 
 
 def judge(t: DataFrame, rules: TreeRules) -> DataFrame:
@@ -97,17 +131,7 @@ def judge(t: DataFrame, rules: TreeRules) -> DataFrame:
     Rates are bad visits over all visits: a visit without a label counts as not bad.
     """
     leaf = t.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("visits", "labelled", "bad")])
-    # siblings: same host and same shape behind the first segment; rates that do not differ from the pooled one merge
-    shape = F.regexp_replace("template", r"^/[^/]*", "/*")
-    leaf = leaf.withColumn("shape", shape)
-    # a sibling without labels has no rate of its own: it neither enters a pool that has labels nor takes its verdict
-    own = F.col("labelled") > 0
-    pool = leaf.groupBy("host", "shape").agg(F.sum("labelled").alias("pool_labelled"), F.sum(F.when(own, F.col("visits")).otherwise(0)).alias("pool_visits"), F.sum("bad").alias("pool_bad"))
-    leaf = leaf.join(pool, ["host", "shape"])
-    rate = (F.col("pool_bad") + 1) / (F.col("pool_visits") + 2)
-    far = F.abs(F.col("bad") - F.col("visits") * rate) > rules.z * F.sqrt(F.col("visits") * rate * (1 - rate))
-    off = (F.col("pool_labelled") > 0) & (~own | far)
-    leaf = leaf.withColumn("branch", F.when(off, F.col("template")).otherwise(F.col("shape")))
+    leaf = merge(leaf, rules)
     merged = leaf.groupBy("host", "branch").agg(*[F.sum(c).alias(c) for c in ("visits", "labelled", "bad")])
     host = merged.groupBy("host").agg(*[F.sum(c).alias(f"host_{c}") for c in ("visits", "labelled", "bad")])
     total = host.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_bad").alias("bad")).first()
@@ -132,7 +156,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     """
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segments", _segments(F.col("path"), tree.depth))
+    rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segments", _segments(F.col("path")))
     words = F.split(F.concat("host", F.lit("/"), F.translate("path", UPPER, LOWER)), r"[^a-z0-9]+")
     bad = F.arrays_overlap(words, F.array(*[F.lit(s) for s in tree.seeds])) if tree.seeds else F.lit(False)
     good = F.coalesce(F.col("hit.verdict") == "allow", F.lit(False))

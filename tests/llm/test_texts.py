@@ -135,3 +135,15 @@ def test_clean_templates_survive_seed_urls_on_their_host(spark):
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.url: r.verdict for r in url_filter.url_filter(rows).collect()}
     assert {u for u, v in got.items() if v == "block"} == {u for u in urls if "/ads/" in u or "spam." in u}
+
+
+def test_deep_paths_and_deep_siblings(spark):
+    deep = [f"http://d.example.com/a/b/c/d/e/f/{part}/{i}" for part in ("casino", "news") for i in range(12)]
+    slugs = [f"http://d.example.com/1/2/3/4/5/6/7/s{chr(97 + i % 26)}{i}x" for i in range(40)]
+    shop = [f"http://s.example.com/shop/{part}/{i}" for part in ("p", "q") for i in range(9)]
+    shop += [f"http://t.example.com/shop/{part}/{i}" for part in ("casino", "porn", "news") for i in range(9)]
+    urls = deep + slugs + shop + [f"http://l.example.com{'/x' * 300}/{i}" for i in range(3)]
+    got = {r.url: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert {u for u in urls if got[u].verdict == "block"} == {u for u in urls if "casino" in u or "porn" in u}
+    assert {got[u].template.count("/") for u in deep} == {8} and len({got[u].template for u in slugs}) == 1
+    assert {(got[u].host[0], got[u].template) for u in shop} == {("s", "/*/*/<n>"), ("t", "/*/*/<n>"), ("t", "/*/news/<n>")}
