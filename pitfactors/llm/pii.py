@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -31,10 +31,14 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta", "bic", "swift"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
 }
-#: Length of an IBAN by country.
+#: Length of an IBAN by country (public registry of the format).
 IBAN_LENGTH = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28,
-    "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 # Possessive repeats keep every scan linear; they match what the plain patterns match, since
@@ -44,7 +48,8 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_TAIL = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])") for n in set(IBAN_LENGTH.values())}
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -76,6 +81,17 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Valid IBANs: a head, then exactly as many characters as its country has, up to a boundary."""
+    done = 0
+    for head in _IBAN_HEAD.finditer(text):
+        size = IBAN_LENGTH.get(head.group()[:2])
+        tail = _IBAN_TAIL[size].match(text, head.end()) if size and head.start() >= done else None
+        if tail and mod97(text[head.start() : tail.end()]):
+            done = tail.end()
+            yield head.start(), done
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: the longest run of local characters before an @ that a domain follows."""
     done, at = 0, text.find("@")
@@ -136,18 +152,17 @@ def spans(text: str, rules: Rules = Rules()) -> list[tuple[int, int, int, float,
         before = bisect_left(starts, b)  # spans that start before b
         return not before or reach[before - 1] <= a
 
-    def propose(pattern: re.Pattern, kind: int, start_score: float, check=lambda m: True) -> None:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if not check(m.group()) or not free(a, b):
+    def propose(found: Iterable[tuple[int, int]], kind: int, start_score: float) -> None:
+        for a, b in found:
+            if not free(a, b):
                 continue
             score = start_score + (rules.context if _near(text, a, KINDS[kind], rules.window) else 0.0)
             if score >= rules.threshold:
                 out.append((a, kind, b, score, False))
 
-    propose(_IBAN, 4, rules.iban, mod97)
-    propose(_SSN, 5, rules.ssn)
-    propose(_NATIONAL, 3, rules.phone)
+    propose(_ibans(text), 4, rules.iban)
+    propose((m.span() for m in _SSN.finditer(text)), 5, rules.ssn)
+    propose((m.span() for m in _NATIONAL.finditer(text)), 3, rules.phone)
     return sorted(out)
 
 

@@ -147,3 +147,21 @@ def test_deep_paths_and_deep_siblings(spark):
     assert {u for u in urls if got[u].verdict == "block"} == {u for u in urls if "casino" in u or "porn" in u}
     assert {got[u].template.count("/") for u in deep} == {8} and len({got[u].template for u in slugs}) == 1
     assert {(got[u].host[0], got[u].template) for u in shop} == {("s", "/*/*/<n>"), ("t", "/*/*/<n>"), ("t", "/*/news/<n>")}
+
+
+def test_ibans_followed_by_words_and_of_all_countries():
+    def iban(country, tail):
+        number = int("".join(str(int(c, 36)) for c in tail + country + "00"))
+        return f"{country}{98 - number % 97:02d}{tail}"
+
+    for code, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89370400440532013000", " Bank"), ("GB82 WEST 1234 5698 7654 32", " Thanks"), ("DE89 3704 0044 0532 0130 00", " 7 days"), ("DE89370400440532013000", " DE89370400440532013000")):
+        found = [(a, b) for a, k, b, _, _ in pii.spans("pay " + code + after) if k == 4]
+        assert found[0] == (4, 4 + len(code)) and len(found) == 1 + after.count("DE89"), code + after
+    assert [s for s in pii.spans("DE89370400440532013000X") if s[1] == 4] == [] == [s for s in pii.spans("DE893704004405320130001") if s[1] == 4]
+    r = random.Random(6)
+    for country, size in pii.IBAN_LENGTH.items():
+        code = iban(country, "".join(r.choice("ABCXYZ") for _ in range(size - 4)))
+        spaced = " ".join(code[i : i + 4] for i in range(0, size, 4))
+        for text in (code, spaced):
+            assert (3, 4, 3 + len(text)) in [s[:3] for s in pii.spans(f"to {text} B1 and")], text
+    assert {"HR", "SK", "SI", "BG", "EE", "TR", "AE"} <= set(pii.IBAN_LENGTH)
