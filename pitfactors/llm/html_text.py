@@ -21,9 +21,13 @@ from pitfactors.llm.common import whole
 from pitfactors.llm.html_pages import labelled_pages
 
 #: Fixed values of HTML: elements inside a line of text, elements without content, elements whose content is no page text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mfenced mmultiscripts mprescripts merror semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head iframe object select textarea canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe object select textarea canvas audio video".split())
+RAW = frozenset("script style iframe textarea title".split())  # up to the first end tag, whatever stands before it
+IN_HEAD = frozenset("head title meta link base basefont bgsound script style noscript template".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 STRUCTURE = frozenset("article main section nav header footer aside form ul ol dl table figure blockquote dialog".split())
 #: Class and id words by what they tell about a part of a page.
@@ -55,14 +59,67 @@ class Block:
     linked: float  # share of the text inside links
 
 
+class _Closers:
+    """Ends of the elements of a page that are skipped; each name is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self._pairs, self._raw = page, {}, {}
+
+    def end(self, name: str, start: int, at: int) -> int | None:
+        """Where the element whose start tag spans ``start`` to ``at`` ends; None if its end tag is missing."""
+        if name in RAW:
+            if self._raw.get(name, at) is None:
+                return None
+            closer = _CLOSERS.setdefault(name, re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I))
+            found = closer.search(self.page, at)
+            self._raw[name] = found.end() if found else None
+            return self._raw[name]
+        if name not in self._pairs:
+            tag = _CLOSERS.setdefault(name, re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?![\w:-])([^>]*)(?:>|\Z)", re.I | re.S))
+            pairs, opened = {}, []
+            for m in tag.finditer(self.page):
+                if m.group(1):
+                    if opened:
+                        pairs[opened.pop()] = m.end()
+                elif m.group(2) is not None and not m.group(2).endswith("/"):
+                    opened.append(m.start())
+            self._pairs[name] = pairs
+        return self._pairs[name].get(start)
+
+    def head_end(self, at: int) -> int:
+        """Where a head that begins before ``at`` ends: behind its end tag, or else where the first thing stands that no head holds."""
+        text = None
+        while m := _TAG.search(self.page, at):
+            if text is None and self.page[at : m.start()].strip():
+                text = at
+            at, name = m.end(), (m.group(2) or "").lower()
+            if m.group(1):
+                if name == "head":
+                    return at
+                if name in ("body", "html"):
+                    break
+            elif name and (name not in IN_HEAD or name == "head"):
+                return m.start() if text is None else text
+            elif name in RAW or name in SILENT:
+                at = self.end(name, m.start(), at) or at
+        if text is None and self.page[at:].strip() and not m:
+            text = at
+        return at if text is None else text
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: runs of text between block-level tags, references decoded, white space single."""
+    """Leaf blocks in page order: runs of text between block-level tags, references decoded, white space single.
+
+    A skipped element whose end tag is missing does not take the page with it: reading goes on
+    behind its start tag, behind the code of a script or style at the next tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str], frozenset[str]]] = [("body", frozenset(), frozenset())]
     buffer: list[str] = []
     link_at = -1  # depth of the open link
     linked = 0
     at = 0
+    closers = _Closers(page)
 
     def flush() -> None:
         nonlocal linked
@@ -105,14 +162,19 @@ def blocks(page: str) -> list[Block]:
             if depth and (name not in INLINE or all(s[0] in INLINE for s in stack[depth:])):
                 close(depth)
             continue
+        if name == "head":
+            flush()
+            at = closers.head_end(at)
+            continue
         if name in SILENT:
-            flush_needed = name not in ("svg", "math")
-            if flush_needed:
+            if name != "svg":
                 flush()
             if not m.group(3).endswith("/>"):
-                closer = _CLOSERS.setdefault(name, re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I))
-                end = closer.search(page, at)
-                at = end.end() if end else len(page)
+                end = closers.end(name, m.start(), at)
+                if end is None and name in ("script", "style"):  # code up to the next tag
+                    following = _TAG.search(page, at)
+                    end = following.start() if following else len(page)
+                at = end or at
             continue
         if name in INLINE:
             if name in ("br", "img", "wbr"):

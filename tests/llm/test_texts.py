@@ -165,3 +165,17 @@ def test_ibans_followed_by_words_and_of_all_countries():
         for text in (code, spaced):
             assert (3, 4, 3 + len(text)) in [s[:3] for s in pii.spans(f"to {text} B1 and")], text
     assert {"HR", "SK", "SI", "BG", "EE", "TR", "AE"} <= set(pii.IBAN_LENGTH)
+
+
+def test_pages_with_missing_end_tags():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    body = "<article><p>One.</p><p>Two.</p></article>"
+    assert texts(f"<html><head><title>T</title><meta x><style>a</style><body>{body}") == ["One.", "Two."]
+    assert texts(f"<head><title>T</title><script>'<p>'</script>{body}") == ["One.", "Two."]
+    assert texts(f"<head><title>T</title>junk</head>{body}") == ["One.", "Two."] and texts("<head><title>T</title> Text") == ["Text"]
+    for name in ("noscript", "select", "object", "svg", "iframe", "template", "canvas", "audio", "video", "script", "style", "textarea"):
+        assert texts(f"<p>Zero.</p><{name} x=1>{body}") == ["Zero.", "One.", "Two."], name
+        assert texts(f"<p>Zero.</p><{name}>no</{name}>{body}") == ["Zero.", "One.", "Two."], name
+    assert texts(f"<svg>{body}<svg><text>no</text></svg>") == ["One.", "Two."] and texts("<object><object>no</object>no</object>yes") == ["yes"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then.") == ["If x=1 then."]
+    assert texts("<p>a</p>" + "<svg>" * 20_000 + "<p>b") == ["a", "b"] and texts("<script>var t = 1") == []
