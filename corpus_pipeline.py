@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of sequences of 1,024 ids."""
     ship(spark)
-    return packing.pack(docs, queries.vocabulary())
+    return packing.pack(docs, queries.vocabulary(), added=True)
 
 
 STAGES = [

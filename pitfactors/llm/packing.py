@@ -9,6 +9,7 @@ document that crosses a boundary has several.  No row moves between partitions.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +34,11 @@ class Tokeniser:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, with a cache of space-led words.
 
     A blank followed by a character that is not white space always starts a new token group,
-    so a text may be cut before such blanks.  Strings of special tokens are ordinary text.
+    so a text may be cut before such blanks.  Strings of ``added`` tokens become their own ids
+    wherever they stand, of several that start at one place the longest.
     """
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], added: dict[str, int] | None = None):
         import tiktoken
 
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,18 +47,28 @@ class Tokeniser:
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word)}
         self._plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._known: dict[str, bytes] = {}
+        self._added = {word: np.array([i], "<u4").tobytes() for word, i in (added or {}).items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
 
     @classmethod
-    def load(cls, path: str) -> Tokeniser:
+    def load(cls, path: str, added: bool = False) -> Tokeniser:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        return cls({w: i for w, i in spec["model"]["vocab"].items() if w not in special})
+        extra = spec.get("added_tokens", [])
+        if added and any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in extra):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        special = {t["content"]: t["id"] for t in extra}
+        return cls({w: i for w, i in spec["model"]["vocab"].items() if w not in special}, special if added else None)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._plain.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._split and self._split.search(text):
+            return b"".join(self._added.get(part) or self._ordinary(part) for part in self._split.split(text) if part)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self._known
         out = []
@@ -73,9 +85,9 @@ class Tokeniser:
         return self._whole(first) + b"".join(out) if first else b"".join(out) if rest else b""
 
 
-def _tokens(path: str, end_id: int):
+def _tokens(path: str, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokeniser, part, at = Tokeniser.load(path), TaskContext.get().partitionId(), 0
+        tokeniser, part, at = Tokeniser.load(path, added), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids: list[bytes] = []
@@ -121,7 +133,7 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Pieces of the packed stream: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids, padded.
 
     ``ids`` are the token ids of the piece (little-endian unsigned 32-bit), ``padded`` the
@@ -131,12 +143,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, i
     * A null or empty text is one piece that holds ``end_id`` alone.
     * Repeated rows, and rows without id, are documents of their own; other columns are ignored.
     * An empty table gives no pieces.
+    * With ``added``, the strings of the vocabulary's added tokens become their ids, as the
+      ``tokenizers`` package does by default; without, they are ordinary text.
     * The order of documents is the order of the input's partitions.
 
     ``tokenizer`` is the path of a byte-level vocabulary; workers need it at the same place.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    ids = stable(rows.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, part int, start long, doc_tokens long, ids binary"))
+    ids = stable(rows.mapInArrow(_tokens(tokenizer, end_id, added), "doc_id long, part int, start long, doc_tokens long, ids binary"))
     totals = ids.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -142,7 +142,7 @@ def op8(spark, sf_dir):
 @query("op9_pack")
 def op9(spark, sf_dir):
     """Pieces of all documents in sequences of 1,024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), added=True).drop("ids")
 
 
 @query("op10_page_text")

@@ -110,3 +110,16 @@ def test_pipeline(spark, sf):
         docs = spark.createDataFrame(out.collect(), out.schema)
         seen.append(docs.count())
     assert len(seen) == 5 and seen[0] >= seen[1] >= seen[2] > 0 and seen[4] >= seen[3]
+
+
+def test_pack_gives_added_tokens_their_ids_like_the_package(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary())
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a  <|endoftext|> b <|endoftext|><|endoftext|>", "<|endoftext", "no token here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert 50256 in want[0]
+    for rows in (packing.pack(docs, queries.vocabulary(), added=True).collect(), queries.QUERIES["op9_pack"](spark, str(tmp_path)).collect()):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
