@@ -50,7 +50,7 @@ class LexiconAutomaton:
     """All words within the allowed number of errors of a term, as a lazily built deterministic automaton.
 
     A state is the set of (trie node, errors) that a prefix can reach; the next state for a
-    character is computed once and remembered.  The first character must match.
+    character is computed once and remembered.
     """
 
     LIMIT = 100_000  # remembered states; beyond it the automaton starts afresh
@@ -88,7 +88,7 @@ class LexiconAutomaton:
             node = todo.pop()
             for child in self._children[node].values():
                 e = items[node] + 1
-                if node and e <= self._room[child] and e < items.get(child, 9):
+                if e <= self._room[child] and e < items.get(child, 9):
                     items[child] = e
                     todo.append(child)
         key = tuple(sorted(items.items()))
@@ -111,9 +111,8 @@ class LexiconAutomaton:
 
         for node, e in self._states[state]:
             for char, child in self._children[node].items():
-                put(child, e if char == c else e + 1 if node else 9)
-            if node:
-                put(node, e + 1)
+                put(child, e if char == c else e + 1)
+            put(node, e + 1)
         found = self._steps[state][c] = self._state(items)
         return found
 

@@ -179,3 +179,21 @@ def test_pages_with_missing_end_tags():
     assert texts(f"<svg>{body}<svg><text>no</text></svg>") == ["One.", "Two."] and texts("<object><object>no</object>no</object>yes") == ["yes"]
     assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then.") == ["If x=1 then."]
     assert texts("<p>a</p>" + "<svg>" * 20_000 + "<p>b") == ["a", "b"] and texts("<script>var t = 1") == []
+
+
+def test_automaton_equals_the_plain_distance_from_the_first_character():
+    terms = ["idiot", "worthless", "scum", "pathetic", "path"]
+    auto = toxicity.LexiconAutomaton(terms, 5, 9)
+    room = {t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2 for t in terms}
+    r = random.Random(2)
+    words = ["xdiot", "diot", "xidiot", "didiot", "thless", "orthless", "xxorthless", "xworthles", "cum", "xpath", "", "i"]
+    for t in terms * 300:
+        w = list(t)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = r.choice(["", "x", "i", "t"])
+        words.append("".join(w))
+    for w in words:
+        near = [(edits(w, t), t) for t in terms if edits(w, t) <= room[t]]
+        hit = auto.match(w)
+        assert (hit and (hit[0], auto.terms[hit[1]])) == (min(near) if near else None), w
