@@ -66,6 +66,22 @@ def test_xirr():
     assert got[0] == pytest.approx(0.10) and got[1] == pytest.approx(-0.8) and np.isnan(got[2])
 
 
+def test_xirr_of_accounts_of_a_few_days():
+    cases = [(3, 1040.0), (10, 1140.0), (1, 1500.0), (1, 5000.0), (300, 1100.0)]
+    days = np.array([float(d) for n, _ in cases for d in (0, n)])
+    amounts = np.array([x for _, end in cases for x in (-1000.0, end)])
+    got = funds.xirr(days, amounts, np.repeat(np.arange(len(cases)), 2))
+    assert got == pytest.approx([(end / 1000) ** (365 / n) - 1 for n, end in cases], rel=1e-6, abs=1e-6)
+    # below -99.99 % a year there is none, as in the reference
+    assert np.isnan(funds.xirr(np.array([0.0, 3.0]), np.array([-1000.0, 900.0]), np.array([0, 0]))[0])
+
+
+def test_xirr_of_two_close_rates():
+    a, b = np.exp(0.05), np.exp(0.09)
+    got = funds.xirr(np.array([0.0, 365.0, 730.0]), 1000 * np.array([1, -a - b, a * b]), np.array([0, 0, 0]))
+    assert got[0] == pytest.approx(b - 1, abs=1e-6)
+
+
 def test_alerts_stay_unique_however_late_they_repeat(spark, tmp_path):
     feed, out, check = (str(tmp_path / n) for n in ("feed", "out", "check"))
     for ids in (["a", "b", "a"], ["c"], ["a", "d"]):
