@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitfactors.functions.scale import stable
+
 #: A word, and the white space between words (fixed by the contract of the queries).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -27,3 +29,27 @@ def unit(*parts: Column, seed: int = 0) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def short_hash(text: Column) -> Column:
+    """First 16 bytes of the SHA-256 of a string or binary column."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: int = 1024) -> DataFrame:
+    """Left join of ``rows`` to ``facts`` (one row per key) that splits hot keys.
+
+    A key is hot when it holds more than one in ``hot`` of all rows, so there are fewer than
+    ``hot`` such keys at any size: their facts are broadcast and their rows stay where they
+    are.  All other rows are shuffled by key.  ``rows`` is read three times, so it should be
+    a stored table; a null key finds nothing.
+    """
+    total = rows.count()
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    keys = counts.where(F.col("count") * hot > total).select(key)
+    heavy = F.broadcast(stable(keys.join(facts, key, "left").withColumn("_hot", F.lit(True))))
+    marked = rows.join(heavy, key, "left")
+    found = [c for c in facts.columns if c != key]
+    split = marked.where("_hot").select(*rows.columns, *found)
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(facts, key, "left")
+    return split.unionByName(rest.select(*rows.columns, *found))
