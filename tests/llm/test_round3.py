@@ -185,3 +185,27 @@ def test_ownership(spark):
     assert secret_scan.digest(*secret_scan.find(df.where("false"))).count() == 0
     alone = secret_scan.find(df.withColumn("repo", F.lit(None).cast("string")), repo_col="repo")[1]
     assert alone.where("live AND kind = 4").first().repos == 2
+
+
+def test_search_with_extreme_components(spark):
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    rows += [(300 + i, [r.gauss(0, 1) * size for _ in range(6)]) for i, size in enumerate([1e200, 1e-200, 1e300, 5e-324, 1e-310, 1e18, 1e-18] * 6)]
+    rows += [(20, rows[20][1]), (21, rows[21][1]), (400, [1e200] * 6), (420, [1e-200] * 6), (440, [-1e300] * 6), (460, None), (480, [0.0] * 6), (500, [1.0] * 5)]
+    from pitfactors.llm import ann
+
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], "vec_id long, embedding array<double>, rank int, score string")
+    live = [(i, v) for i, v in rows if v is not None and len(v) == 6 and any(v)]
+    for s in (ann.Search(), ann.Search(block=32, query_block=8)):
+        got = ann.search(df, F.col("vec_id") % 20 == 0, s).collect()
+        for q, v in {i: v for i, v in live if i % 20 == 0}.items():
+            want = []
+            for i, w in live:
+                total = 0.0
+                for x, y in zip(v, w):
+                    total += x * y
+                if i != q:
+                    want.append((total == total, -total if total == total else 0, i))
+            want = [(i, repr(-x) if ok else "nan") for ok, x, i in sorted(want)[:20]]
+            mine = [(g.vec_id, repr(g.score + 0.0)) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])]
+            assert [a for a, _ in mine] == [a for a, _ in want] and [float(b) for _, b in mine if b != "nan"] == [float(b) for _, b in want if b != "nan"]
