@@ -110,7 +110,8 @@ class Block:
             low, high = rough - slack, rough + slack
         if len(to) <= self.s.neighbours:
             return to
-        low[~np.isfinite(low)] = -np.inf
+        lost = ~np.isfinite(rough) | ~np.isfinite(slack)
+        low[lost], high[lost] = -np.inf, np.inf
         return to[~(high < np.partition(low, -self.s.neighbours)[-self.s.neighbours])]
 
 
