@@ -98,12 +98,26 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 24) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Number the repeats of each row (``nth``, from 1), so that a row's place depends on its content alone.
+
+    Repeats are equal, so it is of no account which gets which number; they are counted by the
+    partition that read them, and a row that fills the table is spread over all of these.
+    """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    here = F.row_number().over(Window.partitionBy("same", "part").orderBy("row"))
+    earlier = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("same", "part").agg(F.count(F.lit(1)).alias("n")).select("same", "part", F.sum("n").over(earlier).alias("before")).where("before > 0")
+    rows = rows.withColumn("nth", here).join(before, ["same", "part"], "left")
+    return rows.withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0))).drop("part", "before")
+
+
 def blocks(rows: DataFrame, plan: MixPlan) -> DataFrame:
     """Parts of documents by (sid, block): row, doc_id, first word in the document, place in the block, words."""
     b = plan.block_words
-    rows = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(plan.seed), "doc_id", "row"), F.lit(plan.buckets)))
+    rows = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(plan.seed), "same", "nth"), F.lit(plan.buckets)))
     totals = _prefix(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "sid", "bucket", "n", "base")
-    within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "same", "nth").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals.select("sid", "bucket", "base"), ["sid", "bucket"])
     rows = rows.select("sid", "row", "doc_id", "size", (F.col("inside") + F.col("base")).alias("start"))
     rows = rows.withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
@@ -145,6 +159,8 @@ def deal(sources: DataFrame, spark, n_slots: int, plan: MixPlan) -> DataFrame:
 def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``docs``: (rows, sources, slices).
 
+    The mix depends on the rows alone, not on their order, files or partitions.
+
     ``rows`` has each input row with its size and a row number, ``sources`` the targets,
     ``slices`` what the mix takes: shard, slot, sid, pass, block, row, doc_id, first (word in
     the document), words.  Size is the number of words; a null text has none and is never
@@ -152,11 +168,17 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", sour
     Columns named in ``keep`` stay in ``rows``; all others are ignored.  An empty table, or
     one without words, gives an empty mix and targets of 0.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(whole(text_col)).alias("size"), F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    named = dict.fromkeys((id_col, source_col, text_col, *keep))
+    read = [docs[f"`{c}`"] for c in named if "map<" not in docs.schema[c].dataType.simpleString()]  # Spark does not hash maps
+    same = F.xxhash64(*read, F.array(*[c.isNull() for c in read]))
+    rows = docs.select(
+        docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{source_col}`"].alias("source"), word_count(whole(docs[f"`{text_col}`"])).alias("size"),
+        F.monotonically_increasing_id().alias("row"), same.alias("same"), *[docs[f"`{c}`"].alias(f"kept_{c}") for c in keep],
+    )
     rows = stable(rows)
     sources = stable(source_targets(rows, plan))
     n_slots = sources.agg(F.max("hi")).first()[0] or 0
-    known = rows.select("doc_id", "source", "size", "row").join(sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    known = numbered(rows.select("doc_id", "source", "size", "row", "same")).join(sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     slots = deal(sources, docs.sparkSession, n_slots, plan)
     slices = slots.join(blocks(known, plan), ["sid", "block"])
     slices = slices.withColumn("words", F.least("words", F.col("take") - F.col("place"))).where("words > 0")
@@ -182,5 +204,5 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
     text = F.when(F.col("n") == F.col("size"), F.col("kept_text")).otherwise(cut)
     out = out.withColumn("words", F.when(F.col("n") < F.col("size"), words)).withColumn("text", text)
-    fields = {c: F.col(f"kept_{c}") for c in others} | {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    fields = {c: F.col(f"`kept_{c}`") for c in others} | {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[fields[c].alias(c) for c in docs.columns])

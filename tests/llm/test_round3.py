@@ -209,3 +209,26 @@ def test_search_with_extreme_components(spark):
             want = [(i, repr(-x) if ok else "nan") for ok, x, i in sorted(want)[:20]]
             mine = [(g.vec_id, repr(g.score + 0.0)) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])]
             assert [a for a, _ in mine] == [a for a, _ in want] and [float(b) for _, b in mine if b != "nan"] == [float(b) for _, b in want if b != "nan"]
+
+
+def test_mix_does_not_depend_on_the_layout(spark, sf, tmp_path):
+    from pitfactors.llm import mixing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.where("doc_id = 3").crossJoin(spark.range(60)).drop("id"))
+    docs = docs.withColumn("taken", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("size", F.lit(None).cast("string"))
+
+    def mixed(df):
+        return sorted(tuple(r) for r in mixing.mix_report(df).collect())
+
+    want = mixed(docs)
+    assert mixed(docs.repartition(7)) == want and mixed(docs.repartition(3, "lang")) == want
+    path = str(tmp_path / "split")
+    docs.repartition(2).write.parquet(path)
+    for size in ("20000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert mixed(spark.read.parquet(path)) == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    words = lambda df: sorted((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
+    assert words(docs) == words(docs.repartition(5))
+    assert mixing.mixed_documents(docs).columns == docs.columns
