@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitfactors.functions.scale import stable
-from pitfactors.llm.common import SPACES, whole
+from pitfactors.llm.common import SPACES, lookup, whole
 
 _LAST_ID = (1 << 63) - 1
 
@@ -76,19 +76,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = with_body(texts).select("doc_id", "n_chars", "ticket", "digest", F.sha2("body", 256).alias("text_sha256"), F.xxhash64("full").alias("mark"))
     rows = stable(rows)
-    several = rows.groupBy("digest").count().where("count > 1").select("digest")
-    tickets = rows.join(several, "digest", "left_semi").select("ticket").distinct()
+    several = rows.groupBy("digest").count().where("count > 1")
+    tickets = lookup(rows.select("digest", "ticket"), several, "digest").where("count > 1").select("ticket").distinct()
     rivals = with_body(texts.join(tickets, "ticket", "left_semi"))
     groups = stable(_winners(rivals, salts).select("digest", "best", "group_size"))
     shared = groups.groupBy("digest").count().where("count > 1").select("digest")
 
     if shared.isEmpty():
-        out = rows.join(groups, "digest", "left")
+        out = lookup(rows, groups, "digest")
     else:  # different contents under one digest: those rows are joined by content
         twins = rivals.join(shared, "digest", "left_semi")
         named = twins.withColumn("text_sha256", F.sha2("body", 256)).withColumn("mark", F.xxhash64("full"))
         named = named.join(_winners(twins, salts), ["digest", "body"]).drop("body", "full")
-        out = rows.join(shared, "digest", "left_anti").join(groups, "digest", "left").unionByName(named)
+        out = lookup(rows.join(shared, "digest", "left_anti"), groups, "digest").unionByName(named)
 
     own = _better("n_chars", "doc_id")
     out = out.withColumn("best", F.coalesce("best", own)).withColumn("wins", own == F.col("best"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitfactors.functions.scale import stable
-from pitfactors.llm.common import whole
+from pitfactors.llm.common import lookup, whole
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -400,9 +400,9 @@ def near_groups(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_
     nodes = stable(sets.withColumn("node", F.monotonically_increasing_id()))
     marks = nodes.select("node", "sig", "n_shingles")
     sketch = spark.sparkContext.broadcast(_sketch(nodes, p))
-    posted = nodes.select("node", "sig").mapInArrow(_post(sketch, p), "key long, node long")
+    posted = stable(nodes.select("node", "sig").mapInArrow(_post(sketch, p), "key long, node long"))
     sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = stable(posted.join(sizes, "key"))
+    lists = stable(lookup(posted, sizes, "key").where("n is not null"))
 
     short = lists.where(F.col("n") <= p.small).select("key", "node")
     met = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "key").where("a < b")  # at most small - 1 partners a posting
@@ -425,12 +425,12 @@ def near_groups(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_
         return every, stable(named)
 
     for turn in range(2):
-        here = long.join(label, "node")
+        here = stable(long.join(label, "node"))
         # the centre of a list: the member with the most frequent signature (copies share more with
         # their original than with each other), then any; its component comes along
         order = F.struct(F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node"), F.col("node").alias("a"), F.col("root").alias("ra"))
         centre = here.groupBy("key").agg(F.max(order).alias("best"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key", "best.a", "best.ra")
-        pairs = here.join(centre, "key").where(F.col("root") != F.col("ra")).select("a", F.col("node").alias("b")).distinct()
+        pairs = lookup(here, stable(centre), "key").where(F.col("root") != F.col("ra")).select("a", F.col("node").alias("b")).distinct()
         pairs = _collisions(pairs, marks, p)
         if turn == 0:
             pairs = pairs.unionByName(counted)
@@ -470,6 +470,6 @@ def near_groups(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_
 
 def without_near_copies(docs: DataFrame, p: Near = Near()) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their near-duplicate group."""
-    kept = near_groups(docs, p).where("kept").select(F.col("ticket").alias("_ticket")).distinct()
-    ticket = F.xxhash64(F.col("doc_id").cast("long"), whole("text"))
-    return docs.join(kept, ticket == F.col("_ticket"), "left_semi")
+    kept = near_groups(docs, p).where("kept").select("ticket").distinct()
+    ticket = F.xxhash64(docs["doc_id"].cast("long"), whole(docs["text"]))
+    return docs.join(kept, ticket == kept["ticket"], "left_semi")

@@ -376,8 +376,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not call toxic."""
-    fields = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*fields, whole(text_col).alias("_text"))
+    fields = [docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*fields, whole(docs[f"`{text_col}`"]).alias("_text"))
     schema = ", ".join(f"_c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) + ", _score double"
     out = rows.mapInArrow(_scores(model), schema).where("_score < 0.5")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

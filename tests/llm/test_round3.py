@@ -232,3 +232,20 @@ def test_mix_does_not_depend_on_the_layout(spark, sf, tmp_path):
     words = lambda df: sorted((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
     assert words(docs) == words(docs.repartition(5))
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_pipeline_with_clashing_columns(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None)] * 2, docs.schema))
+    for name in ("_id", "_mark", "_ticket", "ticket", "mark", "a.b", "digest", "kept", "row", "size", "_text"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for rows in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            if name == "packing":
+                assert (out.count() > 0) == (rows.count() > 0)
+            else:
+                assert out.columns == docs.columns
+                rows = spark.createDataFrame(out.collect(), out.schema)
