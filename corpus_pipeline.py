@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again for the next one.
+
+All stages but the last return the columns of ``docs``, whatever their names; only doc_id,
+text and source are read.  A null text counts as empty: it is scored like an empty one, is
+equal to other empty texts, has no near copies and no words to be mixed.  Ties and repeated
+rows are settled by the operators (see their docstrings); an empty table passes all stages
+and packs into no pieces.  Texts are read whole at any length.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document that stays of each group of equal texts."""
     ship(spark)
     judged = exact_dedup.exact_dedup(docs)
-    kept = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_mark"))
+    kept = judged.where("kept").select("doc_id", "mark")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (F.xxhash64(whole(docs["text"])) == kept["mark"])
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
