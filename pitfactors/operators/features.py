@@ -8,9 +8,11 @@ reuse the same partitioning.  A symbol's timeline is bounded by the calendar.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,10 +120,14 @@ def panel(
 ) -> DataFrame:
     """``(symbol, date, <features>)`` for every bar that has visible fundamentals.
 
-    Only the facts the chosen features read are joined.
+    Only the facts the chosen features read are joined.  Grouped features run on the bars of
+    one symbol at a time, behind the windows and on the same shuffle.
     """
     chosen = [REGISTRY[f] for f in (features or materialised())]
-    needs = {n for f in chosen for n in f.needs}
+    grouped = _functions(chosen)
+    inputs = [i for g in grouped for i in g.inputs if i in REGISTRY]
+    columns = {f.name: f for f in [*chosen, *(REGISTRY[i] for i in inputs)] if f.grouped is None}
+    needs = {n for f in columns.values() for n in f.needs}
     if fundamentals_only:
         needs.add("income")
     parts = [_bar_rows(bars)]
@@ -157,10 +163,45 @@ def panel(
     on_bars = line.filter(F.col("side") == 1).select(
         "symbol", "date", "bar.*", *carried
     )
-    out = on_bars.withColumns({f"f_{f.name}": f.expr() for f in chosen})
-    if fundamentals_only:
-        out = out.filter((F.col("income.shares") > 0) & (F.col("close") > 0))
-    return out.select("symbol", "date", *[F.col(f"f_{f.name}").cast("double").alias(f.name) for f in chosen])
+    out = on_bars.withColumns({f"f_{f.name}": f.expr() for f in columns.values()})
+    shown = (F.col("income.shares") > 0) & (F.col("close") > 0) if fundamentals_only else F.lit(True)
+    if grouped:
+        out = _run_grouped(out.withColumn("_shown", shown), grouped, list(columns))
+        shown = F.col("_shown")
+    return out.filter(shown).select("symbol", "date", *[F.col(f"f_{f.name}").cast("double").alias(f.name) for f in chosen])
+
+
+def _functions(chosen: Sequence[Feature]) -> list[Grouped]:
+    """Functions behind the chosen features and behind their inputs, in order of registration, which respects inputs."""
+    found, todo = set(), [f.grouped for f in chosen if f.grouped is not None]
+    while todo:
+        g = todo.pop()
+        found.add(g.name)
+        todo += [REGISTRY[i].grouped for i in g.inputs if i in REGISTRY and REGISTRY[i].grouped is not None]
+    return [g for g in GROUPED.values() if g.name in found]
+
+
+def _run_grouped(bars: DataFrame, functions: Sequence[Grouped], columns: Sequence[str]) -> DataFrame:
+    """Add the outputs of grouped functions; only what they read and what the panel returns goes through Python."""
+    fields = [f for f in BAR_FIELDS if any(f in g.inputs for g in functions)]
+    outputs = [o for g in functions for o in g.outputs]
+    sent = bars.select("symbol", "date", F.coalesce("_shown", F.lit(False)).alias("_shown"), *fields, *[F.col(f"f_{c}").cast("double").alias(f"f_{c}") for c in columns])
+    kept = [c for c in sent.columns if c not in fields]
+    schema = ", ".join(f"`{n}` {t}" for n, t in sent.select(*kept).dtypes) + "".join(f", `f_{o}` double" for o in outputs)
+    at = {**{f: f for f in BAR_FIELDS}, **{name: f"f_{name}" for name in REGISTRY}}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        for g in functions:
+            given = pa.table({"date": table.column("date"), **{i: table.column(at[i]) for i in g.inputs}})
+            made = g.fn(given)
+            if len(made) != len(table):
+                raise ValueError(f"{g.name} returned {len(made)} rows for {len(table)}")
+            for o in g.outputs:
+                table = table.append_column(f"f_{o}", pa.chunked_array(made.column(o)).cast(pa.float64()))
+        return table.select([*kept, *[f"f_{o}" for o in outputs]])
+
+    return sent.groupBy("symbol").applyInArrow(run, schema)
 
 
 def _bar_rows(bars):
@@ -176,18 +217,31 @@ def _fact_rows(df, date, name):
 # ---------------------------------------------------------------- registry
 
 
+@dataclass(frozen=True)
+class Grouped:
+    """A function over one symbol's history: a table of date and inputs in date order gives a table of outputs."""
+
+    name: str
+    fn: Callable[[pa.Table], pa.Table]
+    inputs: tuple[str, ...]
+    outputs: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Feature:
     name: str
-    expr: Callable[[], Column]
+    expr: Callable[[], Column] | None
     needs: tuple[str, ...]
     category: str
     unit: str = "ratio"
     materialised: bool = True
     factor: bool = True
+    grouped: Grouped | None = None
 
 
+BAR_FIELDS = ("close", "volume")
 REGISTRY: dict[str, Feature] = {}
+GROUPED: dict[str, Grouped] = {}
 
 
 def register(name: str, expr: Callable[[], Column], needs: Sequence[str] = (), category: str = "other", **kw) -> Feature:
@@ -198,6 +252,28 @@ def register(name: str, expr: Callable[[], Column], needs: Sequence[str] = (), c
     return REGISTRY[name]
 
 
+def register_grouped(name: str, fn: Callable[[pa.Table], pa.Table], inputs: Sequence[str] = ("close",), outputs: Mapping[str, Mapping] | Sequence[str] = (), category: str = "other", **kw) -> list[Feature]:
+    """Add features that need a symbol's whole history in order, such as recursions.
+
+    ``fn`` gets an Arrow table of ``date`` and ``inputs``, sorted by date, and returns one with
+    a column for each of ``outputs`` (default: ``name``), row for row; a mapping gives an output its own unit
+    or category.  Inputs are bar fields, features, or outputs of functions registered before,
+    so the order of registration is the order of evaluation.  A symbol's history is bounded
+    by the calendar and is the only thing a worker holds.
+    """
+    details = outputs if isinstance(outputs, Mapping) else {o: {} for o in (outputs or (name,))}
+    unknown = [i for i in inputs if i not in BAR_FIELDS and i not in REGISTRY]
+    taken = [o for o in details if o in REGISTRY or o in BAR_FIELDS]
+    if name in GROUPED or taken:
+        raise ValueError(f"feature {', '.join(taken) or name} exists")
+    if unknown:
+        raise ValueError(f"{name} reads {', '.join(unknown)}, which is neither a bar field nor a feature")
+    GROUPED[name] = Grouped(name, fn, tuple(inputs), tuple(details))
+    for o, own in details.items():
+        REGISTRY[o] = Feature(o, None, (), **{"category": category, "materialised": False, **kw, **own}, grouped=GROUPED[name])
+    return [REGISTRY[o] for o in details]
+
+
 def materialised() -> list[str]:
     return [f.name for f in REGISTRY.values() if f.materialised]
 
@@ -313,6 +389,43 @@ _register_all()
 # ---------------------------------------------------------------- recursive smoothing
 
 
+def smoothed(x: np.ndarray, period: int) -> np.ndarray:
+    """Wilder averages of ``x``: the mean of the first ``period`` values, then ``a = a * r + x / period``; NaN before.
+
+    Weighted running sums, block by block: a block is as long as its weights fit doubles.
+    """
+    if period == 1:
+        return x.astype(float)
+    out = np.full(len(x), np.nan)
+    if len(x) < period:
+        return out
+    r = (period - 1) / period
+    block = int(345 / -math.log(r))
+    out[period - 1] = last = x[:period].mean()
+    for first in range(period, len(x), block):
+        part = x[first : first + block] / period
+        grow = r ** -np.arange(1, len(part) + 1)
+        out[first : first + block] = (last + np.cumsum(part * grow)) / grow
+        last = out[min(first + block, len(x)) - 1]
+    return out
+
+
+def _rsi_of(period: int) -> Callable[[pa.Table], pa.Table]:
+    def fn(table: pa.Table) -> pa.Table:
+        close = table.column("close").to_numpy().astype(float)
+        change = np.diff(close)
+        up, down = smoothed(np.maximum(change, 0), period), smoothed(np.maximum(-change, 0), period)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
+        value = np.concatenate([np.full(min(1, len(close)), np.nan), np.floor(value * 100.0 + 0.5) / 100.0])
+        return pa.table({f"rsi_{period}": pa.array(value, from_pandas=True)})  # NaN is no value yet
+
+    return fn
+
+
+register_grouped("rsi_14", _rsi_of(14), ("close",), category="momentum", unit="index")
+
+
 def wilder(df: DataFrame, cols: Sequence[str], period: int, step: str = "k") -> DataFrame:
     """Replace each column by its Wilder average; ``step`` counts the changes from 1.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pitfactors.functions.columns import between_dates, ratio
 
 SORTABLE = ("market_cap", "symbol", "name", "sector", "industry")
+DATE_COLUMNS = {"insider_trades": "transaction_date"}  # fixed value: date columns not called date
 ROW_CAP, LEDGER_CAP = 500, 200  # fixed values: result caps of the sandbox and the ledger query
 
 
@@ -142,20 +145,75 @@ def recall(claims: DataFrame, limit: int = 20, **equal) -> DataFrame:
     return claims.orderBy(F.desc("promotions"), F.desc("created"), "id").limit(limit)
 
 
+#: Leaves without stored rows: a select without FROM, literal rows, a name defined by WITH.
+_HARMLESS = ("OneRowRelation", "LocalRelation", "ResolvedInlineTable", "UnresolvedInlineTable", "CTERelationRef")
+_CODE = ("CallMethodViaReflection", "TryReflect")  # expressions that run foreign code
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _named(plan, known: set[str]) -> None:
+    """Refuse a parsed statement that names anything but ``known`` relations, before a name is looked up anywhere."""
+    if _kind(plan) == "UnresolvedWith":
+        known = known | {str(c.alias()).lower() for c in _seq(plan.innerChildren())}
+    if _kind(plan) == "UnresolvedRelation":
+        parts = [str(x) for x in _seq(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise ValueError(f"no such table here: {'.'.join(parts)}")
+    elif "TableValuedFunction" in _kind(plan):
+        raise ValueError("table functions are not allowed")
+    for inner in [*_seq(plan.children()), *_seq(plan.subqueries()), *(_seq(plan.innerChildren()) if _kind(plan) == "UnresolvedWith" else [])]:
+        _named(inner, known)
+
+
+def _expressions(e):
+    yield e
+    for c in _seq(e.children()):
+        yield from _expressions(c)
+
+
+def _allowed(plan, views: set[str]) -> None:
+    """Refuse an analysed plan with a leaf that is not one of the given views."""
+    if _kind(plan) == "View":
+        if str(plan.desc().identifier().table()).lower() not in views:
+            raise ValueError("only the given tables can be read")
+        return
+    for e in _seq(plan.expressions()):
+        for x in _expressions(e):
+            if _kind(x) in _CODE:
+                raise ValueError("functions that call code are not allowed")
+    below = _seq(plan.children())
+    if not below and _kind(plan) not in _HARMLESS:
+        raise ValueError(f"only the given tables can be read, not {_kind(plan)}")
+    for inner in [*below, *_seq(plan.subqueries())]:
+        _allowed(inner, views)
+
+
 def sandbox(tables: Mapping[str, DataFrame], sql: str, stop, sectors: Sequence[str] | None = None, profiles: DataFrame | None = None, benchmarks: Sequence[str] = (), cap: int = ROW_CAP, dates: Mapping[str, str] | None = None) -> DataFrame:
-    """Run read-only SQL on tables cut at a date and to permitted sectors.
+    """Run read-only SQL on tables cut at a date and to permitted sectors; ``truncated`` tells whether the cap cut rows.
+
+    A statement names its tables as ``{prices}``.  It can read these and nothing else: names
+    are checked on the parsed statement before anything is looked up, and every leaf of the
+    analysed plan must be a table that was passed.  Files, catalog tables, other views, table
+    functions and functions that call code are refused, and so are commands: the statement
+    must parse alone and again as a subquery, where the grammar has none.
 
-    Tables are passed as named arguments of ``spark.sql``, so nothing is registered and
-    the caller sees only the filtered data: write ``{prices}`` in the statement.  ``dates``
-    names the date column of tables that call it other than ``date``.  The statement runs as
-    a subquery, where the grammar has no commands.
+    ``dates`` names the date column of tables that call it neither ``date`` nor as in
+    ``DATE_COLUMNS``; tables without one are not cut.
     """
+    named = {**DATE_COLUMNS, **(dates or {})}
     cut = {}
     for name, df in tables.items():
-        day = (dates or {}).get(name, "date")
+        day = named.get(name, "date")
         if day in df.columns:
             df = df.filter(F.col(day) <= F.lit(stop).cast("date"))
-        elif dates and name in dates:
+        elif name in named:
             raise ValueError(f"{name} has no column {day!r}")
         if sectors is not None and "symbol" in df.columns:
             ok = profiles.filter(F.col("sector").isin(list(sectors)) | F.col("symbol").isin(list(benchmarks))).select("symbol")
@@ -163,8 +221,27 @@ def sandbox(tables: Mapping[str, DataFrame], sql: str, stop, sectors: Sequence[s
         cut[name] = df
     if not sql.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only queries are allowed")
+    unknown = {n for n in re.findall(r"\{(\w*)\}", sql)} - set(cut)
+    if unknown:
+        raise ValueError(f"no such table here: {', '.join(sorted(unknown))}")
     session = next(iter(tables.values())).sparkSession
-    return session.sql(f"SELECT * FROM (\n{sql}\n) LIMIT {int(cap)}", **cut)
+    views = {name: f"sandbox_{uuid.uuid4().hex}" for name in cut}
+    text = re.sub(r"\{(\w+)\}", lambda m: views[m[1]], sql)
+    inner = set(views.values())
+    try:
+        for name, df in cut.items():
+            df.createTempView(views[name])
+        parser = session._jsparkSession.sessionState().sqlParser()
+        _named(parser.parsePlan(text), inner)
+        whole = f"SELECT * FROM (\n{text}\n) LIMIT {int(cap) + 1}"
+        _named(parser.parsePlan(whole), inner)
+        found = session.sql(whole)
+        _allowed(found._jdf.queryExecution().analyzed(), inner)
+    finally:
+        for view in inner:
+            session.catalog.dropTempView(view)
+    # at most one row beyond the cap is here: it tells whether the cap cut
+    return found.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > cap).limit(cap)
 
 
 def score_series(panel: DataFrame, symbol: str) -> DataFrame:

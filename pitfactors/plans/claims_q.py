@@ -1,7 +1,5 @@
 """Claims, run metrics and lookups over the driver's tables."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from pitfactors.operators import calendars
@@ -16,6 +14,7 @@ from pitfactors.plans import features_q as FQ
 from pitfactors.plans import nav_q as NQ
 from pitfactors.plans import regimes_q as RQ
 from pitfactors.plans.catalogue import query
+from pitfactors.plans.joins_q import WINDOWS, windows
 from pitfactors.sources import adapters as A
 
 DSV = {
@@ -74,14 +73,13 @@ def v39(spark, sf):
     return C.verdicts(C.by_regime(C.double_sort(panel(spark, sf)), labels(spark, sf), 21))
 
 
-WIN = calendars.walk_forward(dt.date(1995, 1, 1), dt.date(2001, 12, 31), "2y", "6m")
-WV = {**LAB, "wins": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}', DATE '{c}')" for a, b, c in WIN) + ') t(label, start, "end")',
+WV = {**LAB, "wins": WINDOWS,
       "pwin": """SELECT label, start, "end", count(*) AS n, avg(spread) * 12 * 100 AS mean_ann_pct, CASE WHEN count(*) > 1 AND stddev_pop(spread) > 0 THEN avg(spread) / (stddev_pop(spread) / sqrt(count(*))) ELSE 0 END AS t_stat,
   avg(CASE WHEN spread > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, NOT (start <= DATE '1997-12-31' AND DATE '1996-01-01' <= "end") AS is_oos FROM dsx JOIN wins ON date >= start AND date <= "end" GROUP BY 1, 2, 3"""}
 
 
 def per_window(spark, sf):
-    return C.by_window(C.double_sort(panel(spark, sf)), WIN, 21, ("1996-01-01", "1997-12-31"))
+    return C.by_window(C.double_sort(panel(spark, sf)), windows(spark, sf), 21, ("1996-01-01", "1997-12-31"))
 
 
 @query("v40_by_window", "SELECT * FROM pwin", SUM, WV)
@@ -324,11 +322,30 @@ def q16(spark, sf):
     return Q.recall(A.claims(spark, sf), universe="BUILDING", status="validated").select("id", "run", "universe", "status", "promotions", "created")
 
 
-@query("q17_sandbox", "SELECT symbol, count(*) AS n, max(date) AS last FROM bars WHERE date <= DATE '1998-06-30' AND (symbol IN (SELECT symbol FROM profiles WHERE sector = 'S1') OR symbol = 'Brand#2') GROUP BY 1 ORDER BY symbol LIMIT 500")
+@query("q17_sandbox", "SELECT symbol, count(*) AS n, max(date) AS last FROM bars WHERE date <= DATE '1998-06-30' AND (symbol IN (SELECT symbol FROM profiles WHERE sector = 'S1') OR symbol = 'Brand#2') GROUP BY 1 ORDER BY symbol LIMIT 500".replace("max(date) AS last", "max(date) AS last, false AS truncated"))
 def q17(spark, sf):
     return Q.sandbox({"prices": A.bars(spark, sf)}, "SELECT symbol, count(*) AS n, max(date) AS last FROM {prices} GROUP BY symbol ORDER BY symbol", "1998-06-30", ["S1"], A.profiles(spark, sf), ["Brand#2"])
 
 
+INSIDERS = "SELECT symbol, date AS transaction_date, book, action, shares FROM trades"
+
+
+@query("q17_sandbox_transactions",
+       f"""SELECT symbol, action, count(*) AS n, max(transaction_date) AS last, count(*) OVER () > 500 AS truncated FROM ({INSIDERS})
+  WHERE transaction_date <= DATE '1997-03-31' AND symbol IN (SELECT symbol FROM profiles WHERE sector IN ('S1', 'S2')) GROUP BY 1, 2""")
+def q17b(spark, sf):
+    """A table that is cut by its transaction date, read through a WITH clause."""
+    t = A.trades(spark, sf).withColumnRenamed("date", "transaction_date").select("symbol", "transaction_date", "book", "action", "shares")
+    sql = "WITH t AS (SELECT * FROM {insider_trades}) SELECT symbol, action, count(*) AS n, max(transaction_date) AS last FROM t GROUP BY symbol, action"
+    return Q.sandbox({"insider_trades": t}, sql, "1997-03-31", ["S1", "S2"], A.profiles(spark, sf))
+
+
+@query("q17_sandbox_truncated", "SELECT DISTINCT symbol, 3 AS cap, true AS truncated FROM bars WHERE date <= DATE '1996-12-31' ORDER BY symbol LIMIT 3")
+def q17c(spark, sf):
+    """More rows than the cap: the first ones in the statement's order, and the flag."""
+    return Q.sandbox({"prices": A.bars(spark, sf)}, "SELECT DISTINCT symbol, 3 AS cap FROM {prices} ORDER BY symbol", "1996-12-31", cap=3)
+
+
 @query("q18_score_series", "SELECT symbol, date, (close / lag(close, 21) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS score FROM bars WHERE symbol = 'Brand#9'", "score")
 def q18(spark, sf):
     b = A.bars(spark, sf)

@@ -24,8 +24,10 @@ def data(spark, sf, *names):
         "income": lambda: inc, "earnings": lambda: A.earnings(inc), "grades": lambda: A.grades(spark, sf),
         "profiles": lambda: A.profiles(spark, sf), "benchmark": lambda: A.market(spark, sf),
         "pe": lambda: pe_series(inc), "panel": lambda: FQ.build(spark, sf, ["roe", "pe"]),
+        "series": lambda: FQ.build(spark, sf, ["rsi_14"], False),
     }
-    return C.Data(bars=A.bars(spark, sf), calendar=A.dates(spark, sf), **{n: make[n]() for n in names})
+    named = {"panel" if n == "series" else n: make[n]() for n in names}
+    return C.Data(bars=A.bars(spark, sf), calendar=A.dates(spark, sf), **named)
 
 
 def pe_series(inc):
@@ -100,6 +102,7 @@ _cond("c16_volume_capitulation", {"type": "volume_capitulation"}, _val(EQ.CAPITU
 _cond("c17_always", {"type": "always"}, f"SELECT p.symbol, c.date, 0.0::DOUBLE AS value FROM profiles p, calendar c WHERE {SPAN}")
 ROE = f"SELECT * FROM ({FQ.ORACLE['roe']}) WHERE value IS NOT NULL"
 _cond("c18_feature_threshold", {"type": "feature_threshold", "feature": "roe", "operator": ">", "value": 2.0}, _val(ROE + " AND value > 2.0", "value"), ("panel",), FQ.VIEWS)
+_cond("c18_feature_threshold_rsi", {"type": "feature_threshold", "feature": "rsi_14", "operator": "<=", "value": 45}, _val(EQ.RSI_SQL, "rsi") + " AND rsi <= 45", ("series",), EQ.RSI_VIEWS)
 ROEV = {**FQ.VIEWS, "roe_s": ROE}
 _cond("c19_feature_percentile", {"type": "feature_percentile", "feature": "roe"}, _percentile("roe_s", "value"), ("panel",), ROEV)
 _cond("c19_feature_percentile_sector", {"type": "feature_percentile", "feature": "roe", "scope": "sector", "min_value": 0.5},

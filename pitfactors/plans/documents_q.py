@@ -195,6 +195,32 @@ def snk4(spark, sf):
     return S.merge_history(old, new, "prices")
 
 
+@query("snk4_load_order", "SELECT symbol, date, CASE WHEN date >= DATE '1999-01-01' THEN close * 3 ELSE close END AS close FROM bars", "close")
+def snk4b(spark, sf):
+    """Fetched documents that hold every record twice: the one later in the document wins."""
+    old, new = halves(spark, sf)
+    twice = new.select("symbol", F.year("date").alias("y"), F.struct("date", "close").alias("r")).groupBy("symbol", "y").agg(F.sort_array(F.collect_list("r")).alias("data"))
+    later = F.transform("data", lambda r: F.struct(r["date"].alias("date"), (r["close"] * 1.5).alias("close")))
+    text = F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("_fetched_at"), F.concat("data", later).alias("data")))
+    fetched = D.parse_documents(twice.select("symbol", text.alias("text")), "prices", position=True)
+    return S.merge_history(old, fetched.select("symbol", "date", "close", "load_order"), "prices")
+
+
+@query("snk1_upsert_null_dates",
+       """SELECT symbol, CASE WHEN date >= DATE '1998-01-01' THEN date END AS date, CAST(count(*) AS BIGINT) AS n, sum(CAST(volume AS BIGINT))::BIGINT AS volume FROM (
+  SELECT symbol, date, volume FROM bars WHERE date >= DATE '1998-01-01' UNION ALL SELECT symbol, NULL, any_value(v) FROM (SELECT symbol, sum(volume) AS v FROM bars WHERE date < DATE '1998-01-01' GROUP BY 1) GROUP BY 1) GROUP BY 1, 2""")
+def snk1b(spark, sf):
+    """Rows without a date on both sides of an upsert into a table by year: those not updated stay."""
+    out = workspace(spark, "snk1b")
+    b = A.bars(spark, sf).select("symbol", "date", F.col("volume").cast("long").alias("volume"))
+    early = b.filter(F.col("date") < F.lit("1998-01-01").cast("date")).groupBy("symbol").agg(F.sum("volume").alias("volume"))
+    undated = early.select("symbol", F.lit(None).cast("date").alias("date"), "volume")
+    even = F.length("symbol") % 2 == 0
+    S.upsert_table(b.filter(F.col("date") >= F.lit("1998-01-01").cast("date")).unionByName(undated.withColumn("volume", F.when(even, F.col("volume")).otherwise(-1))), out, ["symbol", "date"], ["volume"])
+    S.upsert_table(undated.filter(~even), out, ["symbol", "date"], ["volume"])
+    return spark.read.parquet(out).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+
+
 @query("snk5_content_ids", "SELECT trade_key, date, substr(md5(trade_key || ':' || date), 1, 12) AS id FROM trades")
 def snk5(spark, sf):
     return A.trades(spark, sf).select("trade_key", "date", L.row_id("trade_key", F.col("date").cast("string")).alias("id"))

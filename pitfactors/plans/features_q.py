@@ -155,7 +155,8 @@ def _add(i, name):
     if name == "rsi_14":
         @query(f"f{i}_rsi_14", RSI_SQL, "rsi:2", RSI_VIEWS)
         def run(spark, sf):
-            return X.rsi(A.bars(spark, sf))
+            found = build(spark, sf, ["rsi_14"], False).withColumnRenamed("rsi_14", "rsi")
+            return found.filter(F.col("rsi").isNotNull())
         return
     digits = "value:4" if name == "dollar_vol_20" else "value"
 
@@ -236,6 +237,27 @@ def f48b(spark, sf):
     return X.recent(build(spark, sf, SOME), A.bars(spark, sf))
 
 
+def _spread(table):
+    """A feature of a feature: gap between two smoothings of the RSI, from two functions that feed each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    rsi = table.column("rsi_14").to_numpy(zero_copy_only=False).astype(float)
+    return pa.table({"rsi_change": pa.array(np.concatenate([[np.nan], np.diff(rsi)]), from_pandas=True), "rsi_gap": pa.array(rsi - table.column("ret_1m").to_numpy(zero_copy_only=False).astype(float), from_pandas=True)})
+
+
+X.register_grouped("rsi_moves", _spread, ("rsi_14", "ret_1m"), {"rsi_change": {"unit": "points"}, "rsi_gap": {"unit": "points"}}, "momentum", factor=False)
+
+
+@query("fj_grouped_features",
+       f"""SELECT p.symbol, p.date, r.rsi AS rsi_14, r.rsi - lag(r.rsi) OVER (PARTITION BY p.symbol ORDER BY p.date) AS rsi_change, r.rsi - m.value AS rsi_gap, q.value AS pe
+  FROM priced p LEFT JOIN (SELECT symbol, date, floor(rsi * 100 + 0.5) / 100 AS rsi FROM ({RSI_SQL})) r USING (symbol, date) LEFT JOIN ({ORACLE['ret_1m'].replace("JOIN visible USING (symbol) WHERE date >= since", "")}) m USING (symbol, date)
+  LEFT JOIN ({ORACLE['pe']}) q USING (symbol, date)""", "rsi_14:2 rsi_change:2 rsi_gap:4 pe", {**VIEWS, **RSI_VIEWS})
+def fj(spark, sf):
+    """Two grouped functions, one fed by the other and by a window feature, beside a fundamental."""
+    return build(spark, sf, ["rsi_14", "rsi_change", "rsi_gap", "pe"], False)
+
+
 @query("f49_coverage", " UNION ALL ".join(f"SELECT '{n}' AS feature, count(value) AS non_null, count(*) AS rows FROM ({ORACLE[n]})" for n in SOME), views=VIEWS)
 def f49(spark, sf):
     return X.coverage(build(spark, sf, SOME))

@@ -1,7 +1,5 @@
 """Point-in-time joins, calendars and universes over the driver's tables."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from pitfactors.operators import asof, calendars, universe
@@ -263,12 +261,18 @@ def x19b(spark, sf):
     return calendars.spaced(A.dates(spark, sf), 30)
 
 
-@query("w01_walk_forward",
-       """SELECT 'w' || (n + 1) AS label, CAST(DATE '1995-01-01' + to_months(CAST(18 * n AS INTEGER)) AS DATE) AS start,
-  CAST(DATE '1995-01-01' + to_months(CAST(18 * n + 24 AS INTEGER)) AS DATE) AS "end",
-  (SELECT count(*) FROM bars WHERE date >= DATE '1995-01-01' + to_months(CAST(18 * n AS INTEGER)) AND date <= DATE '1995-01-01' + to_months(CAST(18 * n + 24 AS INTEGER))) AS n_bars
-  FROM range(0, 10) t(n) WHERE DATE '1995-01-01' + to_months(CAST(18 * n + 24 AS INTEGER)) <= DATE '2001-12-31'""")
+#: Walk-forward windows of two years over the table's dates, each six months before the end of the one before.
+WINDOWS = """SELECT 'w' || (n + 1) AS label, CAST(first + to_months(CAST(18 * n AS INTEGER)) AS DATE) AS start, CAST(first + to_months(CAST(18 * n + 24 AS INTEGER)) AS DATE) AS "end"
+  FROM (SELECT min(date) AS first, max(date) AS last FROM calendar), range(0, 400) t(n) WHERE first + to_months(CAST(18 * n + 24 AS INTEGER)) <= last"""
+
+
+def windows(spark, sf):
+    first, last = A.dates(spark, sf).agg(F.min("date"), F.max("date")).first()
+    return calendars.walk_forward(first, last, "2y", "6m")
+
+
+@query("w01_walk_forward", 'SELECT label, start, "end", (SELECT count(*) FROM bars WHERE date >= start AND date <= "end") AS n_bars FROM wins', views={"wins": WINDOWS})
 def w01(spark, sf):
-    spans = calendars.walk_forward(dt.date(1995, 1, 1), dt.date(2001, 12, 31), "2y", "6m")
+    spans = windows(spark, sf)
     per_day = A.bars(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     return calendars.in_windows(per_day, spans).groupBy("label", "start", "end").agg(F.sum("n").alias("n_bars"))

@@ -29,26 +29,31 @@ def _fields(record: str) -> str:
     return ",".join(f"{n}:{t}" for n, t in (x.strip().split() for x in record.split(", ")))
 
 
-def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Files ``<symbol>.json`` holding ``{"_fetched_at": …, "data": […]}`` → one row per record."""
+def read_documents(spark: SparkSession, path: str, kind: str, position: bool = False) -> DataFrame:
+    """Files ``<symbol>.json`` holding ``{"_fetched_at": …, "data": […]}`` → one row per record.
+
+    ``position`` adds ``load_order`` (time of the fetch, place in the file) for merging.
+    """
     schema = f"_fetched_at string, data array<struct<{_fields(RECORDS[kind])}>>"
     docs = spark.read.schema(schema).json(path, multiLine=True)
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    return _records(docs.withColumn("symbol", symbol))
+    return _records(docs.withColumn("symbol", symbol), position)
 
 
-def parse_documents(texts: DataFrame, kind: str) -> DataFrame:
+def parse_documents(texts: DataFrame, kind: str, position: bool = False) -> DataFrame:
     """The same from a ``(symbol, text)`` table, e.g. an object-store listing or a stream."""
     doc = F.from_json("text", wrapped(RECORDS[kind]))
-    return _records(texts.select("symbol", doc.alias("d")).select("symbol", "d.*"))
+    return _records(texts.select("symbol", doc.alias("d")).select("symbol", "d.*"), position)
 
 
-def _records(docs: DataFrame) -> DataFrame:
+def _records(docs: DataFrame, position: bool = False) -> DataFrame:
     """Bad documents have no data array and drop out here."""
-    r = docs.select(F.col("symbol").alias("doc_symbol"), F.to_timestamp("_fetched_at").alias("fetched_at"), F.explode("data").alias("r"))
+    r = docs.select(F.col("symbol").alias("doc_symbol"), F.to_timestamp("_fetched_at").alias("fetched_at"), F.posexplode("data").alias("place", "r"))
     own = [f.name for f in docs.schema["data"].dataType.elementType.fields]
-    return r.select(F.col("doc_symbol").alias("symbol"), "fetched_at", *[F.col(f"r.{n}") for n in own if n != "symbol"]) if "symbol" not in own else r.select(
-        "fetched_at", "r.*")
+    order = [F.struct("fetched_at", "place").alias("load_order")] if position else []
+    if "symbol" in own:
+        return r.select("fetched_at", "r.*", *order)
+    return r.select(F.col("doc_symbol").alias("symbol"), "fetched_at", *[F.col(f"r.{n}") for n in own], *order)
 
 
 def zero(c: str) -> Column:
@@ -165,10 +170,12 @@ def parse_results(texts: DataFrame) -> DataFrame:
     return texts.select(fields.alias("d")).select("d.*")
 
 
-def universe_detail() -> Column:
+def universe_detail(limit: int | None = None) -> Column:
+    """The sector, or the symbols in their stored order (at most ``limit`` of them, if given)."""
+    symbols = F.col("config.universe.symbols")
     kind = F.col("config.universe.type")
     return F.when(kind == "sector", F.coalesce("config.universe.sector", F.lit(""))).when(
-        kind == "symbols", F.array_join(F.slice("config.universe.symbols", 1, 20), ",")).otherwise("all")
+        kind == "symbols", F.array_join(symbols if limit is None else F.slice(symbols, 1, limit), ",")).otherwise("all")
 
 
 def run_metrics(results: DataFrame) -> DataFrame:

@@ -23,12 +23,30 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+LOADED = "load_order"
+
+
+def in_load_order(rows: DataFrame) -> DataFrame:
+    """Rows with ``load_order``: their file by time of change and name, their place in it.
+
+    Rows that come from no file keep the order in which the frame holds them.  A stream gets
+    the file only; its micro-batches add the place.
+    """
+    parts = [F.col(LOADED)] if LOADED in rows.columns else []
+    hidden = rows._jdf.queryExecution().analyzed().metadataOutput()
+    if not parts and "_metadata" in [hidden.apply(i).name() for i in range(hidden.size())]:
+        parts = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
+    if not rows.isStreaming:
+        parts = [*parts, F.monotonically_increasing_id().alias("row")]
+    return rows.withColumn(LOADED, F.struct(*parts))
+
+
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Union of both sides, updates win; ``order`` decides among updates of one key."""
+    """Union of both sides, updates win; among updates of one key ``order`` decides, or else the order of loading."""
     old = existing.withColumn("_new", F.lit(0))
-    new = updates.withColumn("_new", F.lit(1))
-    merged = latest(old.unionByName(new, allowMissingColumns=True), keys, ["_new", *order])
-    return merged.drop("_new")
+    new = (updates if order or LOADED in updates.columns else in_load_order(updates)).withColumn("_new", F.lit(1))
+    merged = latest(old.unionByName(new, allowMissingColumns=True), keys, ["_new", *(order or [LOADED])])
+    return merged.drop("_new", LOADED)
 
 
 def absent(existing: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,7 +76,11 @@ MERGE_KEYS = {
 
 
 def merge_history(stored: DataFrame, fetched: DataFrame, kind: str) -> DataFrame:
-    """Add new records to stored ones by the kind's key; old records are never lost, fetched ones without a date drop."""
+    """Add new records to stored ones by the kind's key; old records are never lost, fetched ones without a date drop.
+
+    Of several fetched records with one key, the one loaded last stays (``in_load_order``).
+    """
+    fetched = fetched if LOADED in fetched.columns else in_load_order(fetched)
     dated = {"insider_trades": "transaction_date", "news": "publishedDate"}.get(kind, "date")
     fetched = fetched.dropna(subset=[dated]) if dated in fetched.columns else fetched
     if kind == "news":
@@ -87,13 +109,14 @@ def upsert_table(updates: DataFrame, path: str, keys: Sequence[str], order: Sequ
     """Upsert into a Parquet table partitioned by year; only touched years are rewritten.
 
     The partition list is a handful of years; the rows stay distributed.  A failed write
-    leaves the old partitions, so the step can be repeated.
+    leaves the old partitions, so the step can be repeated.  Rows without a date have a
+    partition of their own, which is rewritten like any other.
     """
     spark = updates.sparkSession
-    new = updates.withColumn("year", F.year(date))
-    stored = read_or_empty(spark, path, new)
-    touched = new.select("year").distinct()
-    old = stored.join(touched, "year", "left_semi")
+    new = (updates if order else in_load_order(updates)).withColumn("year", F.year(date))
+    stored = read_or_empty(spark, path, new.drop(LOADED))
+    touched = new.select(F.col("year").alias("_touched")).distinct()
+    old = stored.join(touched, stored["year"].eqNullSafe(F.col("_touched")), "left_semi")
     merged = upsert(old, new, keys, order)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 

@@ -36,8 +36,11 @@ def upserts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
 
 
 def corrections(stream: DataFrame, path: str, checkpoint: str, kind: str, order: Sequence[str] = ()) -> DataStreamWriter:
-    """Re-sent records of a document kind overwrite the stored ones by natural key."""
-    return upserts(stream, path, checkpoint, sinks.MERGE_KEYS[kind], order)
+    """Re-sent records of a document kind overwrite the stored ones by natural key.
+
+    Without ``order`` the record loaded last wins: the later file, and in a file the later row.
+    """
+    return upserts(stream if order else sinks.in_load_order(stream), path, checkpoint, sinks.MERGE_KEYS[kind], order)
 
 
 def feature_refresh(stream: DataFrame, checkpoint: str, build: Callable[[], DataFrame], path: str, days: int = 7) -> DataStreamWriter:

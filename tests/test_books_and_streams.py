@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 
 from conftest import day
@@ -184,7 +184,7 @@ def test_sandbox_hides_the_future_and_other_sectors(spark, make_bars):
     assert sorted((r["symbol"], r["d"]) for r in got) == [("A", day(1)), ("X", day(1))]
     with pytest.raises(ValueError):
         lookup.sandbox({"prices": b}, "drop table x", day(1))
-    with pytest.raises(ParseException):
+    with pytest.raises((ParseException, ValueError)):
         lookup.sandbox({"prices": b}, "with x as (select 1) insert into t select * from x", day(1))
     late = lookup.sandbox({"trades": b.withColumnRenamed("date", "transaction_date")}, "select max(transaction_date) as d from {trades}", day(1), dates={"trades": "transaction_date"})
     assert late.first()["d"] == day(1)
@@ -198,3 +198,85 @@ def test_split_ranks_equal_the_window_for_nan_null_and_dates(spark):
             plans = [ranks.ordinal(df, ["g"], order, descending=down, strategy=s, group_rows=1) for s in ("window", "split")]
             a, b = (sorted((r["g"], r["d"], r["rn"]) for r in p.collect()) for p in plans)
             assert a == b
+
+
+def test_sandbox_reads_nothing_but_its_tables(spark, make_bars, tmp_path):
+    b = make_bars(A=[1, 2, 3], B=[4, 5, 6])
+    path = str(tmp_path / "bars")
+    b.write.parquet(path)
+    b.createOrReplaceTempView("open_view")
+    spark.read.parquet(path).write.saveAsTable("open_table")
+    run = lambda sql, **kw: lookup.sandbox({"prices": spark.read.parquet(path)}, sql, day(1), **kw)
+    try:
+        for text in (
+            f"select * from parquet.`{path}`", "select * from open_view", "select * from open_table", "select * from default.open_table", "select * from range(5)",
+            "select * from {prices} where close in (select close from open_view)", "select (select max(date) from open_table) as d", "with x as (select * from open_view) select * from x",
+            "with prices as (select 1) select * from open_view", "select 1) union all (select 1", "select * from {prices} union all select * from open_view",
+            "select reflect('java.lang.System', 'getProperty', 'user.home')", "select * from {other}", "select * from {prices} p join lateral (select * from open_table) o",
+            "select exists (select 1 from open_view) as x", "select * from explode(array(1))", "show tables", "select * from {prices} /* open",
+        ):
+            with pytest.raises((ValueError, ParseException, AnalysisException)):
+                run(text).collect()
+    finally:
+        spark.sql("drop table open_table")
+        spark.catalog.dropTempView("open_view")
+    for text, n in (
+        ("select * from {prices}", 4), ("with x as (select * from {prices}), y as (select * from x) select * from y join x using (symbol, date) -- end", 4),
+        ("select a.symbol from {prices} a where a.date = (select max(date) from {prices})", 2), ("select 1 as one", 1), ("select * from values (1), (2) as v(a)", 2),
+    ):
+        got = run(text)
+        assert got.count() == n and not any(r["truncated"] for r in got.collect())
+    cut = run("select * from {prices}", cap=3).collect()
+    assert len(cut) == 3 and all(r["truncated"] for r in cut)
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith("sandbox_")]
+
+
+def test_grouped_features_share_the_panel_shuffle(spark, make_bars):
+    import numpy as np
+    import pyarrow as pa
+
+    from pitfactors.operators import features
+
+    rng = np.random.default_rng(4)
+    b = make_bars(A=list(100 + rng.normal(0, 1, 400).cumsum()), B=[5.0] * 30, C=[1.0, 2.0])
+    panel = lambda bars, names: features.panel(bars, None, None, None, None, None, names, False)
+    got = panel(b, ["rsi_14", "ret_1m"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    native = {(r.symbol, r.date): r.rsi for r in features.rsi(b).collect()}
+    mine = {(r.symbol, r.date): r.rsi_14 for r in got.collect()}
+    assert len(mine) == 432 and {k: v for k, v in mine.items() if v is not None} == native
+    cut = {(r.symbol, r.date): r.rsi_14 for r in panel(b.filter(b.date < day(200)), ["rsi_14"]).collect()}  # no look-ahead
+    assert cut == {k: v for k, v in mine.items() if k[1] < day(200)}
+
+    def sums(t):
+        return pa.table({"up_to": pa.array(np.cumsum(t.column("close").to_numpy())), "n": pa.array(range(1, len(t) + 1))})
+
+    try:
+        features.register_grouped("totals", sums, ("close",), ["up_to", "n"])
+        features.register_grouped("mean", lambda t: pa.table({"mean": pa.array(t.column("up_to").to_numpy() / t.column("n").to_numpy())}), ("up_to", "n"))
+        row = [r for r in panel(b, ["mean"]).collect() if r.symbol == "C" and r.date == day(1)]
+        assert row[0].mean == 1.5
+        with pytest.raises(ValueError):
+            features.register_grouped("early", sums, ("later_feature",))
+        with pytest.raises(ValueError):
+            features.register_grouped("mean", sums)
+    finally:
+        for name in ("up_to", "n", "mean"):
+            features.REGISTRY.pop(name, None)
+        for name in ("totals", "mean"):
+            features.GROUPED.pop(name, None)
+
+
+def test_smoothed_equals_the_recursion():
+    import numpy as np
+
+    from pitfactors.operators.features import smoothed
+
+    rng = np.random.default_rng(8)
+    for n, period in ((0, 3), (2, 3), (3, 3), (20_000, 14), (9000, 2), (50, 1)):
+        x = rng.normal(0, 1, n) ** 2
+        want, a = [], None
+        for i, v in enumerate(x):
+            a = x[:period].mean() if i == period - 1 else (a * (period - 1) + v) / period if a is not None else None
+            want.append(np.nan if a is None else a)
+        assert np.allclose(smoothed(x, period), want, equal_nan=True, rtol=1e-9)

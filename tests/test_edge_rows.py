@@ -1,7 +1,9 @@
 """Rows at the edges: NULL key parts, total losses, names without a sector."""
 
+import time
+
 from pitfactors.operators import evaluation, ledger, nav
-from pitfactors.sources import sinks
+from pitfactors.sources import documents, sinks
 
 
 def test_history_keeps_rows_with_a_null_key_part(spark):
@@ -30,3 +32,41 @@ def test_total_loss_is_compounded(spark):
 def test_names_without_sector_stay(spark):
     rows = spark.createDataFrame([(f"s{i}", 1, None if i % 4 == 0 else "T", float(i), 1.0 + i) for i in range(20)], "symbol string, date int, sector string, value double, market_cap double")
     assert evaluation.neutralise(rows, 2).count() == 20
+
+
+def test_last_loaded_record_wins(spark, tmp_path):
+    schema = "symbol string, date string, close double"
+    stored = spark.createDataFrame([("A", "2020-01-01", 1.0), ("B", "2020-01-01", 7.0)], schema)
+    fetched = spark.createDataFrame([("A", "2020-01-01", float(i)) for i in range(2, 40)] + [("C", "2020-01-01", 1.0), ("C", "2020-01-01", 0.5)], schema)
+    for f in (fetched, fetched.coalesce(2)):
+        got = {r.symbol: r.close for r in sinks.merge_history(stored, f, "prices").collect()}
+        assert got == {"A": 39.0, "B": 7.0, "C": 0.5}
+    path = str(tmp_path / "feed")
+    for part in ([("A", "2020-01-01", 5.0)], [("A", "2020-01-01", 4.0), ("A", "2020-01-01", 3.0)]):  # the second file is newer
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    merged = sinks.merge_history(stored, spark.read.parquet(path), "prices")
+    assert merged.columns == ["symbol", "date", "close"]
+    assert {r.symbol: r.close for r in merged.collect()} == {"A": 3.0, "B": 7.0}
+
+
+def test_documents_keep_their_order(spark, tmp_path):
+    text = '{"_fetched_at": "2024-01-01T00:00:00", "data": [{"date": "2020-01-02", "close": 1}, {"date": "2020-01-02", "close": 2}]}'
+    (tmp_path / "A.json").write_text(text)
+    fetched = documents.read_documents(spark, str(tmp_path), "prices", position=True).select("symbol", "date", "close", "load_order")
+    stored = fetched.drop("load_order").filter("false")
+    assert [r.close for r in sinks.merge_history(stored, fetched, "prices").collect()] == [2.0]
+
+
+def test_upsert_keeps_rows_without_a_date(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "symbol string, date date, v int"
+    sinks.upsert_table(spark.createDataFrame([("A", None, 1), ("B", None, 2)], schema), path, ["symbol", "date"])
+    sinks.upsert_table(spark.createDataFrame([("C", None, 3), ("B", None, 4)], schema), path, ["symbol", "date"])
+    assert sorted((r.symbol, r.v) for r in spark.read.parquet(path).collect()) == [("A", 1), ("B", 4), ("C", 3)]
+
+
+def test_universe_detail_keeps_all_symbols(spark):
+    names = [f"S{i}" for i in range(35)]
+    df = spark.sql("SELECT named_struct('universe', named_struct('type', 'symbols', 'sector', CAST(NULL AS string), 'symbols', array(" + ",".join(f"'{n}'" for n in names) + "))) AS config")
+    assert df.select(documents.universe_detail().alias("d")).first().d == ",".join(names)
+    assert df.select(documents.universe_detail(2).alias("d")).first().d == "S0,S1"
