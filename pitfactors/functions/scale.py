@@ -30,14 +30,14 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return counts.agg(F.max("c")).first()[0] or 0
 
 
-def has_large_group(df: DataFrame, by: Sequence[str]) -> bool:
-    """True when some group may exceed ``GROUP_ROWS``.
+def has_large_group(df: DataFrame, by: Sequence[str], most: int = GROUP_ROWS) -> bool:
+    """True when some group may exceed ``most`` rows.
 
     Free for small inputs (statistics only); larger inputs pay one aggregation.
     """
     if input_bytes(df) <= SMALL_INPUT_BYTES:
         return False
-    return largest_group(df, by) > GROUP_ROWS
+    return largest_group(df, by) > most
 
 
 _LOCAL: dict[str, str] = {}  # application id -> temporary folder of a local session

@@ -11,15 +11,15 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitfactors.functions import ranks
+from pitfactors.functions import crossing, ranks
 from pitfactors.functions.columns import between_dates, by_symbol, half_up, rows, so_far
 from pitfactors.operators import asof, calendars
 
 
-
 # ---------------------------------------------------------------- peaks and selloffs
 
 
@@ -135,25 +135,29 @@ def recovery_target(condition: str, trough: Column, peak: Column) -> Column | No
     return (peak if of_peak and not of_trough else trough) * factor
 
 
+def _recovered(within_days: int | None):
+    def fn(events: pa.Table, track: crossing.Track, bars: pa.Table) -> dict[str, pa.Array]:
+        target, trough = crossing.doubles(events.column("_target")), crossing.days_of(events.column("trough_date"))
+        at = track.first("max", track.after(trough), lambda close, q: close >= target[q])
+        if within_days is not None:
+            at = np.where(at < track.after(trough + within_days), at, track.n)
+        return {"recovery_date": crossing.taken(bars, "date", at), "recovery_price": crossing.taken(bars, "close", at)}
+
+    return fn
+
+
 def recoveries(events: DataFrame, bars: DataFrame, condition: str = "peak", within_days: int | None = None) -> DataFrame:
-    """Events with the first close at the target after the trough, if any."""
-    target = recovery_target(condition, F.col("trough_price"), F.col("peak_price"))
-    keyed = events.withColumn("target", target)
-    keys = ["symbol", "trough_date", "peak_date", "target"]
-    wanted = keyed.select(*keys).distinct()
-    later = bars.select("symbol", F.col("date").alias("rd"), F.col("close").alias("rc"))
-    if within_days is not None:
-        limited = wanted.withColumn("_limit", F.date_add("trough_date", within_days))
-        pairs = asof.within(limited, later, "symbol", "trough_date", "_limit", "rd")
-    else:
-        pairs = wanted.join(later, "symbol").filter(F.col("rd") > F.col("trough_date"))
-    found = pairs.filter(F.col("rc") >= F.col("target")).groupBy(*keys).agg(
-        F.min("rd").alias("recovery_date"), F.min_by("rc", "rd").alias("recovery_price"))
-    return keyed.join(found, keys, "left").withColumns({
-        "target_price": half_up(F.when(F.col("recovery_date").isNotNull(), F.col("target")), 2),
+    """Events with the first close at the target after the trough, if any.
+
+    Each event looks its crossing up in its symbol's range maxima, at any distance.
+    """
+    keyed = events.withColumn("_target", recovery_target(condition, F.col("trough_price"), F.col("peak_price")).cast("double"))
+    found = crossing.per_symbol(keyed, bars.select("symbol", "date", F.col("close").cast("double").alias("close")), _recovered(within_days), "recovery_date date, recovery_price double")
+    return found.withColumns({
+        "target_price": half_up(F.when(F.col("recovery_date").isNotNull(), F.col("_target")), 2),
         "days_from_trough": F.datediff("recovery_date", "trough_date"),
         "recovered": F.col("recovery_date").isNotNull(),
-    }).drop("target")
+    }).drop("_target")
 
 
 def scan_selloffs(bars, threshold=-20.0, window="all_time", condition=None, within_days=None, start=None, end=None, min_bars=10):

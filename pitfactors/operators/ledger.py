@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitfactors.functions import ranks
+from pitfactors.functions import crossing, ranks
 from pitfactors.functions.columns import by_symbol, ratio
 from pitfactors.functions.folds import ordered_fold
 from pitfactors.operators import asof, calendars
@@ -258,41 +260,57 @@ def execution_summary(quality: DataFrame, by: Sequence[str] = ("action",)) -> Da
 # ---------------------------------------------------------------- exit labels
 
 
+EXIT_REASONS = ("stop_loss", "take_profit", "time_stop", "fundamental_exit")  # fixed values, in order of precedence
+
+
+def _exits(stop_pct: float, take_pct: float | None, max_days: int, trail: tuple[float, float] | None):
+    def fn(entries: pa.Table, track: crossing.Track, bars: pa.Table) -> dict[str, pa.Array]:
+        price, day = crossing.doubles(entries.column("entry_price")), crossing.days_of(entries.column("entry_date"))
+        start, never = track.after(day), np.full(len(price), track.n)
+        gain = lambda close, q: (close - price[q]) / price[q] * 100
+        found = [track.first("min", start, lambda close, q: gain(close, q) <= stop_pct), never, track.at_or_after(day + max_days), never]
+        if trail is not None:
+            drop, least = 1 - trail[0] / 100, 1 + trail[1] / 100
+            falls = np.append(track.fall_from_peak(drop), track.n)
+            if trail[1] >= 0:  # armed by the first close above the gain, which is the highest so far
+                found[1] = falls[track.first("max", start, lambda close, q: close > price[q] * least)]
+            else:  # armed at once: the entry price is the peak until a higher close
+                higher = track.first("max", start, lambda close, q: close > price[q])
+                low = track.first("min", start, lambda close, q: close <= price[q] * drop)
+                found[1] = np.where(low < higher, low, falls[higher])
+        elif take_pct is not None:
+            found[1] = track.first("max", start, lambda close, q: gain(close, q) >= take_pct)
+        if "_exit" in bars.column_names:
+            flagged = np.append(np.flatnonzero(bars.column("_exit").fill_null(False).to_numpy()), track.n)
+            found[3] = flagged[np.searchsorted(flagged, start)] if track.n else never
+        found[2] = np.maximum(found[2], start)
+        at = np.min(found, axis=0)
+        rule = pa.array(np.argmin(found, axis=0), mask=at >= track.n)
+        close = np.append(track.close, np.nan)[at]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            pnl = np.where(at < track.n, (close - price) / price * 100, np.nan)
+        return {
+            "exit_date": crossing.taken(bars, "date", at), "exit_price": crossing.taken(bars, "close", at),
+            "pnl_pct": pa.array(pnl, from_pandas=True), "reason": pa.array(EXIT_REASONS).take(rule).fill_null("open"),
+        }
+
+    return fn
+
+
 def first_touch(entries: DataFrame, bars: DataFrame, stop_pct: float = -25.0, take_pct: float | None = 60.0, max_days: int = 365, trail: tuple[float, float] | None = None, exits: DataFrame | None = None) -> DataFrame:
     """Earliest exit per entry: stop, take-profit (or trailing peak), time stop, fundamental.
 
-    ``entries`` is ``(entry_id, symbol, entry_date, entry_price)``.  The time stop is the first
-    bar at or after its day, however late, and bounds the bars each entry is joined to; on
-    one day the order is stop, take, time, fundamental.
-    ``trail`` is ``(drop_pct, activate_gain_pct)``; ``exits`` is ``(symbol, date)``.
+    ``entries`` is ``(entry_id, symbol, entry_date, entry_price)`` with positive prices.  The time
+    stop is the first bar at or after its day, however late; on one day the order is stop,
+    take, time, fundamental.  ``trail`` is ``(drop_pct, activate_gain_pct)``; ``exits`` is
+    ``(symbol, date)``.  Each rule is looked up in its symbol's range minima and maxima, so
+    an entry costs the same at any holding time and no row is made for the bars between.
     """
-    days = bars.select("symbol", "date", "close")
-    if exits is not None:  # flagged on the bars, so the pairs are not shuffled for it
-        days = days.join(exits.select("symbol", "date").distinct().withColumn("_exit", F.lit(True)), ["symbol", "date"], "left")
-    due = entries.select("symbol", "entry_date").distinct().withColumn("_due", F.date_add("entry_date", max_days))
-    stops = asof.forward(due, bars.select("symbol", "date"), left_date="_due")
-    stops = stops.select("symbol", "entry_date", F.coalesce("next_date", "_due").alias("_limit"))
-    spans = entries.join(stops, ["symbol", "entry_date"])
-    j = asof.within(spans, days, "symbol", "entry_date", "_limit", "date").drop("_limit")
-    j = j.withColumn("gain", (F.col("close") - F.col("entry_price")) / F.col("entry_price") * 100)
-    rules = [F.when(F.col("gain") <= stop_pct, 1)]
-    if trail is not None:
-        w = Window.partitionBy("entry_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        j = j.withColumn("high", F.greatest(F.max("close").over(w), F.col("entry_price")))
-        armed = F.col("high") > F.col("entry_price") * (1 + trail[1] / 100)
-        rules.append(F.when(armed & (F.col("close") <= F.col("high") * (1 - trail[0] / 100)), 2))
-    elif take_pct is not None:
-        rules.append(F.when(F.col("gain") >= take_pct, 2))
-    rules.append(F.when(F.datediff("date", "entry_date") >= max_days, 3))
+    days = bars.select("symbol", "date", F.col("close").cast("double").alias("close"))
     if exits is not None:
-        rules.append(F.when(F.col("_exit"), 4))
-    # Plain columns under min_by keep this a hash aggregation with map-side combine.
-    found = j.withColumn("hit", F.coalesce(*rules)).filter(F.col("hit").isNotNull()).groupBy("entry_id").agg(
-        F.min("date").alias("exit_date"), F.min_by("close", "date").alias("exit_price"), F.min_by("gain", "date").alias("pnl_pct"),
-        F.min_by("hit", "date").alias("hit"))
-    hit = F.col("hit")
-    reason = F.when(hit == 1, "stop_loss").when(hit == 2, "take_profit").when(hit == 3, "time_stop").when(hit == 4, "fundamental_exit").otherwise("open")
-    return entries.join(found, "entry_id", "left").select(*entries.columns, "exit_date", "exit_price", "pnl_pct", reason.alias("reason"))
+        days = days.join(exits.select("symbol", "date").distinct().withColumn("_exit", F.lit(True)), ["symbol", "date"], "left")
+    out = crossing.per_symbol(entries, days, _exits(stop_pct, take_pct, max_days, trail), "exit_date date, exit_price double, pnl_pct double, reason string")
+    return out.select(*entries.columns, "exit_date", "exit_price", "pnl_pct", "reason")
 
 
 def after_cooldown(entries: DataFrame, stops: DataFrame, calendar: DataFrame, rows: int) -> DataFrame:

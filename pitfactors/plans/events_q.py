@@ -112,6 +112,13 @@ def e04(spark, sf):
     return E.recoveries(E.selloffs(b, -40.0), b, "+10% from bottom")
 
 
+@query("e03_recoveries_ever", f"SELECT * EXCLUDE (target) FROM ({_recovery('peak_price')})", EV + " recovery_price", RV)
+def e03b(spark, sf):
+    """The return to the peak, however late."""
+    b = A.bars(spark, sf)
+    return E.recoveries(E.selloffs(b, -40.0), b)
+
+
 @query("e10_scan_selloffs", f"SELECT * EXCLUDE (target) FROM ({_recovery('peak_price * 0.5', 90)}) WHERE recovered", EV + " recovery_price", RV)
 def e10(spark, sf):
     return E.scan_selloffs(A.bars(spark, sf), -40.0, condition="-50% from peak", within_days=90)
@@ -183,6 +190,12 @@ def e11(spark, sf):
     return E.scan_period_drops(A.bars(spark, sf), 21, -80.0, "1997-01-01", "1999-12-31")
 
 
+@query("e08_period_drops_recovery_ever", f"SELECT * EXCLUDE (target) FROM ({_recovery('trough_price * (1 + 50.0::DOUBLE / 100)')})", PEV + " recovery_price", PD)
+def e08b(spark, sf):
+    """Period drops with their recovery at any distance."""
+    return E.period_drops_with_recovery(A.bars(spark, sf), 21, -80.0, "+50% from bottom")
+
+
 @query("e12_scan_period_drops_recovery", PREC + " WHERE recovered", PEV + " recovery_price",
        {**PD, "nb": PD["nb"].replace("FROM bars", "FROM bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")})
 def e12(spark, sf):
