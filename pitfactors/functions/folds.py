@@ -1,38 +1,53 @@
-"""Ordered folds over keyed rows, streamed through each partition."""
+"""Recursions over keyed, dated rows as two-level compositions of maps, in Spark expressions.
+
+A row turns a state into the next one.  Rows are grouped by key and block of days; the maps
+of a block compose to one map, blocks are folded to the state each starts with, and every
+block then runs on its own from there.  A block holds at most ``BLOCK_DAYS`` rows and a key
+as many blocks as the calendar has, so a key is worked on in parallel and nothing grows with
+its number of rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, step: Callable, out: str) -> DataFrame:
-    """Run ``state, values = step(state, row)`` over each key's rows in order.
-
-    Rows are partitioned by key, sorted inside the partition and streamed in Arrow
-    batches; only the state of the current key is kept, so many small keys cost no more
-    than one long one.  ``out`` is the schema of the values that are added to the row.
-    """
-    names = [c.strip().split()[0] for c in out.split(",")]
-    schema = df.schema.jsonValue()
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    del schema
-    keys, order = list(keys), list(order)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            ids = list(zip(*[batch[k] for k in keys], strict=True))
-            values = []
-            for key, row in zip(ids, batch.itertuples(index=False), strict=True):
-                if key != current:
-                    current, state = key, start()
-                state, result = step(state, row)
-                values.append(result)
-            extra = pd.DataFrame(values, columns=names, index=batch.index)
-            yield pd.concat([batch, extra], axis=1)
-
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema=f"{base}, {out}")
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BLOCK_DAYS = 4096
+CHUNK = 64  # states that are appended one by one; longer runs are appended chunk by chunk
+
+
+def in_blocks(rows: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """One row per key and block: ``block`` and ``rows``, the block's rows in date order (one per key and date)."""
+    rest = [date, *[c for c in rows.columns if c not in (*keys, date)]]
+    block = F.floor(F.unix_date(date) / BLOCK_DAYS).alias("block")
+    return rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+
+
+def scan(items: str | Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """States after each item of a bounded array, beginning with ``step(start, first item)``."""
+    items = F.col(items) if isinstance(items, str) else items
+    none = F.filter(F.array(start), lambda _: F.lit(False))
+
+    def one(acc: Column, x: Column) -> Column:
+        after = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["all"], F.array(after)).alias("all"))
+
+    def many(acc: Column, chunk: Column) -> Column:
+        part = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("all")), one)
+        return F.struct(part["state"].alias("state"), F.concat(acc["all"], F.array(part["all"])).alias("all"))
+
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i <= last), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
+    runs = F.aggregate(chunks, F.struct(start.alias("state"), F.filter(F.array(none), lambda _: F.lit(False)).alias("all")), many)
+    return F.flatten(runs["all"])
+
+
+def block_starts(blocks: DataFrame, keys: Sequence[str], change: str, apply: Callable[[Column, Column], Column], start: Column, name: str) -> DataFrame:
+    """State before each block: (keys, block, name), from the composed map ``change`` of every block."""
+    line = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", F.col(change).alias("m")))).alias("line"))
+    ends = scan("line", start, lambda s, b: apply(b["m"], s))
+    befores = F.concat(F.array(start), ends)  # one longer than the line
+    pairs = F.arrays_zip(F.transform("line", lambda b: b["block"]).alias("block"), F.slice(befores, 1, F.size("line")).alias(name))
+    return line.select(*keys, F.inline(pairs))

@@ -14,9 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitfactors.functions import crossing, ranks
+from pitfactors.functions import crossing, folds, ranks
 from pitfactors.functions.columns import by_symbol, ratio
-from pitfactors.functions.folds import ordered_fold
 from pitfactors.operators import asof, calendars
 
 SHARE_EPS = 1e-3  # fixed value: a smaller position counts as flat
@@ -35,26 +34,70 @@ def daily_totals(trades: DataFrame) -> DataFrame:
         F.count_if(sell).alias("n_sells"))
 
 
-def _new_position():
-    return 0.0, 0.0
+def _then(first: Column, second: Column) -> Column:
+    """Composition of two share maps.
 
+    A map ``(over, plus, least)`` takes shares above ``over`` to themselves ``plus`` an amount, and
+    all others to ``least``.  Buys and sells are such maps, and so are their compositions.
+    """
+    return F.struct(
+        F.greatest(first["over"], second["over"] - first["plus"]).alias("over"), (first["plus"] + second["plus"]).alias("plus"),
+        F.when(first["least"] > second["over"], first["least"] + second["plus"]).otherwise(second["least"]).alias("least"),
+    )
+
+
+def _share_map(over: Column, plus: Column, least: Column) -> Column:
+    return F.struct(over.alias("over"), plus.alias("plus"), least.alias("least"))
+
+
+def _unchanged() -> Column:
+    return _share_map(F.lit(float("-inf")), F.lit(0.0), F.lit(0.0))
+
+
+def _day_map(day: Column) -> Column:
+    eps, bought, sold = F.lit(SHARE_EPS), day["buy_shares"], day["sell_shares"]
+    buy = F.when(bought > 0, _share_map(eps, bought, bought)).otherwise(_unchanged())
+    sell = F.when(day["n_sells"] > 0, _share_map(eps + sold, -sold, F.lit(0.0))).otherwise(_unchanged())
+    return _then(buy, sell)
 
-def _apply_day(state, row):
-    shares, cost = state
-    if row.buy_shares > 0:
-        if shares <= SHARE_EPS:
-            shares, cost = row.buy_shares, row.buy_cost
-        else:
-            shares, cost = shares + row.buy_shares, cost + row.buy_cost
-    if row.n_sells:
-        left = shares - row.sell_shares
-        shares, cost = (left, cost * left / shares) if left > SHARE_EPS else (0.0, 0.0)
-    return (shares, cost), (shares, cost)
+
+def _state(held, keep, add) -> Column:
+    return F.struct(held.alias("held"), keep.alias("keep"), add.alias("add"))
+
+
+def _after_day(s: Column, day: Column) -> Column:
+    """Shares after a day, and the cost as a map of the cost at the block's start: ``cost * keep + add``.
+
+    In a history's first block, which starts flat, ``add`` is the cost itself.
+    """
+    buys, sells, flat = day["buy_shares"] > 0, day["n_sells"] > 0, s["held"] <= SHARE_EPS
+    held = F.when(buys, F.when(flat, day["buy_shares"]).otherwise(s["held"] + day["buy_shares"])).otherwise(s["held"])
+    kept = F.when(buys & flat, 0.0).otherwise(s["keep"])
+    cost = F.when(buys, F.when(flat, day["buy_cost"]).otherwise(s["add"] + day["buy_cost"])).otherwise(s["add"])
+    left = held - day["sell_shares"]
+    open_ = left > SHARE_EPS
+    part = lambda x: F.when(sells, F.when(open_, x * left / held).otherwise(0.0)).otherwise(x)
+    return _state(F.when(sells, F.when(open_, left).otherwise(0.0)).otherwise(held), part(kept), part(cost))
 
 
 def position_states(trades: DataFrame) -> DataFrame:
-    """Shares and open cost after each trading day of a position (weighted-average cost)."""
-    return ordered_fold(daily_totals(trades), ["book", "symbol"], ["date"], _new_position, _apply_day, "held double, cost double")
+    """Daily totals with the shares held and their cost after the day.
+
+    Shares first, then cost: both are maps that compose, so a position is cut into blocks of
+    days that are worked on apart (see ``folds``).  A position of at most ``SHARE_EPS`` shares
+    is flat, and the next buy starts it anew.
+    """
+    keys = ["book", "symbol"]
+    cut, zero = folds.in_blocks(daily_totals(trades), keys), F.lit(0.0)
+    shares = cut.select(*keys, "block", F.aggregate("rows", _unchanged(), lambda m, d: _then(m, _day_map(d))).alias("change"))
+    held = folds.block_starts(shares, keys, "change", lambda m, x: F.when(x > m["over"], x + m["plus"]).otherwise(m["least"]), zero, "before")
+    run = cut.join(held, [*keys, "block"])
+    run = run.withColumn("states", folds.scan("rows", _state(F.col("before"), F.lit(1.0), zero), _after_day))
+    run = run.select(*keys, "block", "rows", "states", F.element_at("states", -1).alias("change"))
+    cost = folds.block_starts(run.select(*keys, "block", "change"), keys, "change", lambda m, x: x * m["keep"] + m["add"], zero, "paid")
+    days = F.zip_with("rows", "states", lambda d, s: F.struct("paid", d.alias("d"), s.alias("s")))
+    out = run.join(cost, [*keys, "block"]).select(*keys, F.inline(days))
+    return out.select(*keys, "d.*", "s.held", (F.col("paid") * F.col("s.keep") + F.col("s.add")).alias("cost"))
 
 
 def positions(trades: DataFrame, marks: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Rows at the edges: NULL key parts, total losses, names without a sector."""
 
+import random
 import time
 
+import pytest
+
+from pitfactors.functions import folds
 from pitfactors.operators import evaluation, ledger, nav
 from pitfactors.sources import documents, sinks
+from tests.conftest import day
 
 
 def test_history_keeps_rows_with_a_null_key_part(spark):
@@ -70,3 +75,36 @@ def test_universe_detail_keeps_all_symbols(spark):
     df = spark.sql("SELECT named_struct('universe', named_struct('type', 'symbols', 'sector', CAST(NULL AS string), 'symbols', array(" + ",".join(f"'{n}'" for n in names) + "))) AS config")
     assert df.select(documents.universe_detail().alias("d")).first().d == ",".join(names)
     assert df.select(documents.universe_detail(2).alias("d")).first().d == "S0,S1"
+
+
+def test_positions_compose_over_blocks(spark, monkeypatch):
+    def walk(days):
+        held = cost = 0.0
+        for bought, paid, sold, n in days:
+            if bought > 0:
+                held, cost = (bought, paid) if held <= ledger.SHARE_EPS else (held + bought, cost + paid)
+            if n:
+                left = held - sold
+                held, cost = (left, cost * left / held) if left > ledger.SHARE_EPS else (0.0, 0.0)
+            yield held, cost
+
+    r = random.Random(6)
+    rows, want = [], {}
+    for symbol in ("A", "B", "C"):
+        days = []
+        for i in sorted(r.sample(range(900), 150)):
+            trades = [(action, r.choice([1.0, 2.5, 7.0, 0.0005, 40.0]), r.randrange(100, 9000)) for action in r.choice([["BUY"], ["BUY"], ["SELL"], ["BUY", "SELL"], ["SELL", "SELL"]])]
+            rows += [(1, symbol, day(i), a, n, cents, 10) for a, n, cents in trades]
+            total = lambda a, k: sum(t[k] for t in trades if t[0] == a)  # noqa: E731, B023
+            days.append((i, (total("BUY", 1), total("BUY", 2) / 100, total("SELL", 1), sum(t[0] == "SELL" for t in trades))))
+        for (i, _), state in zip(days, walk([d for _, d in days])):
+            want[symbol, day(i)] = state
+    trades = spark.createDataFrame(rows, "book int, symbol string, date date, action string, shares double, amount_cents long, pnl_units long").repartition(3)
+    for size, chunk in ((4096, 64), (30, 4), (1, 1)):
+        monkeypatch.setattr(folds, "BLOCK_DAYS", size)
+        monkeypatch.setattr(folds, "CHUNK", chunk)
+        states = ledger.position_states(trades)
+        assert "Python" not in states._jdf.queryExecution().executedPlan().toString()
+        got = {(x.symbol, x.date): (x.held, x.cost) for x in states.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+    assert ledger.position_states(trades.filter("false")).count() == 0
