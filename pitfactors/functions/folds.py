@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DAYS = 4096
@@ -19,35 +19,37 @@ CHUNK = 64  # states that are appended one by one; longer runs are appended chun
 
 
 def in_blocks(rows: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """One row per key and block: ``block`` and ``rows``, the block's rows in date order (one per key and date)."""
+    """One row per key and block: ``block``, ``next`` (the key's following block, if any) and ``rows``, in date order (one per key and date)."""
     rest = [date, *[c for c in rows.columns if c not in (*keys, date)]]
     block = F.floor(F.unix_date(date) / BLOCK_DAYS).alias("block")
-    return rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+    cut = rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+    return cut.withColumn("next", F.lead("block").over(Window.partitionBy(*keys).orderBy("block")))
 
 
-def scan(items: str | Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """States after each item of a bounded array, beginning with ``step(start, first item)``."""
-    items = F.col(items) if isinstance(items, str) else items
-    none = F.filter(F.array(start), lambda _: F.lit(False))
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def one(acc: Column, x: Column) -> Column:
-        after = step(acc["state"], x)
-        return F.struct(after.alias("state"), F.concat(acc["all"], F.array(after)).alias("all"))
 
-    def many(acc: Column, chunk: Column) -> Column:
-        part = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("all")), one)
-        return F.struct(part["state"].alias("state"), F.concat(acc["all"], F.array(part["all"])).alias("all"))
+def scan(items: str, start: str, step: Callable[[str, str], str]) -> str:
+    """SQL of the states after each item of a bounded array, beginning with ``step(start, first item)``."""
+    none = f"filter(array({start}), none_ -> false)"
+    add = lambda all_, new: f"named_struct('state', {new}.state, 'all', concat({all_}, array({new}.all)))"
+    one = let(step("one_.state", "item_"), "new_", "named_struct('state', new_, 'all', concat(one_.all, array(new_)))")
+    chunk = f"aggregate(chunk_, named_struct('state', many_.state, 'all', {none}), (one_, item_) -> {one})"
+    many = let(chunk, "part_", add("many_.all", "part_"))
+    # an empty array has no chunk
+    chunks = f"transform(filter(sequence(0, greatest(0, (size({items}) - 1) div {CHUNK})), i_ -> i_ * {CHUNK} < size({items})), i_ -> slice({items}, cast(i_ * {CHUNK} + 1 AS int), {CHUNK}))"
+    return f"flatten(aggregate({chunks}, named_struct('state', {start}, 'all', filter(array({none}), none_ -> false)), (many_, chunk_) -> {many}).all)"
 
-    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
-    chunks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i <= last), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
-    runs = F.aggregate(chunks, F.struct(start.alias("state"), F.filter(F.array(none), lambda _: F.lit(False)).alias("all")), many)
-    return F.flatten(runs["all"])
 
+def block_starts(blocks: DataFrame, keys: Sequence[str], change: str, apply: Callable[[str, str], str], start: str, name: str) -> DataFrame:
+    """State before each later block: (keys, block, name).
 
-def block_starts(blocks: DataFrame, keys: Sequence[str], change: str, apply: Callable[[Column, Column], Column], start: Column, name: str) -> DataFrame:
-    """State before each block: (keys, block, name), from the composed map ``change`` of every block."""
-    line = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", F.col(change).alias("m")))).alias("line"))
-    ends = scan("line", start, lambda s, b: apply(b["m"], s))
-    befores = F.concat(F.array(start), ends)  # one longer than the line
-    pairs = F.arrays_zip(F.transform("line", lambda b: b["block"]).alias("block"), F.slice(befores, 1, F.size("line")).alias(name))
+    ``blocks`` are those that others follow, with ``change``, the composed map of a block; a
+    key's first block begins with ``start`` and is not listed.
+    """
+    line = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "next", F.col(change).alias("m")))).alias("line"))
+    states = F.expr(scan("line", start, lambda s, b: apply(f"{b}.m", s)))
+    pairs = F.arrays_zip(F.transform("line", lambda b: b["next"]).alias("block"), states.alias(name))
     return line.select(*keys, F.inline(pairs))

@@ -489,25 +489,28 @@ def combination_verdict(oos, equal, inside) -> str:
 def signal_portfolio(entries: DataFrame, bars: DataFrame, hold: int, by: Sequence[str] = ()) -> DataFrame:
     """Daily return of equal-weighted open entries, each held ``hold`` days from the next day.
 
-    A dense (symbol, calendar date) grid turns holding counts into one trailing sum.
-    ``by`` names portfolios in ``entries`` that are evaluated together.
+    An entry is two change points of its symbol's number of open entries; the running sum of
+    these meets the symbol's bars, so rows grow with entries and bars and not with the
+    calendar.  ``by`` names portfolios in ``entries`` that are evaluated together.
     """
     by = list(by)
-    used = entries.select(*by, "symbol").distinct()
-    counts = entries.groupBy(*by, "symbol", "date").agg(F.count(F.lit(1)).alias("opened"))
-    grid = used.select(*by, "symbol", F.posexplode(calendars.date_array(bars)).alias("idx", "date"))
-    prices = bars.select("symbol", "date", "close")
-    grid = grid.join(counts, [*by, "symbol", "date"], "left").join(prices, ["symbol", "date"], "left")
-    w = Window.partitionBy(*by, "symbol").orderBy("idx")
-    prev = F.lag("close").over(w)
-    grid = grid.select(
-        *by, "date", "idx", F.coalesce(F.sum("opened").over(w.rowsBetween(-hold, -1)), F.lit(0)).alias("open"),
-        F.when(prev > 0, (F.col("close") - prev) / prev).alias("ret"))
-    live = F.when(F.col("ret").isNotNull(), F.col("open"))
-    out = grid.filter(F.col("idx") > 0).groupBy(*by, "date").agg(
-        F.coalesce(ratio(F.sum(live * F.col("ret")), F.sum(live).cast("double")), F.lit(0.0)).alias("ret"),
-        F.coalesce(F.sum(live), F.lit(0)).alias("positions"))
-    return out
+    cal = calendars.calendar(bars)
+    opened = entries.groupBy(*by, "symbol", "date").agg(F.count(F.lit(1)).alias("n")).join(cal, "date")
+    points = F.array(*[F.struct((F.col("idx") + after).alias("idx"), (F.col("n") * sign).alias("n")) for after, sign in ((1, 1), (hold + 1, -1))])
+    points = opened.select(*by, "symbol", F.inline(points)).withColumn("ret", F.lit(None).cast("double"))
+    path = Window.partitionBy("symbol").orderBy("idx")
+    prev = F.when(F.lag("idx").over(path) == F.col("idx") - 1, F.lag("close").over(path))  # the day before, or none
+    moves = bars.join(cal, "date").select("symbol", "idx", F.when(prev > 0, (F.col("close") - prev) / prev).alias("ret")).filter(F.col("ret").isNotNull())
+    used = opened.select(*by, "symbol").distinct()
+    moves = moves.join(used, "symbol").select(*by, "symbol", "idx", F.lit(0).cast("long").alias("n"), "ret")
+    w = Window.partitionBy(*by, "symbol").orderBy("idx", F.col("ret").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    live = points.unionByName(moves).withColumn("open", F.sum("n").over(w)).filter(F.col("ret").isNotNull() & (F.col("open") > 0))
+    day = live.groupBy(*by, "idx").agg(F.sum(F.col("open") * F.col("ret")).alias("gain"), F.sum("open").alias("positions")).join(cal, "idx").drop("idx")
+    named = entries.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").drop("_n")  # portfolios with entries get every day
+    days = calendars.date_array(bars)
+    dates = named.select(*by, F.explode(F.slice(days, 2, F.size(days))).alias("date"))
+    out = dates.join(day, [*by, "date"], "left")
+    return out.select(*by, "date", F.coalesce(ratio(F.col("gain"), F.col("positions").cast("double")), F.lit(0.0)).alias("ret"), F.coalesce("positions", F.lit(0)).cast("long").alias("positions"))
 
 
 def event_returns(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:

@@ -34,70 +34,64 @@ def daily_totals(trades: DataFrame) -> DataFrame:
         F.count_if(sell).alias("n_sells"))
 
 
-def _then(first: Column, second: Column) -> Column:
-    """Composition of two share maps.
+# A day's trades as maps, in SQL text so that the expressions are built in one step.
+#
+# A share map ``(over, plus, least)`` takes shares above ``over`` to themselves ``plus`` an amount,
+# and all others to ``least``.  Buys and sells are such maps, and so are their compositions.
 
-    A map ``(over, plus, least)`` takes shares above ``over`` to themselves ``plus`` an amount, and
-    all others to ``least``.  Buys and sells are such maps, and so are their compositions.
-    """
-    return F.struct(
-        F.greatest(first["over"], second["over"] - first["plus"]).alias("over"), (first["plus"] + second["plus"]).alias("plus"),
-        F.when(first["least"] > second["over"], first["least"] + second["plus"]).otherwise(second["least"]).alias("least"),
-    )
-
-
-def _share_map(over: Column, plus: Column, least: Column) -> Column:
-    return F.struct(over.alias("over"), plus.alias("plus"), least.alias("least"))
-
-
-def _unchanged() -> Column:
-    return _share_map(F.lit(float("-inf")), F.lit(0.0), F.lit(0.0))
+_UNCHANGED = "named_struct('over', double('-inf'), 'plus', 0D, 'least', 0D)"
 
 
-def _day_map(day: Column) -> Column:
-    eps, bought, sold = F.lit(SHARE_EPS), day["buy_shares"], day["sell_shares"]
-    buy = F.when(bought > 0, _share_map(eps, bought, bought)).otherwise(_unchanged())
-    sell = F.when(day["n_sells"] > 0, _share_map(eps + sold, -sold, F.lit(0.0))).otherwise(_unchanged())
-    return _then(buy, sell)
+def _then(first: str, second: str) -> str:
+    return (
+        f"named_struct('over', greatest({first}.over, {second}.over - {first}.plus), 'plus', {first}.plus + {second}.plus, "
+        f"'least', if({first}.least > {second}.over, {first}.least + {second}.plus, {second}.least))"
+    )
 
 
-def _state(held, keep, add) -> Column:
-    return F.struct(held.alias("held"), keep.alias("keep"), add.alias("add"))
+def _day_map(m: str, day: str) -> str:
+    """The map ``m`` followed by a day: its buys, then its sells."""
+    buy = f"if({day}.buy_shares > 0, named_struct('over', {SHARE_EPS}D, 'plus', {day}.buy_shares, 'least', {day}.buy_shares), {_UNCHANGED})"
+    sell = f"if({day}.n_sells > 0, named_struct('over', {SHARE_EPS}D + {day}.sell_shares, 'plus', -{day}.sell_shares, 'least', 0D), {_UNCHANGED})"
+    return folds.let(buy, "b_", folds.let(_then(m, "b_"), "m_", folds.let(sell, "s_", _then("m_", "s_"))))
 
 
-def _after_day(s: Column, day: Column) -> Column:
+def _after_day(s: str, day: str) -> str:
     """Shares after a day, and the cost as a map of the cost at the block's start: ``cost * keep + add``.
 
     In a history's first block, which starts flat, ``add`` is the cost itself.
     """
-    buys, sells, flat = day["buy_shares"] > 0, day["n_sells"] > 0, s["held"] <= SHARE_EPS
-    held = F.when(buys, F.when(flat, day["buy_shares"]).otherwise(s["held"] + day["buy_shares"])).otherwise(s["held"])
-    kept = F.when(buys & flat, 0.0).otherwise(s["keep"])
-    cost = F.when(buys, F.when(flat, day["buy_cost"]).otherwise(s["add"] + day["buy_cost"])).otherwise(s["add"])
-    left = held - day["sell_shares"]
-    open_ = left > SHARE_EPS
-    part = lambda x: F.when(sells, F.when(open_, x * left / held).otherwise(0.0)).otherwise(x)
-    return _state(F.when(sells, F.when(open_, left).otherwise(0.0)).otherwise(held), part(kept), part(cost))
+    flat = f"{s}.held <= {SHARE_EPS}D"
+    bought = (
+        f"if({day}.buy_shares > 0, if({flat}, named_struct('held', {day}.buy_shares, 'keep', 0D, 'add', {day}.buy_cost), "
+        f"named_struct('held', {s}.held + {day}.buy_shares, 'keep', {s}.keep, 'add', {s}.add + {day}.buy_cost)), {s})"
+    )
+    part = "named_struct('held', left_, 'keep', b_.keep * left_ / b_.held, 'add', b_.add * left_ / b_.held)"
+    sold = folds.let(f"b_.held - {day}.sell_shares", "left_", f"if(left_ > {SHARE_EPS}D, {part}, named_struct('held', 0D, 'keep', 0D, 'add', 0D))")
+    return folds.let(bought, "b_", f"if({day}.n_sells > 0, {sold}, b_)")
 
 
 def position_states(trades: DataFrame) -> DataFrame:
     """Daily totals with the shares held and their cost after the day.
 
-    Shares first, then cost: both are maps that compose, so a position is cut into blocks of
-    days that are worked on apart (see ``folds``).  A position of at most ``SHARE_EPS`` shares
-    is flat, and the next buy starts it anew.
+    Shares first, then cost: both are maps that compose, so a long history is cut into blocks
+    of days that are worked on apart (see ``folds``).  A position of at most ``SHARE_EPS``
+    shares is flat, and the next buy starts it anew.
     """
     keys = ["book", "symbol"]
-    cut, zero = folds.in_blocks(daily_totals(trades), keys), F.lit(0.0)
-    shares = cut.select(*keys, "block", F.aggregate("rows", _unchanged(), lambda m, d: _then(m, _day_map(d))).alias("change"))
-    held = folds.block_starts(shares, keys, "change", lambda m, x: F.when(x > m["over"], x + m["plus"]).otherwise(m["least"]), zero, "before")
-    run = cut.join(held, [*keys, "block"])
-    run = run.withColumn("states", folds.scan("rows", _state(F.col("before"), F.lit(1.0), zero), _after_day))
-    run = run.select(*keys, "block", "rows", "states", F.element_at("states", -1).alias("change"))
-    cost = folds.block_starts(run.select(*keys, "block", "change"), keys, "change", lambda m, x: x * m["keep"] + m["add"], zero, "paid")
-    days = F.zip_with("rows", "states", lambda d, s: F.struct("paid", d.alias("d"), s.alias("s")))
-    out = run.join(cost, [*keys, "block"]).select(*keys, F.inline(days))
-    return out.select(*keys, "d.*", "s.held", (F.col("paid") * F.col("s.keep") + F.col("s.add")).alias("cost"))
+    cut = folds.in_blocks(daily_totals(trades), keys)
+    early = cut.filter(F.col("next").isNotNull())  # blocks that others follow
+    maps = early.select(*keys, "block", "next", F.expr(f"aggregate(rows, {_UNCHANGED}, (acc_, d_) -> {_day_map('acc_', 'd_')})").alias("change"))
+    held = folds.block_starts(maps, keys, "change", lambda m, x: f"if({x} > {m}.over, {x} + {m}.plus, {m}.least)", "0D", "before")
+    states = F.expr(folds.scan("rows", "named_struct('held', coalesce(before, 0D), 'keep', 1D, 'add', 0D)", _after_day))
+
+    def run(blocks: DataFrame, *columns: str) -> DataFrame:
+        return blocks.join(held, [*keys, "block"], "left").select(*keys, *columns, states.alias("states"))
+
+    maps = run(early, "block", "next").withColumn("change", F.element_at("states", -1)).drop("states")
+    cost = folds.block_starts(maps, keys, "change", lambda m, x: f"{x} * {m}.keep + {m}.add", "0D", "paid")
+    out = run(cut, "block", "rows").join(cost, [*keys, "block"], "left").select(*keys, "paid", F.inline(F.arrays_zip("rows", "states")))
+    return out.select(*keys, "rows.*", "states.held", (F.coalesce("paid", F.lit(0.0)) * F.col("states.keep") + F.col("states.add")).alias("cost"))
 
 
 def positions(trades: DataFrame, marks: DataFrame) -> DataFrame:
