@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pitfactors.functions import ranks, scale
 from pitfactors.functions.columns import between_dates, by_symbol, names, ratio
-from pitfactors.operators import asof, calendars
+from pitfactors.operators import asof, calendars, nav
 
 
 def correlation(a: str | Column, b: str | Column) -> Column:
@@ -269,6 +269,38 @@ def factor_cards(panel: DataFrame, horizons: Sequence[int], buckets: int = 5, st
     return out.join(t, keys, "left").join(s, keys, "left")
 
 
+def whole_cards(panel: DataFrame, labels: DataFrame, n_sectors: int, horizons: Sequence[int], categories: dict[str, str], buckets: int = 5, step: int = 21, min_names: int = 10, k: int = 5) -> DataFrame:
+    """One row per feature and horizon with everything a factor card shows.
+
+    ``panel`` is ``(symbol, date, feature, value, sector, market_cap)``, ``labels`` ``(symbol, date, h,
+    fwd)``.  Beside the blocks of ``factor_cards``: the IC of the values neutral to sector and
+    size (``neutral_*``), the turnover of the top bucket between rebalancing dates, the ``k``
+    features most correlated in rank, and the share of those in the feature's own category.
+    """
+    keys = ["feature", "h"]
+    ok = panel.filter(F.col("value").isNotNull())
+    cards = factor_cards(ok.select("symbol", "date", "feature", "value").join(labels, ["symbol", "date"]), horizons, buckets, step, min_names)
+    flat = neutralise(ok, n_sectors, ["feature", "date"]).select("symbol", "date", "feature", "neutral").join(labels, ["symbol", "date"])
+    ic = rank_ic(flat, [*keys, "date"], "neutral", min_names=min_names)
+    tests = None
+    for h in horizons:
+        one = newey_west(ic.filter(F.col("h") == h), keys, overlap_lags(h, step))
+        tests = one if tests is None else tests.unionByName(one)
+    block = ic_summary(ic, keys).join(tests, keys, "left")
+    block = block.select(*keys, *[F.col(c).alias(f"neutral_{c}") for c in block.columns if c not in keys])
+    names_ = sorted(categories)
+    wide = ok.groupBy("symbol", "date").pivot("feature", names_).agg(F.first("value"))
+    near = neighbours(factor_rank_correlation(wide, names_, min_names), k)
+    category = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])
+    near = near.groupBy("feature").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("_near"),
+        F.avg((category[F.col("neighbour")] == category[F.col("feature")]).cast("double")).alias("category_agreement"))
+    near = near.select("feature", F.array_join("_near", ",").alias("neighbours"), "category_agreement")
+    turnover = top_turnover(ok, ok.select("date"), ["feature"], buckets)
+    out = cards.join(block, keys, "left").join(turnover, "feature", "left").join(near, "feature", "left")
+    return out.withColumn("category", F.coalesce(category[F.col("feature")], F.lit("unknown")))
+
+
 def daily_factor_spreads(panel: DataFrame, profiles: DataFrame, directions: dict[str, int], min_all: int = 50, min_sector: int = 20, buckets: int = 5) -> DataFrame:
     """Daily top-bottom spread in percentage points per factor and universe.
 
@@ -376,19 +408,18 @@ OFF_DIAGONAL, RIDGE = 0.8, 1e-4  # fixed values: damping of covariances, added t
 def solve_weights(ic: np.ndarray, cov: np.ndarray, method: str = "ic_optimal", shrinkage: float = 0.3) -> np.ndarray:
     """Non-negative weights that sum to one (a k-by-k solve on the driver).
 
-    Each method is the least-squares answer to its own penalised system; what it leaves
-    positive is spread over ``1 - shrinkage``, the rest is shared equally.
+    What a method leaves positive is spread over ``1 - shrinkage``, the rest is shared equally.
     """
     k = len(ic)
-    own = np.eye(k)
-    systems = {
-        "equal": (own, np.ones(k)),
-        "ic_weighted": (own, ic),
-        "ic_optimal": (cov * (OFF_DIAGONAL + (1 - OFF_DIAGONAL) * own) + RIDGE * own, ic),
-    }
-    if method not in systems:
+    if method == "equal":
+        return np.full(k, 1 / k)
+    if method == "ic_weighted":
+        gain = np.maximum(ic, 0)
+    elif method == "ic_optimal":
+        own = np.eye(k)
+        gain = np.maximum(np.linalg.solve(cov * (OFF_DIAGONAL + (1 - OFF_DIAGONAL) * own) + RIDGE * own, ic), 0)
+    else:
         raise ValueError(f"unknown method {method!r}")
-    gain = np.maximum(np.linalg.solve(*systems[method]), 0)
     earned = gain / gain.sum() if gain.any() else np.full(k, 1 / k)
     return shrinkage / k + (1 - shrinkage) * earned
 
@@ -513,6 +544,33 @@ def signal_portfolio(entries: DataFrame, bars: DataFrame, hold: int, by: Sequenc
     return out.select(*by, "date", F.coalesce(ratio(F.col("gain"), F.col("positions").cast("double")), F.lit(0.0)).alias("ret"), F.coalesce("positions", F.lit(0)).cast("long").alias("positions"))
 
 
+def signal_metrics(entries: DataFrame, bars: DataFrame, hold: int, market: DataFrame, sector: DataFrame | None = None, risk_free_pct: float = 0.0) -> DataFrame:
+    """The metric block of a signal's portfolio, with its excess return over market and sector.
+
+    ``market`` and ``sector`` are ``(date, close)``; a day that lacks a price, or whose day before
+    on the calendar does, counts as zero.  All
+    series are one aggregation over the same days, annualised alike; the drawdown is taken in
+    logs, so it holds for any growth, and is total from a total loss on.
+    """
+    own = signal_portfolio(entries, bars, hold).select("date", F.lit("signal").alias("series_id"), "ret")
+    series = own
+    for name, prices in (("market", market), ("sector", sector)):
+        if prices is not None:
+            line = calendars.calendar(bars).join(prices.select("date", "close"), "date", "left")
+            prev = F.lag("close").over(Window.orderBy("idx"))  # one row per date
+            moves = line.select("date", "idx", F.lit(name).alias("series_id"), F.coalesce(F.when(prev > 0, (F.col("close") - prev) / prev), F.lit(0.0)).alias("ret"))
+            series = series.unionByName(moves.filter("idx > 1").drop("idx"))
+    stats = nav.return_stats(series, risk_free_pct)
+    path = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    grown = own.withColumns({"lost": F.min("ret").over(path) <= -1, "log": F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).over(path)})
+    under = F.when(F.col("lost"), -1.0).otherwise(F.expm1(F.col("log") - F.greatest(F.max("log").over(path), F.lit(0.0))))
+    low = grown.select(under.alias("dd")).agg((F.min("dd") * 100).alias("max_drawdown_pct"))
+    annual = lambda name: F.max(F.when(F.col("series_id") == name, F.col("ann_return_pct")))
+    alphas = stats.agg((annual("signal") - annual("market")).alias("alpha_vs_market_pct"), (annual("signal") - annual("sector")).alias("alpha_vs_sector_pct"))
+    one = lambda df: df.withColumn("series_id", F.lit("signal"))
+    return stats.filter("series_id = 'signal'").join(one(low), "series_id").join(one(alphas), "series_id").drop("series_id")
+
+
 def event_returns(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     """Entries with their forward return on the union calendar."""
     fwd = forward_returns_calendar(bars, [horizon]).drop("h")

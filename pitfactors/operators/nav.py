@@ -55,11 +55,11 @@ def return_stats(returns: DataFrame, risk_free_pct: float | Column = 0.0, by: Se
     rf = F.lit(float(risk_free_pct)) if not isinstance(risk_free_pct, Column) else risk_free_pct
     short = F.least(F.col("ret") - rf / 100 / YEAR, F.lit(0.0))
     a = returns.filter(F.col("ret").isNotNull()).groupBy(*by).agg(
-        F.count("ret").alias("n"), F.when(F.min("ret") <= -1, 0.0).otherwise(F.exp(F.sum(F.log1p("ret")))).alias("growth"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"),
+        F.count("ret").alias("n"), F.when(F.min("ret") > -1, F.sum(F.log1p("ret"))).alias("log"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"),
         F.sqrt(F.avg(short * short)).alias("down"))
     n_nav = F.col("n") + 1
-    annual = _annual(F.col("growth"), n_nav)
-    total = (F.col("growth") - 1) * 100
+    annual = F.when(n_nav >= MIN_ROWS, F.expm1(F.col("log") * float(YEAR) / n_nav) * 100)  # from logs: growth itself may overflow
+    total = F.when(F.col("log").isNull(), -100.0).otherwise(F.expm1("log") * 100)
     vol = F.col("sd") * math.sqrt(YEAR) * 100
     ok = annual.isNotNull()
     sharpe_ann = F.when(ok, F.coalesce(ratio(annual - rf, vol), F.lit(0.0)))
