@@ -214,21 +214,39 @@ def period_drops(bars: DataFrame, n: int = 5, threshold: float = -10.0) -> DataF
     return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, schema=_DROP_SCHEMA)
 
 
+def anchored(hits: DataFrame, n: int) -> DataFrame:
+    """``(symbol, idx, anchor)`` of the distinct hits ``(symbol, idx)``.
+
+    The first hit of a symbol is an anchor, and so is each first hit more than ``n`` rows
+    behind the anchor before.  Every hit points at the hit that would be the next anchor if
+    it were one itself; following the pointers from the first hit with steps that double
+    finds all anchors in as many rounds as their number has binary digits.  A symbol's hits
+    are bounded by its bars.
+    """
+    ahead = Window.partitionBy("symbol").orderBy("idx").rangeBetween(Window.unboundedPreceding, n)
+    pointed = hits.distinct().withColumn("next", (F.count(F.lit(1)).over(ahead) + 1).cast("int"))  # a place, from 1
+    lists = pointed.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("idx", "next"))).alias("t"))
+    end = F.size("t") + 1
+    first = F.struct(F.array(F.lit(1)).alias("found"), F.concat(F.col("t.next"), F.array(end)).alias("jump"))
+
+    def doubled(s, _):
+        follow = lambda places: F.transform(places, lambda i: F.element_at(s["jump"], i))
+        return F.struct(F.array_union(s["found"], follow(s["found"])).alias("found"), follow(s["jump"]).alias("jump"))
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size("t"))))
+    found = F.filter(F.aggregate(rounds, first, doubled)["found"], lambda i: i < end)
+    hit = lambda i: F.element_at("t", i)
+    clusters = F.transform(found, lambda i: F.struct(hit(i)["idx"].alias("anchor"), F.slice(F.col("t.idx"), i, hit(i)["next"] - i).alias("members")))
+    return lists.select("symbol", F.inline(clusters)).select("symbol", F.explode("members").alias("idx"), "anchor")
+
+
 def period_drop_events(raw: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Cluster raw drops whose troughs lie within ``n`` rows of the cluster's first trough."""
     index = bars.select("symbol", F.col("date").alias("trough_date"), F.row_number().over(by_symbol()).alias("idx"))
     placed = raw.join(index, ["symbol", "trough_date"])
-    # Anchors are found on the distinct trough rows of a symbol: bounded by its bars.
-    troughs = placed.groupBy("symbol").agg(F.sort_array(F.collect_set("idx")).alias("t"))
-    anchors = F.aggregate(
-        "t", F.array().cast("array<int>"),
-        lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > n), F.concat(a, F.array(x))).otherwise(a),
-    )
-    placed = placed.join(troughs.select("symbol", anchors.alias("anchors")), "symbol")
-    anchor = F.element_at(F.filter("anchors", lambda a: a <= F.col("idx")), -1)
     worst = F.struct("drawdown_pct", "trough_date", "signal_date")
     return (
-        placed.withColumn("anchor", anchor)
+        placed.join(anchored(placed.select("symbol", "idx"), n), ["symbol", "idx"])
         .groupBy("symbol", "anchor")
         .agg(
             *[F.min_by(c, worst).alias(c) for c in ("peak_date", "peak_price", "trough_date", "trough_price")],

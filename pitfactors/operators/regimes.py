@@ -133,6 +133,17 @@ def stateful(wide: DataFrame, regimes: Sequence[Regime]) -> DataFrame:
     return rule_flags(wide, regimes).groupBy("regime").applyInPandas(_walk, schema=STATE_SCHEMA)
 
 
+def carried(flags: DataFrame) -> DataFrame:
+    """``(regime, phase, run, days, seen)``: the machine's state after the last day of ``rule_flags``, for a stream to go on from."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = (0, 0, 0)
+        for row in pdf.sort_values("date").itertuples(index=False):
+            state, _ = step(state, row.entry, row.leave, row.hold, row.need_in, row.need_out)
+        return pd.DataFrame([(pdf["regime"].iloc[0], *state, pdf["date"].max())], columns=["regime", "phase", "run", "days", "seen"])
+
+    return flags.groupBy("regime").applyInPandas(run, schema="regime string, phase int, run int, days int, seen date")
+
+
 def persistence_stats(states: DataFrame) -> DataFrame:
     return states.groupBy("regime").agg(
         F.count_if("entry").alias("raw_entry_met_days"), F.count_if("active").alias("active_days"), F.count_if("activated").alias("n_activations"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pitfactors.functions import scale
 from pitfactors.operators import ledger as L
 from pitfactors.operators import regimes as R
+from pitfactors.operators import features as X
+from pitfactors.plans import features_q as FQ
 from pitfactors.plans import regimes_q as RQ
 from pitfactors.plans.catalogue import query
 from pitfactors.sources import adapters as A
@@ -256,6 +258,26 @@ def st2(spark, sf):
     return spark.read.parquet(out).select("symbol", "date", "mean_price")
 
 
+CARRIED = ["pe", "roe", "ret_12m", "realized_vol_252", "drawdown_alltime"]
+_CARRIED = " JOIN ".join(f"(SELECT symbol, date, value AS {n} FROM ({FQ.ORACLE[n]}))" + ("" if i == 0 else " USING (symbol, date)") for i, n in enumerate(CARRIED))
+
+
+@query("st2_carried_panel", f"SELECT * FROM {_CARRIED}", " ".join(CARRIED), FQ.VIEWS)
+def st2_carried(spark, sf):
+    """The panel kept by three runs of a stream, each from the carried tail of the one before."""
+    out, feed, state, check = (workspace(spark, n) for n in ("st2c", "st2c-feed", "st2c-state", "st2c-check"))
+    b, income = A.bars(spark, sf), A.income(spark, sf)
+    facts = income, A.balance(income), A.cashflow(income), A.earnings(income), A.grades(spark, sf)
+    first, last = b.agg(F.min("date"), F.max("date")).first()
+    third = (last - first) / 3
+    for lo, hi in ((first, first + third), (first + third, last - third), (last - third, last)):
+        part = F.col("date") > F.lit(lo) if lo > first else F.lit(True)
+        b.filter(part & (F.col("date") <= F.lit(hi))).write.mode("append").parquet(feed)
+        stream = J.files(spark, feed, b.schema)
+        J.carried_refresh(stream, check, lambda bars: X.panel(bars, *facts, CARRIED), out, state).start().awaitTermination()
+    return spark.read.parquet(out).select("symbol", "date", *CARRIED)
+
+
 @query("st3_score_append", "SELECT symbol, date, max(price) AS score FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, value AS price FROM events) GROUP BY 1, 2", "score")
 def st3(spark, sf):
     out, check = workspace(spark, "st3"), workspace(spark, "st3-check")
@@ -282,6 +304,19 @@ def st5(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("st5_regime_stream_resumed", "SELECT regime, date, active FROM rs", views=RQ.RV)
+def st5_resumed(spark, sf):
+    """The first half of the calendar as a batch, the rest as a stream that starts from the batch's state."""
+    flags, out, check = (workspace(spark, n) for n in ("st5r-flags", "st5r", "st5r-check"))
+    rules = scale.stable(R.rule_flags(RQ.wide(spark, sf), RQ.RS))
+    middle = rules.agg(F.date_add(F.min("date"), F.floor(F.datediff(F.max("date"), F.min("date")) / 2).cast("int")).alias("d")).first()["d"]
+    before = rules.filter(F.col("date") <= F.lit(middle))
+    rules.filter(F.col("date") > F.lit(middle)).write.parquet(flags)
+    J.run_to_folder(J.regime_states(J.files(spark, flags, rules.schema), R.carried(before)), out, check)
+    batch = before.groupBy("regime").applyInPandas(R._walk, schema=R.STATE_SCHEMA).select("regime", "date", "active")
+    return batch.unionByName(spark.read.parquet(out).select("regime", "date", "active"))
+
+
 @query("st6_late_corrections", UPS, "close")
 def st6(spark, sf):
     out, feed, check = (workspace(spark, n) for n in ("st6", "st6-feed", "st6-check"))

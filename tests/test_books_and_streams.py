@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import day
@@ -134,6 +135,46 @@ def test_regime_stream_equals_batch(spark, tmp_path):
     assert got == batch
 
 
+def test_regime_stream_goes_on_from_a_batch(spark, tmp_path):
+    df = spark.createDataFrame(flag_rows(), FLAGS)
+    batch = {(r["regime"], r["date"]): r["active"] for r in df.groupBy("regime").applyInPandas(regimes._walk, regimes.STATE_SCHEMA).collect()}
+    start = regimes.carried(df.filter((F.col("date") < day(25)) & (F.col("regime") == "x")))  # regime y has no state yet
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for lo, hi in ((0, 30), (30, 60)):
+        df.filter((F.col("date") >= day(lo)) & (F.col("date") < day(hi))).coalesce(1).write.mode("append").parquet(feed)
+        jobs.run_to_folder(jobs.regime_states(jobs.files(spark, feed, df.schema), start), out, str(tmp_path / "check"))
+    got = {(r["regime"], r["date"]): r["active"] for r in spark.read.parquet(out).collect()}
+    assert got == {k: v for k, v in batch.items() if k[0] == "y" or k[1] >= day(25)}
+    assert spark.conf.get(jobs.STORE, "").rpartition(".")[2] != "RocksDBStateStoreProvider"
+
+
+def test_carried_refresh_equals_the_panel_of_all_bars(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    bars = [(s, day(i), float(c)) for s in "AB" for i, c in enumerate((50 * np.exp(np.cumsum(rng.normal(0, 0.1, 60)))).round(2))]
+    bars[10] = ("A", day(10), None)
+    df = spark.createDataFrame(bars, "symbol string, date date, close double")
+
+    def build(b):
+        w = Window.partitionBy("symbol").orderBy("date")
+        b = b.filter("close is not null")
+        return b.select("symbol", "date", F.lag("close", 5).over(w).alias("then"), F.sum("close").over(w.rowsBetween(-5, 0)).alias("sum"),
+                        F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
+
+    feed, out, state, check = (str(tmp_path / n) for n in ("feed", "out", "state", "check"))
+    fixed = spark.createDataFrame([("A", day(39), 500.0), ("B", day(2), 1.0), ("C", day(41), 3.0), (None, day(41), 1.0)], df.schema)
+    tails = []
+    for part in (df.filter(F.col("date") < day(30)), df.filter(F.col("date").between(day(30), day(40))), fixed, df.filter(F.col("date") > day(40))):
+        part.coalesce(1).write.mode("append").parquet(feed)
+        jobs.carried_refresh(jobs.files(spark, feed, df.schema), check, build, out, state, days=3, history=5).start().awaitTermination()
+        tails.append(spark.read.parquet(f"{state}/tail-{(len(tails)) % 2}").groupBy("symbol").count().agg(F.max("count")).first()[0])
+    whole = sinks.upsert(df, fixed.filter("symbol != 'B'"), ["symbol", "date"])
+    key = lambda rows: {r[:2]: tuple(None if x is None else round(x, 6) for x in r[2:]) for r in rows}
+    assert key(map(tuple, spark.read.parquet(out).select("symbol", "date", "then", "sum", "peak").collect())) == key(map(tuple, build(whole).collect()))
+    assert max(tails) <= 4 + 5 + 1
+    late = spark.read.parquet(f"{state}/late").collect()
+    assert [(r["symbol"], r["date"], r["close"]) for r in late] == [("B", day(2), 1.0)]
+
+
 def test_stream_upsert_is_idempotent_and_takes_corrections(spark, tmp_path):
     feed, out, check = (str(tmp_path / n) for n in ("feed", "out", "check"))
     schema = "symbol string, date date, close double"

@@ -123,6 +123,21 @@ def test_drop_clusters_restart_from_an_anchor(make_bars):
     assert [(r["trough_price"], r["signal_count"]) for r in ev] == [(80.0, 4), (70.0, 4)]
 
 
+def test_anchors_of_many_troughs(spark):
+    rng = np.random.default_rng(3)
+    hits = {"A": sorted(rng.choice(40_000, 10_000, replace=False).tolist()), "B": [7], "C": [1, 1, 3, 4, 7]}
+    df = spark.createDataFrame([(s, i) for s, v in hits.items() for i in v], "symbol string, idx int")
+    got = {(r["symbol"], r["idx"]): r["anchor"] for r in events.anchored(df, 2).collect()}
+    want = {}
+    for s, v in hits.items():
+        anchor = None
+        for i in v:
+            anchor = i if anchor is None or i - anchor > 2 else anchor
+            want[s, i] = anchor
+    assert got == want
+    assert events.anchored(df.filter("false"), 2).count() == 0
+
+
 def test_recovery_grammar(spark):
     one = spark.range(1).select(*[events.recovery_target(t, F.lit(50.0), F.lit(100.0)).alias(n) for n, t in (
         ("a", "peak"), ("b", "+10% from bottom"), ("c", "-5% from peak"), ("d", "+10% above peak"), ("e", "20%"))]).first()
