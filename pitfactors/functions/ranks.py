@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from pitfactors.functions import scale
 
 
+def plan(df: DataFrame, by: Sequence[str]) -> str:
+    """The strategy for several ranks over the groups ``by``, so that they are counted once."""
+    return "split" if scale.has_large_group(df, list(by)) else "window"
+
+
 def ordinal(
     df: DataFrame,
     by: Sequence[str],

@@ -25,14 +25,15 @@ def double_sort(panel: DataFrame, by: Sequence[str] = ("date",), primary: str =
     """
     by = list(by)
     ok = panel.filter(F.col(primary).isNotNull() & F.col(conditioning).isNotNull())
-    first = ranks.ordinal(ok, by, [primary, "symbol"], "_r1", "_n", descending=True).filter(F.col("_n") >= min_names)
+    strategy = ranks.plan(ok, by)
+    first = ranks.ordinal(ok, by, [primary, "symbol"], "_r1", "_n", descending=True, strategy=strategy).filter(F.col("_n") >= min_names)
     top = F.greatest(F.floor(F.col("_n") * 0.2), F.lit(5))
     kept = first.filter((F.col("_r1") <= top) & (top >= min_top))
     order = conditioning
     if seed is not None:
         kept = kept.withColumn("_mix", F.xxhash64(F.lit(seed), *by, F.col("symbol")))
         order = "_mix"
-    second = ranks.ordinal(kept, by, [order, "symbol"], "_r2", "_k")
+    second = ranks.ordinal(kept, by, [order, "symbol"], "_r2", "_k", strategy=strategy)
     m = F.greatest(F.floor(F.col("_k") / 5), F.lit(1))
     cheap, dear = F.col("_r2") <= m, F.col("_r2") > F.col("_k") - m
     out = second.groupBy(*by).agg((F.avg(F.when(cheap, F.col(label))) - F.avg(F.when(dear, F.col(label)))).alias("spread"))

@@ -82,8 +82,9 @@ def rank_ic(panel: DataFrame, by: Sequence[str] = ("date",), value: str = "value
     """Spearman correlation of value and label per group, average ranks."""
     by = list(by)
     both = panel.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    ranked = ranks.average(both, by, value, "symbol", "_rv")
-    ranked = ranks.average(ranked, by, label, "symbol", "_rl")
+    strategy = ranks.plan(both, by)
+    ranked = ranks.average(both, by, value, "symbol", "_rv", strategy=strategy)
+    ranked = ranks.average(ranked, by, label, "symbol", "_rl", strategy=strategy)
     out = ranked.groupBy(*by).agg(rank_correlation("_rv", "_rl").alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.filter((F.col("n") >= min_names) & F.col("ic").isNotNull())
 
@@ -344,10 +345,15 @@ def annual_factor_table(spreads_df: DataFrame, universes: Sequence[str]) -> Data
 
 
 def ranked_panel(panel: DataFrame, factors: Sequence[str], label: str = "fwd") -> DataFrame:
-    """Complete rows with factors and label as ordinal ranks in [-0.5, 0.5] per date."""
+    """Complete rows with factors and label as ordinal ranks in [-0.5, 0.5] per date.
+
+    The ranks share one exchange by date, and groups are counted once for all of them; a
+    column costs a sort in place.
+    """
     out = panel.select("symbol", "date", *factors, label).dropna()
+    strategy = ranks.plan(out, ["date"])
     for c in [*factors, label]:
-        out = ranks.ordinal(out, ["date"], [c, "symbol"], "_rn", "_n")
+        out = ranks.ordinal(out, ["date"], [c, "symbol"], "_rn", "_n", strategy=strategy)
         scaled = F.when(F.col("_n") > 1, (F.col("_rn") - 1) / (F.col("_n") - 1) - 0.5).otherwise(0.0)
         out = out.withColumn(f"r_{c}", scaled).drop("_rn", "_n")
     return out.select("symbol", "date", *[f"r_{c}" for c in factors], F.col(f"r_{label}").alias("r_y"))
@@ -786,7 +792,8 @@ def cohort_spearman(df: DataFrame, a: str, b: str, key: str, by: Sequence[str] =
     """Rank correlation and moments of paired metrics (in-sample against out-of-sample)."""
     ok = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_g", F.lit(0))
     cols = [*names(list(by)), "_g"]
-    r = ranks.average(ranks.average(ok, cols, a, key, "_ra"), cols, b, key, "_rb")
+    strategy = ranks.plan(ok, cols)
+    r = ranks.average(ranks.average(ok, cols, a, key, "_ra", strategy=strategy), cols, b, key, "_rb", strategy=strategy)
     return r.groupBy(*cols).agg(
         rank_correlation("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
         F.stddev_samp(a).alias("std_a"), F.stddev_samp(b).alias("std_b")).drop("_g")

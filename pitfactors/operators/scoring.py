@@ -28,14 +28,15 @@ def standardise(long: DataFrame, by: Sequence[str], method: str = "rank", value:
     """
     by = list(by)
     ok = long.filter(F.col(value).isNotNull())
+    strategy = ranks.plan(ok, by)
     if method == "rank":
-        x = ranks.average(ok, by, value, "symbol", "_x", "_c").filter(F.col("_c") >= least).drop("_c")
+        x = ranks.average(ok, by, value, "symbol", "_x", "_c", strategy=strategy).filter(F.col("_c") >= least).drop("_c")
     elif method == "z":
         x = _clipped(ok, by, value, least)
     else:
         raise ValueError(f"unknown method {method!r}")
     z = F.coalesce(ratio(F.col("_x") - F.col("_m"), F.col("_s")), F.lit(0.0))
-    return ranks.moments(x, by, "_x", "_m", "_s").withColumn("z", z).drop("_x", "_m", "_s")
+    return ranks.moments(x, by, "_x", "_m", "_s", strategy=strategy).withColumn("z", z).drop("_x", "_m", "_s")
 
 
 def _clipped(ok, by, value, least):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pitfactors.functions import scale
 from pitfactors.functions.columns import by_symbol
 from pitfactors.operators import calendars
 from pitfactors.operators import evaluation as V
@@ -310,6 +311,22 @@ def v22(spark, sf):
     return spark.createDataFrame([(f, r["rank_ic"][f], r["weights"][f]) for f in FACTORS], "factor string, ic double, weight double")
 
 
+_CELLS = {"a": "mom mom", "b": "mom rev", "c": "mom vol", "d": "rev rev", "e": "rev vol", "f": "vol vol"}
+OPT = {**RK,
+       "facic": "SELECT " + ", ".join(f"max(CASE WHEN factor = '{n}' THEN ic END) AS ic_{n}, max(CASE WHEN factor = '{n}' THEN CASE WHEN ic >= 0 THEN 1 ELSE -1 END END) AS s_{n}" for n in FACTORS) + " FROM fic",
+       "cells": "SELECT " + ", ".join(f"covar_samp(r_{x}, r_{y}) AS {cell}" for cell, (x, y) in ((k, v.split()) for k, v in _CELLS.items())) + " FROM rk",
+       "damped": "SELECT s.*, abs(ic_mom) AS i, abs(ic_rev) AS j, abs(ic_vol) AS k, a + 1e-4 AS a, 0.8 * b * s_mom * s_rev AS b, 0.8 * c * s_mom * s_vol AS c, d + 1e-4 AS d, 0.8 * e * s_rev * s_vol AS e, f + 1e-4 AS f FROM cells, facic s",
+       "gains": """SELECT *, greatest((i * (d*f - e*e) - j * (b*f - c*e) + k * (b*e - c*d)) / det, 0) AS g_mom, greatest((j * (a*f - c*c) - i * (b*f - c*e) - k * (a*e - b*c)) / det, 0) AS g_rev,
+  greatest((i * (b*e - c*d) - j * (a*e - b*c) + k * (a*d - b*b)) / det, 0) AS g_vol FROM (SELECT *, a * (d*f - e*e) - b * (b*f - c*e) + c * (b*e - c*d) AS det FROM damped)"""}
+
+
+@query("v22_ic_optimal", " UNION ALL ".join(f"SELECT '{n}' AS factor, ic_{n} AS ic, 0.3 / 3 + 0.7 * coalesce(g_{n} / nullif(g_mom + g_rev + g_vol, 0), 1.0 / 3) AS weight FROM gains" for n in FACTORS), "ic weight", OPT)
+def v22_optimal(spark, sf):
+    """The damped solve; the SQL solves the three equations by determinants."""
+    r = V.combine_factors(pan(spark, sf), FACTORS, method="ic_optimal")
+    return spark.createDataFrame([(f, r["rank_ic"][f], r["weights"][f]) for f in FACTORS], "factor string, ic double, weight double")
+
+
 @query("v23_combined_ic", "SELECT avg(ic) AS combined_ic FROM (SELECT corr(0.5 * r_mom - 0.3 * r_rev + 0.2 * r_vol, r_y) AS ic FROM rk GROUP BY date HAVING count(*) >= 5)", "combined_ic", RK)
 def v23(spark, sf):
     return V.combined_ic(V.date_moments(V.ranked_panel(pan(spark, sf), FACTORS), FACTORS), [0.5, -0.3, 0.2])
@@ -324,7 +341,7 @@ FOLDS = {**RK, "dts": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS t,
    (SELECT max(CASE WHEN factor = 'mom' THEN CASE WHEN ic >= 0 THEN 1 ELSE -1 END END) AS mom, max(CASE WHEN factor = 'rev' THEN CASE WHEN ic >= 0 THEN 1 ELSE -1 END END) AS rev,
      max(CASE WHEN factor = 'vol' THEN CASE WHEN ic >= 0 THEN 1 ELSE -1 END END) AS vol FROM fic) s GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1""", "oos_ic", FOLDS)
 def v24(spark, sf):
-    m = V.date_moments(V.ranked_panel(pan(spark, sf), FACTORS), FACTORS).cache()
+    m = scale.stable(V.date_moments(V.ranked_panel(pan(spark, sf), FACTORS), FACTORS))
     ic = {r["factor"]: r["ic"] for r in V.mean_factor_ic(m, FACTORS).collect()}
     return V.purged_oos_ic(m, 3, [1 if ic[f] >= 0 else -1 for f in FACTORS], "equal", 0.3, embargo=21)
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day
+from pitfactors.functions import ranks
 from pitfactors.operators import claims, conditions, evaluation, scoring
 
 
@@ -24,6 +25,26 @@ def test_combination_finds_the_planted_factor(planted):
     assert out["combined_ic_oos"] > 0.5 and abs(sum(out["weights"].values()) - 1) < 1e-9 and len(out["combined_ic_oos_folds"]) == 5
 
 
+def test_ranked_moments_share_one_exchange(planted, monkeypatch):
+    counted = []
+    monkeypatch.setattr(ranks.scale, "has_large_group", lambda df, by, most=0: counted.append(tuple(by)) or False)
+    moments = evaluation.date_moments(evaluation.ranked_panel(planted, ["good", "noise"]), ["good", "noise"]).drop("t")
+    plan = moments._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(date") == 1 and counted == [("date",)]
+
+
+def test_rank_plans_agree_when_groups_are_counted_once(planted, monkeypatch):
+    def both():
+        ic = evaluation.rank_ic(planted.withColumnRenamed("good", "value")).collect()
+        spread = claims.double_sort(planted.withColumnsRenamed({"good": "primary", "noise": "conditioning"}), min_top=5).collect()
+        z = scoring.standardise(planted.withColumnRenamed("good", "value"), ["date"]).select("symbol", "date", "z").collect()
+        return [sorted((*r[:-1], round(r[-1], 9)) for r in rows) for rows in (ic, spread, z)]
+
+    window = both()
+    monkeypatch.setattr(ranks.scale, "has_large_group", lambda df, by, most=0: True)
+    assert both() == window and all(window)
+
+
 def test_purged_folds_match_numpy(planted):
     """Fold scores from per-date moments equal scores computed from the rows."""
     pdf = planted.toPandas().sort_values(["date", "symbol"])
