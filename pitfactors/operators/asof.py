@@ -124,12 +124,10 @@ def last_on(df: DataFrame, day, on: str = "symbol", date: str = "date", value: s
     )
 
 
-def range_overlap(a: DataFrame, b: DataFrame, on: str | None = None) -> DataFrame:
-    """Pairs of windows that overlap strictly: ``a.start < b.end and b.start < a.end``."""
+def range_overlap(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Pairs of windows of one key ``on`` that overlap strictly: ``a.start < b.end and b.start < a.end``."""
     x, y = a.alias("a"), b.alias("b")
-    test = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    if on is not None:
-        test = test & (F.col(f"a.{on}") == F.col(f"b.{on}"))
+    test = (F.col(f"a.{on}") == F.col(f"b.{on}")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
     return x.join(y, test)
 
 
